@@ -25,15 +25,16 @@ def hashed_rank(
     return ranked.withColumn(out, (F.col("_r") + F.col("_o")).cast("long")).drop("_p", "_r", "_o")
 
 
-def depth_bucket(df: DataFrame, x: str, buckets: int = 128) -> Column:
-    """Monotone bucket number of ``x`` with about equal numbers of ``df`` rows per bucket.
+def depth_buckets(df: DataFrame, x: str, buckets: int = 128) -> DataFrame:
+    """Add ``_b``, a monotone bucket number of ``x`` with about equal rows per bucket.
 
     The bounds are approximate quantiles; results built on the buckets stay
     exact because any monotone bucketing does.
     """
     shares = [i / buckets for i in range(1, buckets)]
     bounds = df.agg(F.percentile_approx(F.col(x), shares, 1000).alias("b")).scalar()
-    return F.size(F.filter(bounds, lambda b: b < F.col(x)))
+    held = df.withColumn("_bounds", bounds)
+    return held.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(x)))).drop("_bounds")
 
 
 def running_totals(
@@ -45,7 +46,7 @@ def running_totals(
     buckets of ``x``; at most ``buckets`` bucket totals per group give the carry.
     """
     groups = list(groups)
-    placed = points.withColumn("_b", depth_bucket(points, x, buckets))
+    placed = depth_buckets(points, x, buckets)
     totals = placed.groupBy(*groups, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
@@ -79,7 +80,7 @@ def exact_quantile(
     points = (
         df.where(F.col(x).isNotNull()).groupBy(*groups, x).agg(F.count(F.lit(1)).alias("_n"))
     )
-    placed = points.withColumn("_b", depth_bucket(points, x))
+    placed = depth_buckets(points, x)
     totals = placed.groupBy(*groups, "_b").agg(F.sum("_n").alias("_bn"))
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     place = F.lit(share) * (F.sum("_bn").over(Window.partitionBy(*groups)) - 1)

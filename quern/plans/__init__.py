@@ -6,8 +6,8 @@ from importlib import import_module
 
 AREAS = [
     "joins",
-    # "splits",
-    # "grading",
+    "splits",
+    "grading",
     # "profiling",
 ]
 
