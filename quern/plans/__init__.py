@@ -8,7 +8,8 @@ AREAS = [
     "joins",
     "splits",
     "grading",
-    # "profiling",
+    "profiling",
+    "aggregates",
 ]
 
 
