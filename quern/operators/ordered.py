@@ -43,14 +43,17 @@ def neighbour(
     edge = F.min if ahead else F.max
     chunked = df.withColumn("_k", _chunk(order, width))
     inner = Window.partitionBy(*keys, "_k").orderBy(*order)
-    packed = F.struct(*[F.col(c) for c in [*order, *cols]])
+    packed = F.struct(
+        *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
+        *[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)],
+    )
     ends = chunked.groupBy(*keys, "_k").agg(edge(packed).alias("_end"))
     across = Window.partitionBy(*keys).orderBy("_k")
     carry = ends.select(*keys, "_k", step("_end").over(across).alias("_carry"))
     local = chunked.withColumn("_near", step(packed).over(inner)).join(carry, [*keys, "_k"], "left")
     near = F.coalesce(F.col("_near"), F.col("_carry"))
     return local.select(
-        *[F.col(c) for c in df.columns], *[near[c].alias(f"{tag}_{c}") for c in cols]
+        *[F.col(c) for c in df.columns], *[near[f"c{i}"].alias(f"{tag}_{c}") for i, c in enumerate(cols)]
     )
 
 

@@ -10,6 +10,7 @@ AREAS = [
     "grading",
     "profiling",
     "aggregates",
+    "timelines",
 ]
 
 
