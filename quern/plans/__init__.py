@@ -11,6 +11,8 @@ AREAS = [
     "profiling",
     "aggregates",
     "timelines",
+    "texts",
+    "records",
 ]
 
 
