@@ -13,6 +13,7 @@ AREAS = [
     "timelines",
     "texts",
     "records",
+    "probes",
 ]
 
 
