@@ -14,6 +14,7 @@ AREAS = [
     "texts",
     "records",
     "probes",
+    "streams",
 ]
 
 
