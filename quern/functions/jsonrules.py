@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fields and tier names of the task record, fields of a review.
 REQUIRED_FIELDS = [
@@ -35,29 +35,43 @@ def document_state(raw: Column) -> Column:
     )
 
 
-def kind(doc: Column, path: str) -> Column:
-    """absent, null, bool, text, whole, real, array or object."""
-    node = F.try_variant_get(doc, path, "variant")
-    s = F.schema_of_variant(node)
-    return (
-        F.when(node.isNull(), "absent").when(s == "VOID", "null").when(s == "BOOLEAN", "bool").when(s == "STRING", "text")
-        .when(s == "BIGINT", "whole").when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object").otherwise("real")
-    )
-
+def with_nodes(df: DataFrame, raw: str, paths: Sequence[str]) -> DataFrame:
+    """Add ``_doc`` and, per path, a struct column ``_<path>`` of kind, num, txt and flag.
+
+    Every step is a column of its own, so a document is parsed once per row
+    however many rules look at it. ``kind`` is absent, null, bool, text, whole,
+    real, array or object; ``num`` is a finite number and never a boolean.
+    """
+    names = {p: "_" + p for p in paths}
+    parsed_once = df.withColumn("_doc", parsed(F.col(raw)))
+    at = parsed_once.withColumns({f"_v{i}": F.try_variant_get("_doc", f"$.{p}", "variant") for i, p in enumerate(paths)})
+    shaped = at.withColumns({f"_s{i}": F.schema_of_variant(f"_v{i}") for i in range(len(paths))})
+
+    def kind(i):
+        s = F.col(f"_s{i}")
+        return (
+            F.when(F.col(f"_v{i}").isNull(), "absent").when(s == "VOID", "null").when(s == "BOOLEAN", "bool")
+            .when(s == "STRING", "text").when(s == "BIGINT", "whole").when(s.startswith("ARRAY"), "array")
+            .when(s.startswith("OBJECT"), "object").otherwise("real")
+        )
 
-def number(doc: Column, path: str) -> Column:
-    """Finite number at a path, null for anything else, booleans included."""
-    v = F.try_variant_get(doc, path, "double")
-    finite = ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
-    return F.when(kind(doc, path).isin("whole", "real") & finite, v)
+    kinds = shaped.withColumns({f"_k{i}": kind(i) for i in range(len(paths))})
 
+    def node(i):
+        k, v = F.col(f"_k{i}"), f"_v{i}"
+        number = F.when(k.isin("whole", "real"), F.try_variant_get(v, "$", "double"))
+        finite = F.when(~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), number)
+        return F.struct(
+            k.alias("kind"), finite.alias("num"), F.when(k == "text", F.try_variant_get(v, "$", "string")).alias("txt"),
+            F.when(k == "bool", F.try_variant_get(v, "$", "boolean")).alias("flag"),
+        )
 
-def text_at(doc: Column, path: str) -> Column:
-    return F.when(kind(doc, path) == "text", F.try_variant_get(doc, path, "string"))
+    done = kinds.withColumns({names[p]: node(i) for i, p in enumerate(paths)})
+    return done.drop(*[f"_{c}{i}" for c in "vsk" for i in range(len(paths))])
 
 
-def flag_at(doc: Column, path: str) -> Column:
-    return F.when(kind(doc, path) == "bool", F.try_variant_get(doc, path, "boolean"))
+def node(path: str) -> Column:
+    return F.col(f"`_{path}`")
 
 
 def field_sets(raw: Column, required: Sequence[str], forbidden: Sequence[str] = ()) -> dict[str, Column]:
@@ -76,71 +90,90 @@ def listed(*errors: Column) -> Column:
     return F.filter(F.array(*errors), lambda e: e.isNotNull())
 
 
-def review_errors(raw: Column) -> Column:
-    """Rules a review record breaks, in a fixed order."""
-    doc = parsed(raw)
-    sets = field_sets(raw, REVIEW_FIELDS)
-    same = doc.isNotNull() & (F.size(sets["missing"]) == 0) & (F.size(sets["extra"]) == 0)
-    summary = text_at(doc, "$.summary")
-    metric = kind(doc, "$.metric")
-    return F.when(~same, F.array(F.lit("field_set"))).otherwise(
-        listed(
-            F.when((kind(doc, "$.is_bug") != "bool") | (kind(doc, "$.has_csv_submission") != "bool"), "boolean_fields"),
-            F.when(summary.isNull() | summary.rlike(r"^(?U)\s*$"), "summary"),
-            F.when((metric != "null") & number(doc, "$.metric").isNull(), "metric"),
-            F.when(kind(doc, "$.lower_is_better") != "bool", "direction"),
-        )
-    )
+REVIEW_PATHS = REVIEW_FIELDS
+TIER_PATHS = [f"score_tiers.{n}" for n in TIER_NAMES]
+RECORD_PATHS = [
+    "competition_id", "category", "dataset", "evaluation_metric", "short_description", "is_lower_better",
+    "wall_clock_limit_minutes", "task_difficulty", "gold_solution_score", "score_tiers", *TIER_PATHS,
+]
+
+
+def no_text(n: Column) -> Column:
+    return n["txt"].isNull() | n["txt"].rlike(r"^(?U)\s*$")
 
 
-def tier_errors(doc: Column) -> Column:
-    """Order of the tiers in the metric's direction and whether gold is cleared."""
-    tiers = [number(doc, f"$.score_tiers.{n}") for n in TIER_NAMES]
-    lower, gold = flag_at(doc, "$.is_lower_better"), number(doc, "$.gold_solution_score")
-    usable = lower.isNotNull()
-    for x in tiers:
-        usable = usable & x.isNotNull()
-    falls = (tiers[0] >= tiers[1]) & (tiers[1] >= tiers[2]) & (tiers[2] >= tiers[3])
-    rises = (tiers[0] <= tiers[1]) & (tiers[1] <= tiers[2]) & (tiers[2] <= tiers[3])
-    clears = F.when(lower, gold <= tiers[3]).otherwise(gold >= tiers[3])
-    margin = F.abs(gold - tiers[3]) / F.greatest(F.lit(1.0), F.abs(tiers[3]))
-    return listed(
+def review_errors(df: DataFrame, raw: str, out: str = "errors") -> DataFrame:
+    """Add the rules a review record breaks, in a fixed order."""
+    ready = with_nodes(df, raw, REVIEW_PATHS).withColumns(
+        {f"_f_{k}": F.size(v) for k, v in field_sets(F.col(raw), REVIEW_FIELDS).items()}
+    )
+    same = F.col("_doc").isNotNull() & (F.col("_f_missing") == 0) & (F.col("_f_extra") == 0)
+    is_bool = {n: node(n)["kind"] == "bool" for n in REVIEW_FIELDS}
+    broken = listed(
+        F.when(~(is_bool["is_bug"] & is_bool["has_csv_submission"]), "boolean_fields"),
+        F.when(no_text(node("summary")), "summary"),
+        F.when((node("metric")["kind"] != "null") & node("metric")["num"].isNull(), "metric"),
+        F.when(~is_bool["lower_is_better"], "direction"),
+    )
+    return ready.withColumn(out, F.when(~same, F.array(F.lit("field_set"))).otherwise(broken)).select(*df.columns, out)
+
+
+def tier_rules() -> list[Column]:
+    """Tier order in the metric's direction, gold cleared, gold cleared by a hair."""
+    base, bronze, silver, top = (node(p)["num"] for p in TIER_PATHS)
+    lower, gold = node("is_lower_better")["flag"], node("gold_solution_score")["num"]
+    usable = lower.isNotNull() & base.isNotNull() & bronze.isNotNull() & silver.isNotNull() & top.isNotNull()
+    falls = (base >= bronze) & (bronze >= silver) & (silver >= top)
+    rises = (base <= bronze) & (bronze <= silver) & (silver <= top)
+    clears = F.when(lower, gold <= top).otherwise(gold >= top)
+    margin = F.abs(gold - top) / F.greatest(F.lit(1.0), F.abs(top))
+    return [
         F.when(usable & ~F.when(lower, falls).otherwise(rises), "tier_order"),
         F.when(usable & ~clears, "gold_not_cleared"),
         F.when(usable & clears & (margin < SMALL_MARGIN), "small_margin"),
-    )
+    ]
 
 
-def task_record_errors(raw: Column, slug: Column, final: bool = False) -> Column:
-    """Rules a task record breaks. Tier warnings come from :func:`tier_errors`."""
-    doc = parsed(raw)
-    sets = field_sets(raw, REQUIRED_FIELDS, FORBIDDEN_FIELDS)
-    words = {n: text_at(doc, f"$.{n}") for n in ("category", "dataset", "evaluation_metric", "short_description")}
-    wall, hard = "$.wall_clock_limit_minutes", "$.task_difficulty"
-
-    def not_whole(path, low, high=None):
-        v = F.try_variant_get(doc, path, "long")
-        ok = (kind(doc, path) == "whole") & (v >= low)
-        return ~F.coalesce(ok if high is None else ok & (v <= high), F.lit(False))
-
-    def not_score(path):
-        bad = ~kind(doc, path).isin("absent", "null") & number(doc, path).isNull()
-        return bad | number(doc, path).isNull() if final else bad
-
-    tiers_ok = kind(doc, "$.score_tiers") == "object"
-    tier_set = F.array_sort(F.coalesce(F.json_object_keys(F.get_json_object(raw, "$.score_tiers")), F.array().cast("array<string>")))
-    rules = [
-        F.when(F.size(sets["missing"]) > 0, "missing_fields"),
-        F.when(F.size(sets["forbidden"]) > 0, "forbidden_fields"),
-        F.when(~F.coalesce(text_at(doc, "$.competition_id") == slug, F.lit(False)), "competition_id"),
-        *[F.when(w.isNull() | w.rlike(r"^(?U)\s*$"), n) for n, w in words.items()],
-        F.when(kind(doc, "$.is_lower_better") != "bool", "is_lower_better"),
-        F.when(not_whole(wall, 1), "wall_clock_limit_minutes"),
-        F.when(not_whole(hard, 1, 5), "task_difficulty"),
-        F.when(not_score("$.gold_solution_score"), "gold_solution_score"),
-        F.when(~tiers_ok, "score_tiers"),
-        F.when(tiers_ok & (tier_set != F.array(*map(F.lit, sorted(TIER_NAMES)))), "tier_names"),
-        *[F.when(tiers_ok & not_score(f"$.score_tiers.{n}"), f"score_tiers.{n}") for n in TIER_NAMES],
-    ]
-    broken = F.concat(listed(*rules), F.filter(tier_errors(doc), lambda e: e != "small_margin"))
-    return F.when(doc.isNull(), F.array(document_state(raw))).otherwise(broken)
+def tier_errors(df: DataFrame, raw: str, out: str = "errors") -> DataFrame:
+    """Add tier problems of parsable records; other records are left out."""
+    ready = with_nodes(df, raw, ["is_lower_better", "gold_solution_score", *TIER_PATHS])
+    return ready.where("_doc is not null").withColumn(out, listed(*tier_rules())).select(*df.columns, out)
+
+
+def task_record_errors(df: DataFrame, raw: str, slug: str, final: bool = False, out: str = "errors") -> DataFrame:
+    """Add the rules a task record breaks; ``final`` also wants every score filled."""
+    ready = with_nodes(df, raw, RECORD_PATHS).withColumns(
+        {f"_f_{k}": F.size(v) for k, v in field_sets(F.col(raw), REQUIRED_FIELDS, FORBIDDEN_FIELDS).items()}
+    )
+    inner = F.json_object_keys(F.get_json_object(raw, "$.score_tiers"))
+    ready = ready.withColumn("_tiers", F.array_sort(F.coalesce(inner, F.array().cast("array<string>"))))
+
+    def no_whole(path, least, most=None):
+        n = node(path)
+        ok = (n["kind"] == "whole") & (n["num"] >= least)
+        return ~(ok if most is None else ok & (n["num"] <= most)) | n["num"].isNull()
+
+    def no_score(path):
+        n = node(path)
+        return n["num"].isNull() if final else ~n["kind"].isin("absent", "null") & n["num"].isNull()
+
+    has_tiers = node("score_tiers")["kind"] == "object"
+    order, cleared, _ = tier_rules()
+    broken = listed(
+        F.when(F.col("_f_missing") > 0, "missing_fields"),
+        F.when(F.col("_f_forbidden") > 0, "forbidden_fields"),
+        F.when(~F.coalesce(node("competition_id")["txt"] == F.col(slug), F.lit(False)), "competition_id"),
+        *[F.when(no_text(node(n)), n) for n in ("category", "dataset", "evaluation_metric", "short_description")],
+        F.when(node("is_lower_better")["kind"] != "bool", "is_lower_better"),
+        F.when(no_whole("wall_clock_limit_minutes", 1), "wall_clock_limit_minutes"),
+        F.when(no_whole("task_difficulty", 1, 5), "task_difficulty"),
+        F.when(no_score("gold_solution_score"), "gold_solution_score"),
+        F.when(~has_tiers, "score_tiers"),
+        F.when(has_tiers & (F.col("_tiers") != F.array(*map(F.lit, sorted(TIER_NAMES)))), "tier_names"),
+        *[F.when(has_tiers & no_score(p), p) for p in TIER_PATHS],
+        order,
+        cleared,
+    )
+    return ready.withColumn(
+        out, F.when(F.col("_doc").isNull(), F.array(document_state(F.col(raw)))).otherwise(broken)
+    ).select(*df.columns, out)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Patterns of the value scan, task names, paths and answers.
 VALUE_PATTERNS = {
@@ -36,19 +36,28 @@ def is_blank(text: Column) -> Column:
     return text.rlike(r"^(?U)\s*$")
 
 
-def plan_and_code(response: Column) -> Column:
-    """struct(plan, code, reason): a plan followed by one closing code block, or why not."""
+def plan_and_code(df: DataFrame, response: str) -> DataFrame:
+    """Add plan, code and reason: a plan followed by one closing code block, or why not.
+
+    The pattern runs once per part, and only on texts that hold a fence.
+    """
     shape = r"(?is)\A\s*(.*?)\s*\n```(?:python|py)?\s*\n(.*?)\n```\s*\z"
-    fits = response.rlike(shape)
-    plan = trimmed(F.regexp_extract(response, shape, 1))
-    code = trimmed(F.regexp_extract(response, shape, 2))
-    fenced = plan.contains(FENCE) | code.contains(FENCE)
+    fence_in = F.contains(response, F.lit(FENCE))
+    parts = df.withColumns({
+        "_fits": fence_in & F.col(response).rlike(shape),
+        "_plan": F.when(fence_in, F.regexp_extract(response, shape, 1)),
+        "_code": F.when(fence_in, F.regexp_extract(response, shape, 2)),
+    })
+    cut = parts.withColumns({"_plan": trimmed(F.col("_plan")), "_code": trimmed(F.col("_code"))})
+    plan, code = F.col("_plan"), F.col("_code")
     reason = (
-        F.when(~fits, "not_plan_then_code").when((plan == "") | (code == ""), "empty_part").when(fenced, "extra_fence")
+        F.when(~F.col("_fits"), "not_plan_then_code").when((plan == "") | (code == ""), "empty_part")
+        .when(plan.contains(FENCE) | code.contains(FENCE), "extra_fence")
     )
-    ok = reason.isNull()
-    return F.struct(
-        F.when(ok, plan).alias("plan"), F.when(ok, F.concat(code, F.lit("\n"))).alias("code"), reason.alias("reason")
+    judged = cut.withColumn("reason", reason)
+    ok = F.col("reason").isNull()
+    return judged.select(
+        *df.columns, F.when(ok, plan).alias("plan"), F.when(ok, F.concat(code, F.lit("\n"))).alias("code"), "reason"
     )
 
 

@@ -87,7 +87,7 @@ def auc(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     points = df.groupBy(*groups, "p").agg(
         F.sum("y").cast("long").alias("pos"), F.sum(1 - Y).cast("long").alias("neg")
     )
-    line = running_totals(points, "p", ["neg", "pos"], groups)
+    line = running_totals(points, df, "p", ["neg", "pos"], groups)
     wins = F.sum((F.col("pos") * (2 * F.col("before_neg") + F.col("neg"))).cast("decimal(38,0)"))
     pairs = F.max("all_pos").cast("double") * F.max("all_neg")
     return line.groupBy(*groups).agg((wins.cast("double") / (2.0 * pairs)).alias("auc"))

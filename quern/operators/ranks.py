@@ -16,7 +16,7 @@ def hashed_rank(
     prefixes is added. A digest spreads evenly, so no prefix is hot, and there
     are at most 16**prefix offsets to broadcast.
     """
-    keyed = df.withColumn("_p", F.substring(digest, 1, prefix))
+    keyed = df.withColumn("_p", F.coalesce(F.substring(digest, 1, prefix), F.lit("")))
     sizes = keyed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
@@ -25,28 +25,53 @@ def hashed_rank(
     return ranked.withColumn(out, (F.col("_r") + F.col("_o")).cast("long")).drop("_p", "_r", "_o")
 
 
-def depth_buckets(df: DataFrame, x: str, buckets: int = 128) -> DataFrame:
-    """Add ``_b``, a monotone bucket number of ``x`` with about equal rows per bucket.
+def share_limit(df: DataFrame, digest: Column, share: float, prefix: int = 3) -> Column:
+    """Digest at rank ceil(share * rows) as a scalar, so that a rank limit is a plain filter.
 
-    The bounds are approximate quantiles; results built on the buckets stay
-    exact because any monotone bucketing does.
+    Sizes of the digest prefixes locate the one that holds the rank; only its
+    rows (one in 16**prefix) are sorted. The rows themselves are never shuffled.
+    """
+    keyed = df.select(digest.alias("_d")).withColumn("_p", F.substring("_d", 1, prefix))
+    sizes = keyed.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    spans = sizes.select(
+        F.col("_p").alias("p"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("o"),
+        F.ceil(F.sum("n").over(Window.partitionBy()) * F.lit(share)).alias("k"),
+    )
+    at = spans.where("o < k and o + n >= k").select(F.struct("p", "o", "k")).scalar()
+    near = keyed.where(F.col("_p") == at["p"])
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_d")) + at["o"]
+    return near.select("_d", rank.alias("_r")).where(F.col("_r") == at["k"]).agg(F.max("_d")).scalar()
+
+
+def depth_buckets(points: DataFrame, source: DataFrame, x: str, buckets: int = 128) -> DataFrame:
+    """Add ``_b``, a monotone bucket number of ``x`` with about equal ``source`` rows per bucket.
+
+    The bounds are approximate quantiles from one map-side sketch; results built
+    on the buckets stay exact because any monotone bucketing does.
     """
     shares = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(F.col(x), shares, 1000).alias("b")).scalar()
-    held = df.withColumn("_bounds", bounds)
-    return held.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(x)))).drop("_bounds")
+    bounds = source.agg(F.percentile_approx(F.col(x), shares, 1000).alias("b")).scalar()
+    held = points.withColumn("_bounds", bounds)
+    place = F.size(F.filter("_bounds", lambda b: b < F.col(x)))
+    return held.withColumn("_b", F.coalesce(place, F.lit(0))).drop("_bounds")
 
 
 def running_totals(
-    points: DataFrame, x: str, sums: Sequence[str], groups: Sequence[str] = (), buckets: int = 128
+    points: DataFrame,
+    source: DataFrame,
+    x: str,
+    sums: Sequence[str],
+    groups: Sequence[str] = (),
+    buckets: int = 128,
 ) -> DataFrame:
     """Add ``before_<s>`` and ``all_<s>``: totals over smaller ``x``, and over the group.
 
-    ``points`` holds one row per (groups, x). Totals run inside equal-depth
-    buckets of ``x``; at most ``buckets`` bucket totals per group give the carry.
+    ``points`` holds one row per (groups, x) of ``source``. Totals run inside
+    equal-depth buckets of ``x``; the bucket totals of a group give the carry.
     """
     groups = list(groups)
-    placed = depth_buckets(points, x, buckets)
+    placed = depth_buckets(points, source, x, buckets)
     totals = placed.groupBy(*groups, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
@@ -68,43 +93,56 @@ def running_totals(
     return joined.drop("_b", *[f"_l_{s}" for s in sums], *[f"_c_{s}" for s in sums])
 
 
+# A quantile sketch this fine leaves about one row in five thousand between its bounds.
+_ACCURACY, _MARGIN = 20_000, 1e-4
+
+
 def exact_quantile(
     df: DataFrame, x: str, share: float, groups: Sequence[str] = (), out: str = "q"
 ) -> DataFrame:
     """Interpolated quantile of ``x`` per group; one row per group with non-null values.
 
-    Values are counted first, bucket totals locate the wanted ranks, and only
-    the bucket that holds them is sorted, so no group meets in one task.
+    Two sketched bounds split the values into below, near and above; counting
+    the three classes tells which of them holds the wanted ranks, and only that
+    class is sorted. The counts are exact, so the result does not depend on the
+    sketch: a poor sketch only makes the sorted class larger. Nothing but
+    sketches, counts and the near class is shuffled.
     """
     groups = list(groups)
-    points = (
-        df.where(F.col(x).isNotNull()).groupBy(*groups, x).agg(F.count(F.lit(1)).alias("_n"))
+    values = df.where(F.col(x).isNotNull()).select(*groups, x)
+    low, high = max(share - _MARGIN, 0.0), min(share + _MARGIN, 1.0)
+    sketch = F.percentile_approx(F.col(x), [low, high], _ACCURACY)
+    if groups:
+        bounds = values.groupBy(*groups).agg(sketch.alias("_e"))
+        classed = values.join(bounds, groups)
+    else:
+        classed = values.withColumn("_e", values.agg(sketch.alias("_e")).scalar())
+    c = F.when(F.col(x) < F.col("_e")[0], 0).when(F.col(x) <= F.col("_e")[1], 1).otherwise(2)
+    classed = classed.select(*groups, x, c.alias("_c"))
+    counts = classed.groupBy(*groups).agg(
+        *[F.count(F.when(F.col("_c") == i, 1)).alias(f"_n{i}") for i in range(3)]
     )
-    placed = depth_buckets(points, x)
-    totals = placed.groupBy(*groups, "_b").agg(F.sum("_n").alias("_bn"))
-    before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    place = F.lit(share) * (F.sum("_bn").over(Window.partitionBy(*groups)) - 1)
-    found = (
-        totals.select(
-            *groups,
-            "_b",
-            "_bn",
-            F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_from"),
-            place.alias("_at"),
-        )
-        .where("_from <= ceil(_at) and _from + _bn > floor(_at)")
-        .drop("_bn")
+    place = F.lit(share) * (F.col("_n0") + F.col("_n1") + F.col("_n2") - 1)
+    starts = [F.lit(0), F.col("_n0"), F.col("_n0") + F.col("_n1")]
+    held = counts.select(*groups, place.alias("_at"), *[
+        F.struct(
+            (s <= F.ceil(place)).alias("a"), (s + F.col(f"_n{i}") > F.floor(place)).alias("b"), s.alias("s"), F.lit(i).alias("c")
+        ).alias(f"_h{i}") for i, s in enumerate(starts)
+    ])
+    wanted = held.select(*groups, "_at", F.explode(F.array("_h0", "_h1", "_h2")).alias("_h")).where("_h.a and _h.b")
+    wanted = wanted.select(*groups, "_at", F.col("_h.s").alias("_from"), F.col("_h.c").alias("_c"))
+    points = (
+        classed.join(F.broadcast(wanted) if not groups else wanted, [*groups, "_c"])
+        .groupBy(*groups, "_c", "_from", "_at", x).agg(F.count(F.lit(1)).alias("_n"))
     )
     inner = (
-        Window.partitionBy(*groups, "_b").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    near = placed.join(found, [*groups, "_b"]).withColumn(
-        "_s", F.col("_from") + F.coalesce(F.sum("_n").over(inner), F.lit(0))
+        Window.partitionBy(*groups, "_c").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     )
-    low = F.expr(f"max(case when _s <= floor(_at) and _s + _n > floor(_at) then `{x}` end)")
-    high = F.expr(f"max(case when _s <= ceil(_at) and _s + _n > ceil(_at) then `{x}` end)")
+    near = points.withColumn("_s", F.col("_from") + F.coalesce(F.sum("_n").over(inner), F.lit(0)))
+    left = F.expr(f"max(case when _s <= floor(_at) and _s + _n > floor(_at) then `{x}` end)")
+    right = F.expr(f"max(case when _s <= ceil(_at) and _s + _n > ceil(_at) then `{x}` end)")
     ends = near.groupBy(*groups).agg(
-        low.cast("double").alias("_lo"), high.cast("double").alias("_hi"), F.max("_at").alias("_at")
+        left.cast("double").alias("_lo"), right.cast("double").alias("_hi"), F.max("_at").alias("_at")
     )
     value = F.col("_lo") + (F.col("_at") - F.floor("_at")) * (F.col("_hi") - F.col("_lo"))
     return ends.select(*groups, value.alias(out))

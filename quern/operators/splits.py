@@ -7,14 +7,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions.draws import draw_digest, uniform
-from quern.operators.ranks import hashed_rank
+from quern.operators.ranks import share_limit
 
 
 def exact_split(df: DataFrame, key: str, seed: int, test_share: float = 0.25) -> DataFrame:
-    """Add ``is_test`` for exactly ceil(share * rows) rows, chosen by hashed rank."""
-    ranked = hashed_rank(df.withColumn("_d", draw_digest(seed, "split", key)), "_d", (key,), "_rk")
-    wanted = df.agg(F.ceil(F.count(F.lit(1)) * F.lit(test_share))).scalar()
-    return ranked.withColumn("is_test", F.col("_rk") <= wanted).drop("_d", "_rk")
+    """Add ``is_test`` for exactly ceil(share * rows) rows of a table with unique keys.
+
+    The rows with the smallest key digests are taken. Their limit is one scalar,
+    so the split itself is a filter that neither sorts nor shuffles the table.
+    """
+    digest = draw_digest(seed, "split", key)
+    return df.withColumn("is_test", digest <= share_limit(df.select(key), digest, test_share))
 
 
 def part_by_share(seed: int, shares: Mapping[str, float], *keys: str | Column) -> Column:

@@ -328,8 +328,9 @@ def mutation_suite(t):
     """,
 )
 def tier_assignment(t):
-    points = panel_of(t.events).where("state = 'scored'").groupBy("task", "score").agg(rows().alias("n"))
-    line = running_totals(points, "score", ["n"], ["task"]).withColumn("worse", F.col("before_n") / F.col("all_n"))
+    scored = panel_of(t.events).where("state = 'scored'")
+    points = scored.groupBy("task", "score").agg(rows().alias("n"))
+    line = running_totals(points, scored, "score", ["n"], ["task"]).withColumn("worse", F.col("before_n") / F.col("all_n"))
     tier = M.tier_of(F.col("worse"), [("bronze", 0.6), ("silver", 0.8), ("gold", 0.9)], L(False))
     return line.groupBy(tier.alias("tier")).agg(F.sum("n").alias("runs"), F.round(F.min("score"), 6).alias("lowest"))
 

@@ -98,8 +98,7 @@ TIER_SQL = f"""
 
 @query("g16_tier_order", f"WITH {RECORD_SQL}, {STATE_SQL}, {TIER_SQL} SELECT p_partkey, concat_ws(',', e1, e2, e3) AS errors FROM tier WHERE state = 'ok'")
 def g16(t):
-    doc = J.parsed(F.col("raw"))
-    return records(t).where(doc.isNotNull()).select("p_partkey", F.array_join(J.tier_errors(doc), ",").alias("errors"))
+    return J.tier_errors(records(t), "raw").select("p_partkey", F.array_join("errors", ",").alias("errors"))
 
 
 @query(
@@ -119,8 +118,8 @@ def g16(t):
     """,
 )
 def v01(t):
-    errors = J.task_record_errors(F.col("raw"), F.col("slug"), final=True)
-    return records(t).groupBy(F.array_join(errors, ",").alias("errors")).agg(rows().alias("n"))
+    checked = J.task_record_errors(records(t), "raw", "slug", final=True)
+    return checked.groupBy(F.array_join("errors", ",").alias("errors")).agg(rows().alias("n"))
 
 
 @query(

@@ -54,7 +54,7 @@ def responses(t):
     """,
 )
 def f06(t):
-    split = responses(t).select("doc_id", X.plan_and_code(F.col("response")).alias("s")).select("doc_id", "s.*")
+    split = X.plan_and_code(responses(t), "response")
     ok = F.col("reason").isNull()
     return split.select(
         "doc_id", F.coalesce("reason", L("accepted")).alias("verdict"),
@@ -313,7 +313,7 @@ REVIEWS = [
 def f21(t):
     shape = F.element_at(F.array(*map(L, REVIEWS)), (F.col("event_id") % 9 + 1).cast("int"))
     raw = t.events.select(F.replace(shape, L("@"), F.format_string("%.2f", "value")).alias("raw"))
-    return raw.groupBy(F.array_join(J.review_errors(F.col("raw")), ",").alias("errors")).agg(rows().alias("n"))
+    return J.review_errors(raw, "raw").groupBy(F.array_join("errors", ",").alias("errors")).agg(rows().alias("n"))
 
 
 @query(
