@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quern.session import spread
+
 # Fields and tier names of the task record, fields of a review.
 REQUIRED_FIELDS = [
     "competition_id", "dataset", "category", "short_description", "is_lower_better",
@@ -43,7 +45,7 @@ def with_nodes(df: DataFrame, raw: str, paths: Sequence[str]) -> DataFrame:
     real, array or object; ``num`` is a finite number and never a boolean.
     """
     names = {p: "_" + p for p in paths}
-    parsed_once = df.withColumn("_doc", parsed(F.col(raw)))
+    parsed_once = spread(df).withColumn("_doc", parsed(F.col(raw)))
     at = parsed_once.withColumns({f"_v{i}": F.try_variant_get("_doc", f"$.{p}", "variant") for i, p in enumerate(paths)})
     shaped = at.withColumns({f"_s{i}": F.schema_of_variant(f"_v{i}") for i in range(len(paths))})
 

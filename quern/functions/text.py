@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quern.session import spread
+
 # Patterns of the value scan, task names, paths and answers.
 VALUE_PATTERNS = {
     "url": r"(?i)\bhttps?://[^\s\"'<>]+",
@@ -43,7 +45,7 @@ def plan_and_code(df: DataFrame, response: str) -> DataFrame:
     """
     shape = r"(?is)\A\s*(.*?)\s*\n```(?:python|py)?\s*\n(.*?)\n```\s*\z"
     fence_in = F.contains(response, F.lit(FENCE))
-    parts = df.withColumns({
+    parts = spread(df).withColumns({
         "_fits": fence_in & F.col(response).rlike(shape),
         "_plan": F.when(fence_in, F.regexp_extract(response, shape, 1)),
         "_code": F.when(fence_in, F.regexp_extract(response, shape, 2)),

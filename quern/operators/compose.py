@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions.draws import count_where, draw_digest, uniform
-from quern.operators.ordered import DAY, running
+from quern.operators.ordered import DAY, as_of, running
 from quern.operators.ranks import hashed_rank
+from quern.session import spread
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:
@@ -262,7 +263,7 @@ def shingle_rows(df: DataFrame, text: str, size: int, *keep: str) -> DataFrame:
 
     The word array is a column of its own so that slicing does not split again.
     """
-    split = df.select(*keep, word_list(F.col(text)).alias("_w")).where(F.size("_w") > 0)
+    split = spread(df.select(*keep, text)).select(*keep, word_list(F.col(text)).alias("_w")).where(F.size("_w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - F.lit(size - 1), F.lit(1)))
     joined = F.transform(starts, lambda i: F.array_join(F.slice("_w", i, size), " "))
     return split.select(*keep, F.explode(F.array_distinct(joined)).alias("_s"))
@@ -294,22 +295,20 @@ def shingle_coverage(
 
 
 def nearest_on_line(
-    probe: DataFrame, build: DataFrame, x: str, cols: Sequence[str], keys: Sequence[str] = (), width: int = 1_000_000
+    probe: DataFrame, build: DataFrame, x: str, cols: Sequence[str], keys: Sequence[str] = ()
 ) -> DataFrame:
     """Exact nearest build row on a scalar axis; equal distance goes to the smaller value.
 
     Two as-of passes (from below and from above) replace a distance join.
     """
-    from quern.operators.ordered import as_of
-
     keys = list(keys)
-    cols = [c for c in cols]
+    cols = list(cols)
     facts = build.select(*keys, x, *cols).withColumn("at", F.col(x))
-    below = as_of(probe, facts, keys, x, [*cols, "at"], inclusive=True, width=width)
+    below = as_of(probe, facts, keys, x, [*cols, "at"], inclusive=True, width=None)
     flip = facts.withColumn(x, -F.col(x))
     above = as_of(
         probe.select(*keys, (-F.col(x)).alias(x)).distinct(), flip, keys, x, [*cols, "at"],
-        inclusive=True, width=width,
+        inclusive=True, width=None,
     ).select(*keys, (-F.col(x)).alias(x), *[F.col(f"asof_{c}").alias(f"up_{c}") for c in [*cols, "at"]])
     j = below.join(above, [*keys, x], "left")
     use_up = F.col("asof_at").isNull() | (

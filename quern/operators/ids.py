@@ -53,14 +53,14 @@ def id_universe(tables: Sequence[DataFrame], column: str) -> DataFrame:
 
 
 def code_mapping(
-    universe: DataFrame, prefix: str, digest: Callable[[Column], Column], bits: int = 3
+    universe: DataFrame, prefix: str, digest: Callable[[Column], Column]
 ) -> DataFrame:
     """(value, code): rank of the keyed digest, zero padded to the size of the universe."""
     values = universe.where("not blank").select("value", digest(F.col("value")).alias("_d"))
-    ranked = hashed_rank(values, "_d", ("value",), "_rank", bits)
-    width = universe.agg(F.greatest(F.lit(MIN_WIDTH), F.length(count_where("not blank").cast("string")))).scalar()
-    rank = F.col("_rank").cast("string")
-    return ranked.select("value", F.concat(F.lit(prefix), F.lpad(rank, F.greatest(width, F.length(rank)), F.lit("0"))).alias("code"))
+    ranked = hashed_rank(values, "_d", ("value",), "_rank", total="_all")
+    width = F.greatest(F.lit(MIN_WIDTH), F.length(F.col("_all").cast("string")))
+    padded = F.lpad(F.col("_rank").cast("string"), width, F.lit("0"))
+    return ranked.select("value", F.concat(F.lit(prefix), padded).alias("code"))
 
 
 def anonymise(

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quern.functions.draws import count_where, rows
+from quern.functions.draws import count_where, poisson1, rows, uniform
+from quern.operators.ordered import running
 from quern.operators.ranks import running_totals
+from quern.session import spread
 
 Y, P = F.col("y"), F.col("p")
 
@@ -153,8 +155,6 @@ def concordance(df: DataFrame, levels: int, chunk: int = 256) -> DataFrame:
         F.sum(F.when(F.col("one") == 1, F.col("n")).otherwise(0)).alias("n1"),
         F.sum(F.when(F.col("one") == 0, F.col("n")).otherwise(0)).alias("n0"),
     )
-    from quern.operators.ordered import running
-
     later = running(
         per_time.withColumn("_t", -F.col("time")), ["bit", "grp"], ["_t"],
         {"later0": ("sum", F.col("n0")), "later1": ("sum", F.col("n1"))}, chunk, inclusive=False,
@@ -188,10 +188,8 @@ def bootstrap(
     replicate is a hash of (seed, replicate, unit), so replicates are repeatable
     and the shuffle carries one row per replicate and task.
     """
-    from quern.functions.draws import poisson1, uniform
-
     units = df.groupBy(cluster).agg(*[c.alias(n) for n, c in parts.items()])
-    reps_rows = units.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    reps_rows = spread(units).select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     weighted = reps_rows.withColumn("_w", poisson1(uniform(seed, "boot", "rep", cluster)))
     return (
         weighted.groupBy("rep").agg(*[F.sum(F.col(n) * F.col("_w")).alias(n) for n in parts])

@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quern.operators.ranks import depth_buckets
+
 DAY = 86_400_000_000
 
 
@@ -129,13 +131,15 @@ def as_of(
     cols: Sequence[str],
     inclusive: bool = False,
     delay: int = 0,
-    width: int = DAY,
+    width: int | None = DAY,
 ) -> DataFrame:
     """Left as-of join: the latest build row at or before (strictly before) the probe time.
 
     ``build`` becomes visible ``delay`` microseconds after its ``t``. Build rows
     that share key and time collapse to the greatest value struct; probe times
     are made distinct before the ordered pass and joined back afterwards.
+    Without a ``width`` the axis is cut at approximate quantiles of the build
+    side, for axes other than time and for joins without keys.
     """
     keys = list(keys)
     packed = F.struct(*[F.col(c) for c in cols])
@@ -151,7 +155,11 @@ def as_of(
         .withColumn("_side", F.lit(1 if inclusive else 0))
     )
     is_ask = F.col("_side") == F.lit(1 if inclusive else 0)
-    line = facts.unionByName(asks).withColumn("_k", _chunk([t], width))
+    line = facts.unionByName(asks)
+    if width is None:
+        line = depth_buckets(line, build.withColumn(t, F.col(t) + F.lit(delay)), t).withColumnRenamed("_b", "_k")
+    else:
+        line = line.withColumn("_k", _chunk([t], width))
     inner = (
         Window.partitionBy(*keys, "_k").orderBy(t, "_side")
         .rowsBetween(Window.unboundedPreceding, 0)

@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def hashed_rank(
-    df: DataFrame, digest: str, ties: Sequence[str] = (), out: str = "rank", prefix: int = 3
+    df: DataFrame,
+    digest: str,
+    ties: Sequence[str] = (),
+    out: str = "rank",
+    prefix: int = 4,
+    total: str | None = None,
 ) -> DataFrame:
-    """1-based global rank by a hex digest column.
+    """1-based global rank by a hex digest column; ``total`` names a row-count column.
 
     Rows are ranked inside each digest prefix; the running size of the earlier
     prefixes is added. A digest spreads evenly, so no prefix is hot, and there
@@ -19,13 +24,17 @@ def hashed_rank(
     keyed = df.withColumn("_p", F.coalesce(F.substring(digest, 1, prefix), F.lit("")))
     sizes = keyed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    offsets = sizes.select(
+        "_p",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"),
+        *([F.sum("_n").over(Window.partitionBy()).alias(total)] if total else []),
+    )
     local = F.row_number().over(Window.partitionBy("_p").orderBy(digest, *ties))
     ranked = keyed.withColumn("_r", local).join(F.broadcast(offsets), "_p")
     return ranked.withColumn(out, (F.col("_r") + F.col("_o")).cast("long")).drop("_p", "_r", "_o")
 
 
-def share_limit(df: DataFrame, digest: Column, share: float, prefix: int = 3) -> Column:
+def share_limit(df: DataFrame, digest: Column, share: float, prefix: int = 4) -> Column:
     """Digest at rank ceil(share * rows) as a scalar, so that a rank limit is a plain filter.
 
     Sizes of the digest prefixes locate the one that holds the rank; only its

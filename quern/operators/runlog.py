@@ -45,15 +45,17 @@ def concurrency(intervals: DataFrame, start: str, end: str, width: int = DAY) ->
 
 
 def budgeted_history(chat: DataFrame, conv: str, turn: str, role: str, size: Column, budget: int, head: int = 2, width: int = 1024) -> DataFrame:
-    """Add ``kept`` per message: the head and the newest exchanges within a budget.
+    """``kept`` per message: the head and the newest exchanges within a budget.
 
     The first ``head`` messages always stay and count. An exchange starts at a
     user message. The newest exchange always stays; older ones stay while the
     running size from the newest back, with the head, is within the budget.
     """
-    sized = running(chat.withColumn("_size", size), [conv], [turn], {"_pos": ("sum", F.lit(1))}, width)
-    opens = F.when((F.col("_pos") > head) & (F.col(role) == "user"), 1).otherwise(0)
-    grouped = running(sized, [conv], [turn], {"_grp": ("sum", opens)}, width)
+    # The running number of user messages labels the exchanges; only rows after
+    # the head are grouped, so user messages inside the head shift labels alike.
+    opens = F.when(F.col(role) == "user", 1).otherwise(0)
+    marks = {"_pos": ("sum", F.lit(1)), "_grp": ("sum", opens)}
+    grouped = running(chat.select(conv, turn, role, size.alias("_size")), [conv], [turn], marks, width)
     in_head = F.col("_pos") <= head
     base = grouped.where(in_head).groupBy(conv).agg(F.sum("_size").alias("_base"))
     groups = grouped.where(~in_head).groupBy(conv, "_grp").agg(F.sum("_size").alias("_gs")).withColumn("_back", -F.col("_grp"))
@@ -61,9 +63,9 @@ def budgeted_history(chat: DataFrame, conv: str, turn: str, role: str, size: Col
     keep = back.join(base, conv, "left").select(
         conv, "_grp", ((F.col("_nth") == 1) | (F.coalesce("_base", F.lit(0)) + F.col("_cum") <= budget)).alias("_keep")
     )
-    # Head rows carry group 0 as well; they are kept whatever their group says.
     return grouped.join(keep, [conv, "_grp"], "left").select(
-        *chat.columns, "_size", "_grp", in_head.alias("is_head"), (in_head | F.coalesce("_keep", F.lit(False))).alias("kept")
+        conv, turn, role, F.col("_size").alias("size"), F.col("_grp").alias("exchange"), in_head.alias("is_head"),
+        (in_head | F.coalesce("_keep", F.lit(False))).alias("kept"),
     )
 
 

@@ -10,6 +10,9 @@ from quern.functions.draws import draw_digest, uniform
 from quern.operators.ranks import share_limit
 
 
+GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold by default
+
+
 def exact_split(df: DataFrame, key: str, seed: int, test_share: float = 0.25) -> DataFrame:
     """Add ``is_test`` for exactly ceil(share * rows) rows of a table with unique keys.
 
@@ -41,10 +44,16 @@ def quota_sample(
 ) -> DataFrame:
     """At most ``quota`` rows per stratum in hashed order with a stable tie-break.
 
-    Spark limits every stratum before the shuffle, so a hot one stays small.
+    Spark limits every stratum before the shuffle for quotas up to its window
+    group limit; beyond that strata are first cut in sixteen salted parts, so a
+    hot stratum never meets whole in one task.
     """
-    order = Window.partitionBy(*strata).orderBy(draw_digest(seed, "quota", key), key)
-    return df.withColumn("_q", F.row_number().over(order)).where(F.col("_q") <= quota).drop("_q")
+    drawn = df.withColumn("_d", draw_digest(seed, "quota", key))
+    if quota > GROUP_LIMIT:
+        part = Window.partitionBy(*strata, F.substring("_d", 1, 1)).orderBy("_d", key)
+        drawn = drawn.withColumn("_q", F.row_number().over(part)).where(F.col("_q") <= quota).drop("_q")
+    order = Window.partitionBy(*strata).orderBy("_d", key)
+    return drawn.withColumn("_q", F.row_number().over(order)).where(F.col("_q") <= quota).drop("_q", "_d")
 
 
 def fit_vocabulary(train: DataFrame, column: str, min_rows: int) -> DataFrame:

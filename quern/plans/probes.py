@@ -13,6 +13,7 @@ from quern.plans.grading import PRED, predictions
 from quern.plans.joins import MONEY, SLATE_SQL, slates
 from quern.plans.registry import d_sql, query, u_sql
 from quern.plans.splits import EXACT_SQL, sized
+from quern.session import materialise, spread
 
 L = F.lit
 PI = "3.141592653589793"
@@ -64,7 +65,7 @@ def b06(t):
     """,
 )
 def b01(t):
-    split = sized(t)
+    split = materialise(sized(t).select("o_totalprice", "o_orderstatus", "is_test"))
     train, test = split.where("not is_test"), split.where("is_test")
     mean = train.agg(F.sum(F.col("o_totalprice").cast(MONEY)).cast("double") / rows()).scalar()
     prevalence = train.agg(F.avg((F.col("o_orderstatus") == "F").cast("int"))).scalar()
@@ -152,10 +153,8 @@ def b07(t):
     """,
 )
 def b08(t):
-    from pyspark.sql import Window
-
     pop = t.lineitem.groupBy(F.col("l_partkey").alias("item")).agg(rows().alias("seen"))
-    s = slates(t).join(pop, "item", "left").withColumn("seen", F.coalesce("seen", L(0)))
+    s = materialise(slates(t).join(pop, "item", "left").withColumn("seen", F.coalesce("seen", L(0))))
     first = s.groupBy("q").agg(F.min(F.struct((-F.col("seen")).alias("o"), "item", "is_positive")).alias("m"))
     hit = first.agg(F.round(F.avg("m.is_positive"), 9)).scalar()
     by_slot = s.groupBy(F.col("slot").cast("long").alias("slot")).agg(rows().alias("n"), F.round(F.avg("is_positive"), 9).alias("slot_hit"))
@@ -322,8 +321,8 @@ def x07(t):
 def x08(t):
     from quern.functions.draws import normal
 
-    settings = F.transform(F.sequence(L(1).cast("long"), L(12).cast("long")), lambda i: i)
-    x = t.orders.select("o_orderkey", F.col("o_totalprice").alias("y"), F.explode(settings).alias("th"))
+    settings = F.sequence(L(1).cast("long"), L(12).cast("long"))
+    x = spread(t.orders.select("o_orderkey", "o_totalprice")).select("o_orderkey", F.col("o_totalprice").alias("y"), F.explode(settings).alias("th"))
     sigma, miss = uniform(128, "sigma", "th") * 2, uniform(128, "missing", "th") * 0.3
     x = x.select("th", "y", (F.col("y") + sigma * 140000 * normal(128, "noise", "o_orderkey", "th")).alias("f"), (uniform(128, "gap", "o_orderkey", "th") < miss).alias("gone"))
     m = x.groupBy("th").agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot join key even where that costs one more shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
@@ -52,6 +55,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a result that several branches read to the checkpoint folder, and read it back.
+
+    A written table cuts lineage, keeps columnar pruning and survives the loss
+    of executors.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/quern-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a small input with fewer partitions than cores; larger inputs pass unchanged.
+
+    For work that is heavy per row on a table held in one or a few files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Parquet tables of one directory as attributes: ``Tables(spark, d).orders``."""
 
