@@ -76,9 +76,10 @@ def anonymise(
     check_ids(ids, drop)
     out = list(tables)
     for spec in ids:
+        # Read once per table: cached for the job, never written.
         mapping = code_mapping(
             id_universe(tables, spec.column), spec.prefix, lambda v, c=spec.column: digest(c, v)
-        )
+        ).persist()
         for i, table in enumerate(out):
             if spec.column in table.columns:
                 ready = blank_policy(table, spec.column, blanks)

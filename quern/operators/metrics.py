@@ -10,14 +10,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quern.functions.draws import count_where, poisson1, rows, uniform
 from quern.operators.ordered import running
 from quern.operators.ranks import running_totals
-from quern.session import spread
 
-Y, P = F.col("y"), F.col("p")
+
+def truth() -> Column:
+    return F.col("y")
+
+
+def guess() -> Column:
+    return F.col("p")
+
 
 
 def _smape_term() -> Column:
-    size = F.abs(Y) + F.abs(P)
-    return F.when(size == 0, F.lit(0.0)).otherwise(2.0 * F.abs(Y - P) / size)
+    size = F.abs(truth()) + F.abs(guess())
+    return F.when(size == 0, F.lit(0.0)).otherwise(2.0 * F.abs(truth() - guess()) / size)
 
 
 def regression_metrics() -> dict[str, Column]:
@@ -27,28 +33,28 @@ def regression_metrics() -> dict[str, Column]:
     both formulas are a choice, only their names are given upstream.
     """
     return {
-        "rmse": F.sqrt(F.avg((Y - P) * (Y - P))),
-        "mse": F.avg((Y - P) * (Y - P)),
-        "mae": F.avg(F.abs(Y - P)),
+        "rmse": F.sqrt(F.avg((truth() - guess()) * (truth() - guess()))),
+        "mse": F.avg((truth() - guess()) * (truth() - guess())),
+        "mae": F.avg(F.abs(truth() - guess())),
         "smape": F.avg(_smape_term()),
-        "log_ratio": F.avg(F.abs(F.ln((1.0 + P) / (1.0 + Y)))),
-        "poisson_deviance": 2.0 * F.avg(F.when(Y == 0, P).otherwise(Y * F.ln(Y / P) - (Y - P))),
+        "log_ratio": F.avg(F.abs(F.ln((1.0 + guess()) / (1.0 + truth())))),
+        "poisson_deviance": 2.0 * F.avg(F.when(truth() == 0, guess()).otherwise(truth() * F.ln(truth() / guess()) - (truth() - guess()))),
     }
 
 
-def pinball(q: float, p: Column = P) -> Column:
-    d = Y - p
+def pinball(q: float, p: Column | None = None) -> Column:
+    d = truth() - (guess() if p is None else p)
     return F.avg(F.greatest(F.lit(q) * d, F.lit(q - 1.0) * d))
 
 
 def asymmetric_cost(under: float, over: float) -> Column:
-    d = Y - P
+    d = truth() - guess()
     return F.avg(F.when(d > 0, F.lit(under) * d).otherwise(F.lit(-over) * d))
 
 
 def log_loss() -> Column:
     """Binary log loss; a probability of 0 or 1 on the wrong side is infinite, not clipped."""
-    return -F.avg(F.when(Y == 1, F.ln(P)).otherwise(F.ln(1.0 - P)))
+    return -F.avg(F.when(truth() == 1, F.ln(guess())).otherwise(F.ln(1.0 - guess())))
 
 
 def confusion(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
@@ -57,8 +63,8 @@ def confusion(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
         *groups,
         F.explode(
             F.array(
-                F.struct(Y.alias("label"), F.lit(1).alias("s"), F.lit(0).alias("r"), (Y == P).cast("int").alias("h")),
-                F.struct(P.alias("label"), F.lit(0).alias("s"), F.lit(1).alias("r"), F.lit(0).alias("h")),
+                F.struct(truth().alias("label"), F.lit(1).alias("s"), F.lit(0).alias("r"), (truth() == guess()).cast("int").alias("h")),
+                F.struct(guess().alias("label"), F.lit(0).alias("s"), F.lit(1).alias("r"), F.lit(0).alias("h")),
             )
         ).alias("m"),
     ).select(*groups, "m.*")
@@ -87,7 +93,7 @@ def auc(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     copies do not travel, and running totals go through equal-depth buckets.
     """
     points = df.groupBy(*groups, "p").agg(
-        F.sum("y").cast("long").alias("pos"), F.sum(1 - Y).cast("long").alias("neg")
+        F.sum("y").cast("long").alias("pos"), F.sum(1 - truth()).cast("long").alias("neg")
     )
     line = running_totals(points, df, "p", ["neg", "pos"], groups)
     wins = F.sum((F.col("pos") * (2 * F.col("before_neg") + F.col("neg"))).cast("decimal(38,0)"))
@@ -168,8 +174,9 @@ def concordance(df: DataFrame, levels: int, chunk: int = 256) -> DataFrame:
         cells.withColumn("_t", -F.col("time")), ["risk"], ["_t"],
         {"later": ("sum", F.col("n"))}, chunk, inclusive=False,
     ).agg(F.sum((F.col("ev") * F.col("later")).cast(wide)).alias("tied"))
-    good, bad = by_bit.select("good").scalar(), by_bit.select("bad").scalar()
-    out = same.select(good.alias("good"), bad.alias("bad"), "tied")
+    # One struct, so the level counts run once.
+    ordered = by_bit.select(F.struct("good", "bad")).scalar()
+    out = same.select(ordered["good"].alias("good"), ordered["bad"].alias("bad"), "tied")
     total = F.col("good") + F.col("bad") + F.col("tied")
     return out.select(
         F.col("good").cast("long").alias("concordant"),
@@ -189,7 +196,7 @@ def bootstrap(
     and the shuffle carries one row per replicate and task.
     """
     units = df.groupBy(cluster).agg(*[c.alias(n) for n, c in parts.items()])
-    reps_rows = spread(units).select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    reps_rows = units.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     weighted = reps_rows.withColumn("_w", poisson1(uniform(seed, "boot", "rep", cluster)))
     return (
         weighted.groupBy("rep").agg(*[F.sum(F.col(n) * F.col("_w")).alias(n) for n in parts])

@@ -125,8 +125,9 @@ def report_json(cat: DataFrame, source: str) -> DataFrame:
 def positional_sample(df: DataFrame, sample_rows: int) -> DataFrame:
     """Head, middle and tail thirds by physical position; everything when it fits.
 
-    Position is the file's offset plus the row index inside the file. Offsets
-    come from one count per file.
+    Position is the file's offset plus the row index inside the file. Row counts
+    per file need no column data, and only the files that hold a wanted position
+    are read: at most one per sampled row.
     """
     if sample_rows <= 0:
         raise ValueError("sample_rows must be positive")
@@ -134,21 +135,25 @@ def positional_sample(df: DataFrame, sample_rows: int) -> DataFrame:
     files = placed.groupBy("_f").agg(rows().alias("_n"))
     before = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select(
-        "_f", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"),
+        "_f", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"),
         F.sum("_n").over(Window.partitionBy()).alias("_all"),
     )
     third = max(1, sample_rows // 3)
-    at, n = F.col("_i") + F.col("_o"), F.col("_all")
-    middle = F.greatest(F.lit(0), F.floor(n / 2) - third // 2)
-    tail = F.greatest(F.lit(0), n - third)
-    parts = (
-        (at < third).cast("int")
-        + ((at >= middle) & (at < middle + third)).cast("int")
-        + (at >= tail).cast("int")
-    )
-    copies = F.when(n <= sample_rows, 1).otherwise(parts)
+    n = F.col("_all")
+    middle, tail = F.greatest(F.lit(0), F.floor(n / 2) - third // 2), F.greatest(F.lit(0), n - third)
+    spans = [(F.lit(0), F.lit(third)), (middle, middle + third), (tail, n)]
+    fits = n <= sample_rows
+    touched = fits
+    for start, stop in spans:
+        touched = touched | ((F.col("_o") < stop) & (F.col("_o") + F.col("_n") > start))
+    wanted = offsets.where(touched).drop("_n").collect()
+    at = F.col("_i") + F.col("_o")
+    parts = sum((((at >= a) & (at < b)).cast("int") for a, b in spans), F.lit(0))
+    copies = F.when(fits, 1).otherwise(parts)
+    listed = df.sparkSession.createDataFrame([tuple(r) for r in wanted], "_f string, _o long, _all long")
     return (
-        placed.join(offsets, "_f").withColumn("_c", copies).where("_c > 0")
+        placed.where(F.col("_f").isin([r["_f"] for r in wanted])).join(F.broadcast(listed), "_f")
+        .withColumn("_c", copies).where("_c > 0")
         .withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_c"))))
-        .withColumn("position", at).drop("_f", "_i", "_n", "_o", "_all", "_c")
+        .withColumn("position", at).drop("_f", "_i", "_o", "_all", "_c")
     )

@@ -399,9 +399,9 @@ def a31(t):
 )
 def a32(t):
     low = (F.col("c_acctbal") < 0).cast("int")
-    rate, n = t.customer.agg(F.avg(low)).scalar(), t.customer.agg(rows()).scalar()
+    whole = t.customer.agg(F.struct(F.avg(low).alias("rate"), rows().alias("n"))).scalar()
     g = t.customer.groupBy("c_mktsegment", F.col("c_nationkey").cast("long").alias("nation")).agg(rows().alias("n"), F.avg(low).alias("r"))
-    return g.where("n >= 12").select("c_mktsegment", "nation", "n", F.round(F.col("n") / n, 9).alias("coverage"), F.round(F.col("r") - rate, 9).alias("gap"))
+    return g.where("n >= 12").select("c_mktsegment", "nation", "n", F.round(F.col("n") / whole["n"], 9).alias("coverage"), F.round(F.col("r") - whole["rate"], 9).alias("gap"))
 
 
 def basket(t):

@@ -79,7 +79,7 @@ def mae_mse_scaled(t):
     med = exact_median(t.orders, "o_totalprice").scalar()
     return p.withColumn("med", med).groupBy("o_orderpriority").agg(
         F.round(m["mae"], 4).alias("mae"), F.round(m["mse"], -2).alias("mse"),
-        F.round(m["mae"] / F.avg(F.abs(M.Y - F.col("med"))), 8).alias("scaled_mae"),
+        F.round(m["mae"] / F.avg(F.abs(M.truth() - F.col("med"))), 8).alias("scaled_mae"),
     )
 
 
@@ -143,7 +143,7 @@ def log_loss(t):
     """,
 )
 def pinball(t):
-    q = predictions(t).withColumns({"lo": M.P * 0.9, "mid": M.P, "hi": M.P * 1.1})
+    q = predictions(t).withColumns({"lo": M.guess() * 0.9, "mid": M.guess(), "hi": M.guess() * 1.1})
     return q.groupBy("o_orderpriority").agg(
         F.round(M.pinball(0.1, F.col("lo")), 4).alias("q10"), F.round(M.pinball(0.5, F.col("mid")), 4).alias("q50"),
         F.round(M.pinball(0.9, F.col("hi")), 4).alias("q90"), count_where("not (lo <= mid and mid <= hi)").alias("crossed"),
@@ -211,7 +211,7 @@ def concordance(t):
 def skill_and_log_ratio(t):
     med = exact_median(t.orders, "o_totalprice").scalar()
     m = M.regression_metrics()
-    base = F.sqrt(F.avg((M.Y - F.col("med")) * (M.Y - F.col("med"))))
+    base = F.sqrt(F.avg((M.truth() - F.col("med")) * (M.truth() - F.col("med"))))
     return predictions(t).withColumn("med", med).groupBy("o_orderpriority").agg(
         F.round(1 - m["rmse"] / base, 8).alias("skill"), F.round(m["log_ratio"], 9).alias("log_ratio")
     )
@@ -226,7 +226,7 @@ def skill_and_log_ratio(t):
 )
 def submission_rules(t):
     u = uniform(42, "bad", "o_orderkey")
-    text = F.when(u < 0.01, "").when(u < 0.02, "abc").when(u < 0.03, "NaN").when(u < 0.04, "-5").otherwise(M.Y.cast("string"))
+    text = F.when(u < 0.01, "").when(u < 0.02, "abc").when(u < 0.03, "NaN").when(u < 0.04, "-5").otherwise(M.truth().cast("string"))
     cells = predictions(t).select(text.alias("p"))
     return cells.groupBy(F.coalesce(S.value_error(F.col("p"), 0.0), L("ok")).alias("rule")).agg(rows().alias("n"))
 
@@ -258,8 +258,8 @@ def simplex_check(t):
     """,
 )
 def quantile_order(t):
-    hi = F.when(uniform(43, "cross", "o_orderkey") < 0.05, M.P * 0.95).otherwise(M.P * 1.1)
-    q = predictions(t).withColumns({"lo": M.P * 0.9, "mid": M.P, "hi": hi})
+    hi = F.when(uniform(43, "cross", "o_orderkey") < 0.05, M.guess() * 0.95).otherwise(M.guess() * 1.1)
+    q = predictions(t).withColumns({"lo": M.guess() * 0.9, "mid": M.guess(), "hi": hi})
     return q.groupBy("o_orderpriority").agg(
         rows().alias("n"), count_where("not (lo <= mid and mid <= hi)").alias("crossed"), count_where("lo < 0").alias("negative")
     )
@@ -364,9 +364,9 @@ def many_submissions(t):
     """,
 )
 def coverage_and_cost(t):
-    inside = M.Y.between(M.P * 0.9, M.P * 1.1).cast("int")
+    inside = M.truth().between(M.guess() * 0.9, M.guess() * 1.1).cast("int")
     return predictions(t).groupBy("o_orderpriority").agg(
-        F.round(F.avg(inside), 9).alias("coverage"), F.round(F.avg(M.P * 1.1 - M.P * 0.9), 4).alias("width"),
+        F.round(F.avg(inside), 9).alias("coverage"), F.round(F.avg(M.guess() * 1.1 - M.guess() * 0.9), 4).alias("width"),
         F.round(M.asymmetric_cost(3.0, 1.0), 4).alias("cost"),
     )
 
@@ -392,7 +392,7 @@ BOOT_SQL = f"""
 def paired_bootstrap(t):
     med = exact_median(t.orders, "o_totalprice").scalar()
     p = predictions(t).withColumn("med", med).withColumnRenamed("o_custkey", "k")
-    parts = {"base": F.sum(F.abs(M.Y - F.col("med"))), "model": F.sum(F.abs(M.Y - M.P)), "n": rows()}
+    parts = {"base": F.sum(F.abs(M.truth() - F.col("med"))), "model": F.sum(F.abs(M.truth() - M.guess())), "n": rows()}
     value = F.round((F.col("base") - F.col("model")) / F.col("n"), 4)
     return M.bootstrap(p, "k", parts, value, 40, 51)
 

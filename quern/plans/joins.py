@@ -270,11 +270,9 @@ def pending_runs(t):
     cell = ["task", "variant", "profile", "run"]
     grid = C.expected_runs(panel.select("task").distinct(), ["before", "after"], ["weak", "strong"], 5)
     grid = grid.withColumn("run", F.col("run").cast("long"))
-    todo = grid.join(panel.where("state = 'scored'").select(*cell), cell, "left_anti")
+    todo = grid.join(panel.select(*cell, "state"), cell, "left").where("state is null or state <> 'scored'")
     action = F.when(F.col("state").isNull(), "start").when(F.col("state") == "running", "resume")
-    return todo.join(panel.select(*cell, "state"), cell, "left").select(
-        *cell, action.otherwise("redo").alias("action")
-    )
+    return todo.select(*cell, action.otherwise("redo").alias("action"))
 
 
 def normal_text(c):

@@ -280,9 +280,9 @@ def x04(t):
 )
 def x05(t):
     train = t.customer.where(uniform(126, "part", "c_custkey") < 0.7)
-    mean, std = train.agg(F.avg("c_acctbal")).scalar(), train.agg(F.stddev_samp("c_acctbal")).scalar()
+    fit = train.agg(F.struct(F.avg("c_acctbal").alias("mean"), F.stddev_samp("c_acctbal").alias("std"))).scalar()
     junk = X.junk_columns(t.customer.select("c_custkey", "c_acctbal"), 2, ["c_custkey"], 126)
-    out = X.decoy_column(junk, "c_acctbal", mean, std, 0.3, ["c_custkey"], 126, "decoy")
+    out = X.decoy_column(junk, "c_acctbal", fit["mean"], fit["std"], 0.3, ["c_custkey"], 126, "decoy")
     return rounded(out.drop("c_acctbal"), "junk_0", "junk_1", "decoy", digits=6)
 
 

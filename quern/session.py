@@ -33,6 +33,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.ui.retainedExecutions", "1")
     )
     spark = configure(builder.getOrCreate())
@@ -68,12 +69,13 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition a small input with fewer partitions than cores; larger inputs pass unchanged.
+    """Repartition an input held in fewer files than there are cores; others pass unchanged.
 
-    For work that is heavy per row on a table held in one or a few files.
+    For work that is heavy per row on small tables. Only file names are looked
+    at, nothing runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 class Tables:
