@@ -79,8 +79,8 @@ def key_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         F.sum("_l").alias("left_keys"),
         F.sum("_r").alias("right_keys"),
         both.alias("shared_keys"),
-        F.round(both / F.sum("_l"), 9).alias("left_rate"),
-        F.round(both / F.sum("_r"), 9).alias("right_rate"),
+        F.round(F.try_divide(both, F.sum("_l")), 9).alias("left_rate"),
+        F.round(F.try_divide(both, F.sum("_r")), 9).alias("right_rate"),
     )
 
 

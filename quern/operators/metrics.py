@@ -87,7 +87,7 @@ def class_scores(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 
 
 def auc(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve with average ranks for ties.
+    """Area under the ROC curve with average ranks for ties; null when a class is absent.
 
     Scores are collapsed to (score, positives, negatives) first, so ties and
     copies do not travel, and running totals go through equal-depth buckets.
@@ -98,7 +98,7 @@ def auc(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     line = running_totals(points, df, "p", ["neg", "pos"], groups)
     wins = F.sum((F.col("pos") * (2 * F.col("before_neg") + F.col("neg"))).cast("decimal(38,0)"))
     pairs = F.max("all_pos").cast("double") * F.max("all_neg")
-    return line.groupBy(*groups).agg((wins.cast("double") / (2.0 * pairs)).alias("auc"))
+    return line.groupBy(*groups).agg(F.try_divide(wins.cast("double"), 2.0 * pairs).alias("auc"))
 
 
 def ranking_metrics(df: DataFrame, query: str, k: int) -> DataFrame:
@@ -182,7 +182,7 @@ def concordance(df: DataFrame, levels: int, chunk: int = 256) -> DataFrame:
         F.col("good").cast("long").alias("concordant"),
         F.col("bad").cast("long").alias("discordant"),
         F.col("tied").cast("long").alias("tied_risk"),
-        ((F.col("good") + F.col("tied") * 0.5).cast("double") / total.cast("double")).alias("c_index"),
+        F.try_divide((F.col("good") + F.col("tied") * 0.5).cast("double"), total.cast("double")).alias("c_index"),
     )
 
 

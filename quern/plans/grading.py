@@ -114,7 +114,7 @@ def class_scores(t):
     """
     WITH x AS (SELECT lang, quality AS y, n_chars AS p FROM labels JOIN documents USING (doc_id)),
     r AS (SELECT lang, y, rank() OVER (PARTITION BY lang ORDER BY p) + (count(*) OVER (PARTITION BY lang, p) - 1) / 2.0 AS rk FROM x)
-    SELECT lang, round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 9) AS auc FROM r GROUP BY 1
+    SELECT lang, round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0), 9) AS auc FROM r GROUP BY 1
     """,
 )
 def auc(t):

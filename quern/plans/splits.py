@@ -132,7 +132,7 @@ def three_partitions(t):
 @query(
     "d08_stratified_subsample",
     f"""
-    WITH k AS (SELECT *, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem),
+    WITH k AS (SELECT *, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT, l_quantity::BIGINT) AS k FROM lineitem),
     r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY {d_sql(8, 'quota', 'k')}, k) AS q FROM k)
     SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity)::BIGINT AS quantity, sum(l_orderkey)::BIGINT AS key_sum
     FROM r WHERE q <= 500 GROUP BY 1, 2
@@ -141,7 +141,7 @@ def three_partitions(t):
 def stratified_subsample(t):
     keyed = t.lineitem.select(
         "l_returnflag", "l_linestatus", "l_quantity", "l_orderkey",
-        F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("k"),
+        F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long"), F.col("l_quantity").cast("long")).alias("k"),
     )
     return S.quota_sample(keyed, ["l_returnflag", "l_linestatus"], "k", 500, 8).groupBy(
         "l_returnflag", "l_linestatus"
