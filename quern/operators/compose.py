@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions.draws import count_where, draw_digest, uniform
-from quern.operators.ordered import DAY, as_of, running
+from quern.operators.ordered import Chunks, as_of, running, time_chunks
 from quern.operators.ranks import hashed_rank
 from quern.session import spread
 
@@ -179,7 +179,7 @@ def overlap_counts(
     keys: Sequence[str],
     start: str,
     end: str,
-    width: int = DAY * 30,
+    chunks: Chunks = None,
 ) -> DataFrame:
     """Add ``overlaps``: how many half-open ``others`` windows of the key meet this one.
 
@@ -212,7 +212,7 @@ def overlap_counts(
         keys,
         ["t"],
         {"_s_to": ("sum", F.coalesce("s", z)), "_e_to": ("sum", F.coalesce("e", z))},
-        width,
+        time_chunks(others, start) if chunks is None else chunks,
     ).where("ask = 1")
     s_before = counted.select(
         *keys, F.col("t").alias(end), (F.col("_s_to") - F.coalesce("s", z)).alias("_starts")
@@ -304,11 +304,11 @@ def nearest_on_line(
     keys = list(keys)
     cols = list(cols)
     facts = build.select(*keys, x, *cols).withColumn("at", F.col(x))
-    below = as_of(probe, facts, keys, x, [*cols, "at"], inclusive=True, width=None)
+    below = as_of(probe, facts, keys, x, [*cols, "at"], inclusive=True)
     flip = facts.withColumn(x, -F.col(x))
     above = as_of(
         probe.select(*keys, (-F.col(x)).alias(x)).distinct(), flip, keys, x, [*cols, "at"],
-        inclusive=True, width=None,
+        inclusive=True,
     ).select(*keys, (-F.col(x)).alias(x), *[F.col(f"asof_{c}").alias(f"up_{c}") for c in [*cols, "at"]])
     j = below.join(above, [*keys, x], "left")
     use_up = F.col("asof_at").isNull() | (

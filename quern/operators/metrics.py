@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions.draws import count_where, poisson1, rows, uniform
-from quern.operators.ordered import running
+from quern.operators.ordered import Chunks, running, time_chunks
 from quern.operators.ranks import running_totals
 
 
@@ -125,7 +125,7 @@ def ranking_metrics(df: DataFrame, query: str, k: int) -> DataFrame:
     )
 
 
-def concordance(df: DataFrame, levels: int, chunk: int = 256) -> DataFrame:
+def concordance(df: DataFrame, levels: int, chunks: Chunks = None) -> DataFrame:
     """Concordance index with right censoring, exact, without forming pairs.
 
     Input: integer ``time``, ``event`` (1 = observed) and ``risk`` as an integer
@@ -135,6 +135,8 @@ def concordance(df: DataFrame, levels: int, chunk: int = 256) -> DataFrame:
     the group give how many later rows carry a 0 or a 1 there. Rows are counted
     per (time, risk) first and the running counts go through time chunks.
     """
+    back = df.select((-F.col("time")).alias("_t"))
+    chunks = time_chunks(back, "_t") if chunks is None else chunks
     cells = df.groupBy("time", "risk").agg(
         F.sum("event").cast("long").alias("ev"), rows().alias("n")
     )
@@ -163,7 +165,7 @@ def concordance(df: DataFrame, levels: int, chunk: int = 256) -> DataFrame:
     )
     later = running(
         per_time.withColumn("_t", -F.col("time")), ["bit", "grp"], ["_t"],
-        {"later0": ("sum", F.col("n0")), "later1": ("sum", F.col("n1"))}, chunk, inclusive=False,
+        {"later0": ("sum", F.col("n0")), "later1": ("sum", F.col("n1"))}, chunks, inclusive=False,
     )
     wide = "decimal(38,0)"
     by_bit = later.agg(
@@ -172,7 +174,7 @@ def concordance(df: DataFrame, levels: int, chunk: int = 256) -> DataFrame:
     )
     same = running(
         cells.withColumn("_t", -F.col("time")), ["risk"], ["_t"],
-        {"later": ("sum", F.col("n"))}, chunk, inclusive=False,
+        {"later": ("sum", F.col("n"))}, chunks, inclusive=False,
     ).agg(F.sum((F.col("ev") * F.col("later")).cast(wide)).alias("tied"))
     # One struct, so the level counts run once.
     ordered = by_bit.select(F.struct("good", "bad")).scalar()

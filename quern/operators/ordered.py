@@ -2,7 +2,12 @@
 
 An entity with a third of all rows would be one task under a plain window.
 Here the window partition is (entity, chunk); per chunk one summary row moves
-on, and the chunk summaries of an entity are bounded by its time span.
+on. Chunks are cut at equal numbers of rows of the whole table, so no chunk of
+any entity holds more than its share, however bursty the times; an entity has
+at most as many summaries as there are chunks.
+
+``chunks`` is None (cut the operator's own input), a list from
+:func:`time_chunks` (to share one cut over several steps), or a fixed width.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quern.operators.ranks import depth_buckets
+from quern.operators.ranks import add_bucket, cut_points
 
 DAY = 86_400_000_000
 
@@ -22,8 +27,20 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
-def _chunk(order: Sequence[str], width: int) -> Column:
-    return F.floor(F.col(order[0]) / F.lit(width)).cast("long")
+PIECES = 512
+Chunks = int | Sequence | None
+
+
+def time_chunks(df: DataFrame, t: str, pieces: int = PIECES) -> list:
+    """Bounds of equally filled chunks of ``t``."""
+    return cut_points(df, t, pieces)
+
+
+def _chunked(df: DataFrame, t: str, chunks: Chunks, source: DataFrame | None = None) -> DataFrame:
+    if isinstance(chunks, int):
+        return df.withColumn("_k", F.floor(F.col(t) / F.lit(chunks)).cast("long"))
+    bounds = time_chunks(df if source is None else source, t) if chunks is None else chunks
+    return add_bucket(df, t, bounds, "_k")
 
 
 def neighbour(
@@ -31,7 +48,7 @@ def neighbour(
     keys: Sequence[str],
     order: Sequence[str],
     cols: Sequence[str],
-    width: int = DAY,
+    chunks: Chunks = None,
     ahead: bool = False,
     tag: str | None = None,
 ) -> DataFrame:
@@ -43,7 +60,7 @@ def neighbour(
     keys = list(keys)
     step = F.lead if ahead else F.lag
     edge = F.min if ahead else F.max
-    chunked = df.withColumn("_k", _chunk(order, width))
+    chunked = _chunked(df, order[0], chunks)
     inner = Window.partitionBy(*keys, "_k").orderBy(*order)
     packed = F.struct(
         *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
@@ -64,7 +81,7 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     specs: Mapping[str, tuple[str, Column]],
-    width: int = DAY,
+    chunks: Chunks = None,
     inclusive: bool = True,
 ) -> DataFrame:
     """Add running ``sum``/``min``/``max`` columns per entity.
@@ -74,7 +91,7 @@ def running(
     """
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
     keys = list(keys)
-    chunked = df.withColumn("_k", _chunk(order, width))
+    chunked = _chunked(df, order[0], chunks)
     for i, (_, col) in enumerate(specs.values()):
         chunked = chunked.withColumn(f"_v{i}", col)
     stop = 0 if inclusive else -1
@@ -108,7 +125,7 @@ def strictly_prior(
     keys: Sequence[str],
     t: str,
     sums: Mapping[str, Column],
-    width: int = DAY,
+    chunks: Chunks = None,
 ) -> DataFrame:
     """Add totals over rows of the entity with a strictly earlier ``t``.
 
@@ -118,7 +135,8 @@ def strictly_prior(
     keys = list(keys)
     points = df.groupBy(*keys, t).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     totals = running(
-        points, keys, [t], {n: ("sum", F.col(f"_{n}")) for n in sums}, width, inclusive=False
+        points, keys, [t], {n: ("sum", F.col(f"_{n}")) for n in sums},
+        time_chunks(df, t) if chunks is None else chunks, inclusive=False,
     ).select(*keys, t, *sums)
     return df.join(totals, [*keys, t], "left")
 
@@ -131,15 +149,13 @@ def as_of(
     cols: Sequence[str],
     inclusive: bool = False,
     delay: int = 0,
-    width: int | None = DAY,
+    chunks: Chunks = None,
 ) -> DataFrame:
     """Left as-of join: the latest build row at or before (strictly before) the probe time.
 
     ``build`` becomes visible ``delay`` microseconds after its ``t``. Build rows
     that share key and time collapse to the greatest value struct; probe times
     are made distinct before the ordered pass and joined back afterwards.
-    Without a ``width`` the axis is cut at approximate quantiles of the build
-    side, for axes other than time and for joins without keys.
     """
     keys = list(keys)
     packed = F.struct(*[F.col(c) for c in cols])
@@ -155,11 +171,8 @@ def as_of(
         .withColumn("_side", F.lit(1 if inclusive else 0))
     )
     is_ask = F.col("_side") == F.lit(1 if inclusive else 0)
-    line = facts.unionByName(asks)
-    if width is None:
-        line = depth_buckets(line, build.withColumn(t, F.col(t) + F.lit(delay)), t).withColumnRenamed("_b", "_k")
-    else:
-        line = line.withColumn("_k", _chunk([t], width))
+    both = build.select(t).unionByName(probe.select(t))
+    line = _chunked(facts.unionByName(asks), t, chunks, source=both)
     inner = (
         Window.partitionBy(*keys, "_k").orderBy(t, "_side")
         .rowsBetween(Window.unboundedPreceding, 0)

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quern.session import materialise
+
 
 def hashed_rank(
     df: DataFrame,
@@ -53,17 +55,33 @@ def share_limit(df: DataFrame, digest: Column, share: float, prefix: int = 4) ->
     return near.select("_d", rank.alias("_r")).where(F.col("_r") == at["k"]).agg(F.max("_d")).scalar()
 
 
-def depth_buckets(points: DataFrame, source: DataFrame, x: str, buckets: int = 128) -> DataFrame:
-    """Add ``_b``, a monotone bucket number of ``x`` with about equal ``source`` rows per bucket.
+def cut_points(df: DataFrame, x: str, pieces: int = 128) -> list:
+    """``pieces - 1`` ascending bounds that cut ``df`` in about equal numbers of rows.
+
+    One map-side sketch, fetched as a short list. As literals the bounds are the
+    same in every branch of a plan and in every retry, which a sketch that is
+    evaluated twice would not be. ``pieces`` is a power of two.
+    """
+    shares = [i / pieces for i in range(1, pieces)]
+    found = df.agg(F.percentile_approx(F.col(x), shares, 10 * pieces)).first()[0]
+    return sorted(found) if found else []
+
+
+def add_bucket(df: DataFrame, x: str, bounds: Sequence, out: str = "_b") -> DataFrame:
+    """Add the number of bounds below ``x``, by a binary search in generated code.
 
-    The bounds are approximate quantiles from one map-side sketch; results built
-    on the buckets stay exact because any monotone bucketing does.
+    Any monotone bucketing gives exact results further on; equal depth bounds
+    the rows per bucket whatever key or time they cluster on.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = source.agg(F.percentile_approx(F.col(x), shares, 1000).alias("b")).scalar()
-    held = points.withColumn("_bounds", bounds)
-    place = F.size(F.filter("_bounds", lambda b: b < F.col(x)))
-    return held.withColumn("_b", F.coalesce(place, F.lit(0))).drop("_bounds")
+    if not bounds:
+        return df.withColumn(out, F.lit(0))
+    listed = F.array(*map(F.lit, bounds))
+    step, found = (len(bounds) + 1) // 2, df.withColumn(out, F.lit(0))
+    while step:
+        below = F.coalesce(F.get(listed, F.col(out) + F.lit(step - 1)) < F.col(x), F.lit(False))
+        found = found.withColumn(out, F.col(out) + F.when(below, step).otherwise(0))
+        step //= 2
+    return found
 
 
 def running_totals(
@@ -80,7 +98,7 @@ def running_totals(
     equal-depth buckets of ``x``; the bucket totals of a group give the carry.
     """
     groups = list(groups)
-    placed = depth_buckets(points, source, x, buckets)
+    placed = add_bucket(points, x, cut_points(source, x, buckets))
     totals = placed.groupBy(*groups, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
@@ -115,18 +133,22 @@ def exact_quantile(
     the three classes tells which of them holds the wanted ranks, and only that
     class is sorted. The counts are exact, so the result does not depend on the
     sketch: a poor sketch only makes the sorted class larger. Nothing but
-    sketches, counts and the near class is shuffled.
+    sketches, counts and the near class is shuffled. The bounds are fixed before
+    use (fetched, or written when there are groups), so that counting and
+    sorting see the same classes even when a task runs again.
     """
     groups = list(groups)
     values = df.where(F.col(x).isNotNull()).select(*groups, x)
     low, high = max(share - _MARGIN, 0.0), min(share + _MARGIN, 1.0)
     sketch = F.percentile_approx(F.col(x), [low, high], _ACCURACY)
     if groups:
-        bounds = values.groupBy(*groups).agg(sketch.alias("_e"))
+        bounds = materialise(values.groupBy(*groups).agg(sketch.alias("_e")))
         classed = values.join(bounds, groups)
+        lower, upper = F.col("_e")[0], F.col("_e")[1]
     else:
-        classed = values.withColumn("_e", values.agg(sketch.alias("_e")).scalar())
-    c = F.when(F.col(x) < F.col("_e")[0], 0).when(F.col(x) <= F.col("_e")[1], 1).otherwise(2)
+        classed = values
+        lower, upper = map(F.lit, values.agg(sketch).first()[0] or (None, None))
+    c = F.when(F.col(x) < lower, 0).when(F.col(x) <= upper, 1).otherwise(2)
     classed = classed.select(*groups, x, c.alias("_c"))
     counts = classed.groupBy(*groups).agg(
         *[F.count(F.when(F.col("_c") == i, 1)).alias(f"_n{i}") for i in range(3)]

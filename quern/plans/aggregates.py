@@ -85,12 +85,12 @@ def a11(t):
 @query(
     "a12_mean_std_rates",
     f"""
-    WITH {PANEL_SQL} SELECT task, profile, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, round(avg((coalesce(score, -1) >= 50)::INT), 9) AS pass_rate, round(avg(starts_with(state, 'fail:')::INT), 9) AS fail_rate FROM panel GROUP BY 1, 2
+    WITH {PANEL_SQL} SELECT task, profile, round(sum(score::DECIMAL(18,2))::DOUBLE / nullif(count(score), 0), 9) AS mean, round(stddev_samp(score), 6) AS std, round(avg((coalesce(score, -1) >= 50)::INT), 9) AS pass_rate, round(avg(starts_with(state, 'fail:')::INT), 9) AS fail_rate FROM panel GROUP BY 1, 2
     """,
 )
 def a12(t):
     return panel_of(t.events).groupBy("task", "profile").agg(
-        F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_samp("score"), 6).alias("std"),
+        F.round(mean_score(), 9).alias("mean"), F.round(F.stddev_samp("score"), 6).alias("std"),
         F.round(F.avg((F.coalesce("score", L(-1.0)) >= 50).cast("int")), 9).alias("pass_rate"),
         F.round(F.avg(F.startswith("state", L("fail:")).cast("int")), 9).alias("fail_rate"),
     )
@@ -98,26 +98,31 @@ def a12(t):
 
 TRIO_SQL = f"""
     {PANEL_SQL}, trio AS (SELECT task, max(score) FILTER (profile = 'weak') AS weak, max(score) FILTER (profile = 'strong') AS strong, count(*) FILTER (profile = 'weak' AND score >= 60) AS clears,
-      avg(score) * 3 AS gold FROM panel GROUP BY 1)
+      sum(score::DECIMAL(18,2))::DOUBLE / nullif(count(score), 0) * 3 AS gold FROM panel GROUP BY 1)
 """
 
 
+def mean_score():
+    """Mean through an exact decimal sum, so that it does not depend on task order."""
+    return F.try_divide(F.sum(F.col("score").cast(MONEY)).cast("double"), F.count("score"))
+
+
 def trio(t):
     weak, strong = F.col("profile") == "weak", F.col("profile") == "strong"
     return panel_of(t.events).groupBy("task").agg(
         F.max(F.when(weak, F.col("score"))).alias("weak"), F.max(F.when(strong, F.col("score"))).alias("strong"),
-        count_where(weak & (F.col("score") >= 60)).alias("clears"), (F.avg("score") * 3).alias("gold"),
+        count_where(weak & (F.col("score") >= 60)).alias("clears"), (mean_score() * 3).alias("gold"),
     )
 
 
 @query(
     "a13_spread_objective",
-    f"WITH {TRIO_SQL} SELECT task, round((strong - weak) + 0.5 * (gold - weak) - 2 * greatest(0, strong - gold - 0.1 * abs(gold)) - 1 * CASE WHEN strong < 20 THEN 1 ELSE 0 END, 6) AS spread FROM trio",
+    f"WITH {TRIO_SQL} SELECT task, round((strong - weak) + 0.5 * (gold - weak) - 2 * greatest(0, strong - gold - 0.1 * abs(gold)) - 1 * CASE WHEN strong < 20 THEN 1 ELSE 0 END, 9) AS spread FROM trio",
 )
 def a13(t):
     collapse = F.when(F.col("strong") < 20, 1).otherwise(0)
     value = N.spread_objective(F.col("weak"), F.col("strong"), F.col("gold"), collapse, (1.0, 0.5, 2.0, 1.0))
-    return trio(t).select("task", F.round(value, 6).alias("spread"))
+    return trio(t).select("task", F.round(value, 9).alias("spread"))
 
 
 @query(
@@ -258,9 +263,10 @@ def a23(t):
     return t.part.groupBy("p_brand", "p_type").agg(rows().alias("n"), (rows() < 15).alias("below_support"))
 
 
-@query("a24_rare_combinations", "SELECT c_nationkey::BIGINT AS nation, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2 HAVING count(*) < 10")
+@query("a24_rare_combinations", "SELECT c_nationkey::BIGINT AS nation, c_mktsegment, floor(c_acctbal / 1000)::BIGINT AS balance, count(*) AS n FROM customer GROUP BY 1, 2, 3 HAVING count(*) < 10")
 def a24(t):
-    return t.customer.groupBy(F.col("c_nationkey").cast("long").alias("nation"), "c_mktsegment").agg(rows().alias("n")).where("n < 10")
+    cell = [F.col("c_nationkey").cast("long").alias("nation"), "c_mktsegment", F.floor(F.col("c_acctbal") / 1000).alias("balance")]
+    return t.customer.groupBy(*cell).agg(rows().alias("n")).where("n < 10")
 
 
 TRAJECTORY_SQL = "sum(('0x' || substr(sha256(concat_ws('|', {rel}::VARCHAR, event_type)), 1, 13))::BIGINT)::VARCHAR"

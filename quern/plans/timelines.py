@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from quern.functions.draws import count_where, rows, uniform
 from quern.operators import runlog as R
-from quern.operators.ordered import DAY, micros, neighbour, running, strictly_prior
+from quern.operators.ordered import micros, neighbour, running, strictly_prior, time_chunks
 from quern.plans.joins import MONEY
 from quern.plans.panel_frame import PANEL_SQL
 from quern.plans.registry import query, u_sql
@@ -188,8 +188,9 @@ def w10(t):
     """,
 )
 def w11(t):
-    ahead = neighbour(log(t), ["user_id"], ["us", "event_id"], ["us"], ahead=True)
-    chains = R.retry_chains(ahead, ["user_id"], ["us", "event_id"], F.col("event_type") == "error")
+    cuts = time_chunks(log(t), "us")
+    ahead = neighbour(log(t), ["user_id"], ["us", "event_id"], ["us"], cuts, ahead=True)
+    chains = R.retry_chains(ahead, ["user_id"], ["us", "event_id"], F.col("event_type") == "error", cuts)
     delay = F.round((F.col("next_us") - F.col("us")) / 1e6, 6)
     return chains.select("event_id", "user_id", F.col("attempt").cast("long").alias("attempt"), "paused", delay.alias("delay_seconds"))
 
@@ -284,7 +285,8 @@ def b12(t):
     """Differencing published running balances gives the hidden amounts back."""
     c = log(t).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
     order = ["us", "event_id"]
-    s = running(c, ["user_id"], order, {"balance": ("sum", F.col("cents"))})
-    n = neighbour(s, ["user_id"], order, ["balance", "cents"], ahead=True).where("next_cents is not null")
+    cuts = time_chunks(c, "us")
+    s = running(c, ["user_id"], order, {"balance": ("sum", F.col("cents"))}, cuts)
+    n = neighbour(s, ["user_id"], order, ["balance", "cents"], cuts, ahead=True).where("next_cents is not null")
     guess = F.col("next_balance") - F.col("balance")
     return n.agg(rows().alias("n"), count_where(guess == F.col("next_cents")).alias("recovered"), F.max(F.abs(guess - F.col("next_cents"))).alias("worst"))
