@@ -27,13 +27,19 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
-PIECES = 512
 Chunks = int | Sequence | None
 
 
-def time_chunks(df: DataFrame, t: str, pieces: int = PIECES) -> list:
+def chunk_count(df: DataFrame) -> int:
+    """Chunks that keep the whole cluster busy on one hot entity: 32 to 1,024."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return max(32, min(1024, tasks))
+
+
+def time_chunks(df: DataFrame, t: str, pieces: int | None = None) -> list:
     """Bounds of equally filled chunks of ``t``."""
-    return cut_points(df, t, pieces)
+    return cut_points(df, t, pieces or chunk_count(df))
 
 
 def _chunked(df: DataFrame, t: str, chunks: Chunks, source: DataFrame | None = None) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.session import materialise
@@ -58,30 +60,29 @@ def share_limit(df: DataFrame, digest: Column, share: float, prefix: int = 4) ->
 def cut_points(df: DataFrame, x: str, pieces: int = 128) -> list:
     """``pieces - 1`` ascending bounds that cut ``df`` in about equal numbers of rows.
 
-    One map-side sketch, fetched as a short list. As literals the bounds are the
-    same in every branch of a plan and in every retry, which a sketch that is
-    evaluated twice would not be. ``pieces`` is a power of two.
+    One map-side sketch, fetched as a short list. Fixed bounds are the same in
+    every branch of a plan and in every retry, which a sketch that is evaluated
+    twice would not be.
     """
     shares = [i / pieces for i in range(1, pieces)]
-    found = df.agg(F.percentile_approx(F.col(x), shares, 10 * pieces)).first()[0]
+    found = df.agg(F.percentile_approx(F.col(x), shares, 4 * pieces)).first()[0]
     return sorted(found) if found else []
 
 
 def add_bucket(df: DataFrame, x: str, bounds: Sequence, out: str = "_b") -> DataFrame:
-    """Add the number of bounds below ``x``, by a binary search in generated code.
+    """Add the bucket number of numeric ``x`` between ascending bounds.
 
     Any monotone bucketing gives exact results further on; equal depth bounds
-    the rows per bucket whatever key or time they cluster on.
+    the rows per bucket whatever key or time they cluster on. The bounds sit in
+    the bucketizer, not in the plan, which they would swell.
     """
-    if not bounds:
+    inner = sorted({float(b) for b in bounds if math.isfinite(b)})
+    if not inner:
         return df.withColumn(out, F.lit(0))
-    listed = F.array(*map(F.lit, bounds))
-    step, found = (len(bounds) + 1) // 2, df.withColumn(out, F.lit(0))
-    while step:
-        below = F.coalesce(F.get(listed, F.col(out) + F.lit(step - 1)) < F.col(x), F.lit(False))
-        found = found.withColumn(out, F.col(out) + F.when(below, step).otherwise(0))
-        step //= 2
-    return found
+    splits = [-math.inf, *inner, math.inf]
+    cut = Bucketizer(splits=splits, inputCol="_x", outputCol="_y", handleInvalid="keep")
+    placed = cut.transform(df.withColumn("_x", F.col(x).cast("double")))
+    return placed.withColumn(out, F.coalesce(F.col("_y").cast("int"), F.lit(0))).drop("_x", "_y")
 
 
 def running_totals(

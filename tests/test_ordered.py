@@ -163,11 +163,12 @@ def test_sessions(spark):
     assert out == {(1, 0): 1, (1, 5): 1, (1, 20): 2, (1, 26): 2, (2, 7): 1}
 
 
-def test_buckets_count_the_bounds_below(spark):
-    df = spark.createDataFrame([(x,) for x in [-5, 0, 1, 2, 3, 7, 8, 100]], "x long")
-    bounds = [0, 1, 1, 3, 7, 7, 9]
-    got = {r.x: r["_b"] for r in R.add_bucket(df, "x", bounds).collect()}
-    assert got == {x: sum(b < x for b in bounds) for x in got}
+def test_buckets_are_monotone(spark):
+    xs = [-5, 0, 1, 2, 3, 7, 8, 100]
+    df = spark.createDataFrame([(x,) for x in xs], "x long")
+    got = [r["_b"] for r in R.add_bucket(df, "x", [0, 1, 1, 3, 7, 7, 9]).orderBy("x").collect()]
+    assert got == sorted(got) and got[0] == 0 and len(set(got)) == 6
+    assert {r["_b"] for r in R.add_bucket(df, "x", []).collect()} == {0}
 
 
 def test_no_chunk_of_a_hot_entity_is_large(spark):
@@ -176,5 +177,6 @@ def test_no_chunk_of_a_hot_entity_is_large(spark):
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"),
         F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.col("id") * 1_000_000).alias("t"),
     )
-    placed = R.add_bucket(df, "t", O.time_chunks(df, "t"), "c")
-    assert placed.groupBy("k", "c").count().agg(F.max("count")).first()[0] < 30_000 / 100
+    placed = R.add_bucket(df, "t", O.time_chunks(df, "t", 512), "c")
+    assert placed.groupBy("k", "c").count().agg(F.max("count")).first()[0] < 2 * 30_000 / 512
+    assert 32 <= O.chunk_count(df) <= 1024
