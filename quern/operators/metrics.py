@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.functions.draws import count_where, poisson1, rows, uniform
+from quern.functions.draws import poisson1, rows, uniform
 from quern.operators.ordered import Chunks, running, time_chunks
 from quern.operators.ranks import running_totals
 

@@ -9,7 +9,7 @@ from quern.operators import metrics as M, submission as S
 from quern.operators.compose import merge_sources
 from quern.operators.ranks import exact_median, running_totals
 from quern.operators.splits import exact_split
-from quern.plans.joins import MONEY, SLATE_SQL, slates
+from quern.plans.joins import SLATE_SQL, slates
 from quern.plans.panel_frame import PANEL_SQL, panel_of
 from quern.plans.registry import query, u_sql
 from quern.plans.splits import EXACT_SQL

@@ -8,8 +8,6 @@ from quern.functions.draws import count_where, draw_digest, rows, uniform
 from quern.operators import compose as C, perturb as X, probes as B
 from quern.operators.ordered import micros
 from quern.operators.ranks import exact_median, hashed_rank
-from quern.operators.splits import exact_split
-from quern.plans.grading import PRED, predictions
 from quern.plans.joins import MONEY, SLATE_SQL, slates
 from quern.plans.registry import d_sql, query, u_sql
 from quern.plans.splits import EXACT_SQL, sized

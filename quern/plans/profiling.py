@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.draws import count_where, draw_digest, rows, uniform
 from quern.functions.keyed import keyed_digest_in_plan
-from quern.functions.names import ID_TOKENS, NAME_FLAGS, name_flags, name_tokens
+from quern.functions.names import NAME_FLAGS, name_flags, name_tokens
 from quern.operators import compose as C, ids as I, profile as P
 from quern.operators.perturb import opaque_names
 from quern.operators.ranks import hashed_rank

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions import jsonrules as J, text as X
+from quern.functions import jsonrules as J
 from quern.functions.draws import count_where, rows, uniform
 from quern.operators import compose as C
-from quern.operators.splits import exact_split, part_by_share
+from quern.operators.splits import part_by_share
 from quern.plans.panel_frame import PANEL_SQL, panel_of
 from quern.plans.registry import query, u_sql
 from quern.plans.splits import EXACT_SQL, sized

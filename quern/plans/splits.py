@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quern.functions.draws import count_where, rows, uniform
 from quern.operators import splits as S
-from quern.operators.compose import table_diff
 from quern.plans.joins import MONEY
 from quern.plans.registry import d_sql, query, u_sql
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from quern.functions.draws import count_where, rows, uniform
 from quern.operators import panel as N
 from quern.operators.compose import expected_runs
-from quern.operators.profile import missing_masks
 from quern.plans.joins import MONEY
 from quern.plans.panel_frame import PANEL_SQL, panel_of
 from quern.plans.profiling import DIRTY, dirty_customer

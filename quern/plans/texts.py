@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import jsonrules as J, text as X
-from quern.functions.draws import count_where, rows, uniform
+from quern.functions.draws import rows, uniform
 from quern.operators.panel import hours_minutes
 from quern.plans.registry import query, u_sql
 from quern.session import spread

@@ -8,7 +8,6 @@ from quern.functions.draws import count_where, rows, uniform
 from quern.operators import runlog as R
 from quern.operators.ordered import micros, neighbour, running, strictly_prior, time_chunks
 from quern.plans.joins import MONEY
-from quern.plans.panel_frame import PANEL_SQL
 from quern.plans.registry import query, u_sql
 
 L = F.lit
