@@ -15,9 +15,8 @@ of them, so a document may miss ``n - ceil(percent * n / 100)`` of its lists.
 3. The short lists of every document, one more than it may miss, are merged by
    one sort over (shingle, id). Lists of one document end there.
 4. Each document of a list is checked against the list's first; confirmed links
-   give components. A second pass counts the short lists shared by documents
-   that are still apart, and keeps a pair only where T can be reached if all
-   long lists agree.
+   give components. A second pass pairs documents of a list that are still
+   apart, where the list stands early enough on both sides for T to be reached.
 5. A kept pair is settled by probing: binary search of one set in the other,
    block by block. Pairs inside one component are never formed.
 
@@ -44,8 +43,8 @@ from quern.session import materialise
 SIZE = 5
 PERCENT = 80
 LONG_LISTS = 200_000
-_OFTEN = 4
-_COUNTED = 1 << 20
+_OFTEN = 3
+_COUNTED = 1 << 22
 _BLOCK = 256
 
 
@@ -131,32 +130,30 @@ def _short_lists(size: int, percent: int, long_ones: np.ndarray):
 
 def _merged_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (shingle, id): keep lists of two or more, with the list's first document."""
-    last = None  # the row that waits for its follower: (shingle, id, n)
-    head = None  # first document of the open list: (shingle, id, n)
+    last = None  # the row that waits for its follower
+    head = None  # first document of the open list: (id, n)
     open_list = False
-    names = ["shingle", "id", "n", "hub", "hub_n"]
+    names = ["shingle", "id", "n", "place", "hub", "hub_n"]
     for batch in batches:
-        s, i, n = (batch.column(c).to_numpy() for c in ("shingle", "id", "n"))
+        s, i, n, place = (batch.column(c).to_numpy() for c in names[:4])
         if last is not None:
-            s, i, n = (np.concatenate(([v], c)) for v, c in zip(last, (s, i, n)))
+            s, i, n, place = (np.concatenate((np.array([v], c.dtype), c)) for v, c in zip(last, (s, i, n, place)))
         new = np.ones(len(s), bool)
         new[1:] = s[1:] != s[:-1]
-        if head is not None and head[0] == s[0] and open_list:
+        if open_list:  # the waiting row has its list's beginning in an earlier batch
             new[0] = False
         start = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
         hub, hub_n = i[np.maximum(start, 0)], n[np.maximum(start, 0)]
         if head is not None:
-            hub, hub_n = np.where(start < 0, head[1], hub), np.where(start < 0, head[2], hub_n)
+            hub, hub_n = np.where(start < 0, head[0], hub), np.where(start < 0, head[1], hub_n)
         shared = ~new
         shared[:-1] |= ~new[1:]
-        last = (s[-1], i[-1], n[-1])
-        open_list = not new[-1]
-        head = (s[-1], hub[-1], hub_n[-1])
+        last, open_list, head = (s[-1], i[-1], n[-1], place[-1]), not new[-1], (hub[-1], hub_n[-1])
         keep = np.flatnonzero(shared[:-1])
         if len(keep):
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (s, i, n, hub, hub_n)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (s, i, n, place, hub, hub_n)], names=names)
     if last is not None and open_list:
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*last, head[1], head[2])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*last, *head), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=names)
 
 
 def _probe(size: int, percent: int):
@@ -210,8 +207,8 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     copies = materialise(copies.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
 
     listed = classes.select(F.col("first").alias("id"), "n", "lists")
-    postings = listed.select(F.explode("lists").alias("shingle"), "id", "n").repartition("shingle").sortWithinPartitions("shingle", "id")
-    lists = materialise(postings.mapInArrow(_merged_lists, "shingle long, id long, n long, hub long, hub_n long"))
+    postings = listed.select(F.posexplode("lists").alias("place", "shingle"), "id", "n").repartition("shingle").sortWithinPartitions("shingle", "id")
+    lists = materialise(postings.mapInArrow(_merged_lists, "shingle long, id long, n long, place int, hub long, hub_n long"))
 
     texts = docs.join(lists.select("id").distinct(), "id", "left_semi").select("id", "text")
     texts = materialise(texts)
@@ -220,26 +217,30 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     links = materialise(links)
     parts = components(links)
 
-    apart = lists.select("shingle", "id", "n").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    apart = lists.select("shingle", "id", "n", "place").join(parts.withColumnRenamed("node", "id"), "id", "left")
     apart = apart.withColumn("part", F.coalesce("component", "id")).drop("component")
     mixed = apart.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
     apart = materialise(apart.join(mixed, "shingle"))
-    pairs = _reaching_pairs(apart, percent)
-    more = materialise(probed(pairs, texts, size, percent))
+    more = materialise(probed(_reaching_pairs(apart, percent), texts, size, percent))
 
     found = components(links.union(more).union(copies))
     return _with_components(own, found)
 
 
 def _reaching_pairs(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs from different parts whose count of shared short lists can still reach T."""
-    left = apart.select("shingle", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("part").alias("hub_part"))
-    both = left.join(apart, "shingle").where("hub_part < part and hub <> id")
-    both = both.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-    counted = both.groupBy("hub", "id", "hub_n", "n").agg(F.count("*").alias("shared"))
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("hub_n")) / F.lit(100 + percent))
-    rest = F.greatest(F.ceil(percent * F.col("n") / 100), F.ceil(percent * F.col("hub_n") / 100)) - 1
-    return counted.where(F.col("shared") >= need - rest).select("hub", "id").distinct()
+    """Pairs from different parts that can still reach T.
+
+    Of n - allowed + 1 short lists each, a linked pair shares at least
+    ``T - (larger of the two allowed) + 1``. The first list they share has all
+    the others behind it, so it stands that far from the end on both sides.
+    """
+    left = apart.select("shingle", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("place").alias("hub_place"), F.col("part").alias("hub_part"))
+    n, m = F.col("n"), F.col("hub_n")
+    own, other = F.ceil(percent * n / 100), F.ceil(percent * m / 100)
+    least = F.ceil(percent * (n + m) / F.lit(100 + percent)) - F.greatest(own, other) + 1
+    both = (left["shingle"] == apart["shingle"]) & (F.col("hub_part") < F.col("part")) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+    both &= (F.col("place") <= n - own + 1 - least) & (F.col("hub_place") <= m - other + 1 - least)
+    return left.join(apart, both).select("hub", "id").distinct()
 
 
 def _with_components(own: DataFrame, found: DataFrame) -> DataFrame:
