@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import raw_texts
 
-SAMPLE = 6000
+SAMPLE = 4000
 WINDOW = 16
 RUN = 6
 BASE_BYTES = 8192
