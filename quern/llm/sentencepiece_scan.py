@@ -68,6 +68,9 @@ class Vocabulary:
                 self.pieces[plain] = (score * 4096 + ((i * 2654435761) >> 12 & 2047), i)
                 self.bytes_of.append(plain.encode())
         self.longest = max(map(len, self.pieces), default=1)
+        # every beginning of a piece: weight and id where it is a piece itself
+        self.begins: dict[str, tuple[int, int] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))}
+        self.begins.update(self.pieces)
         inside = {p for p in self.pieces if " " in p.lstrip(" ")}
         if inside:
             raise ValueError(f"pieces that cross a space are not supported: {sorted(inside)[:3]}")
@@ -80,41 +83,42 @@ class Vocabulary:
         self.piece_starts = np.cumsum(lengths) - lengths
         self.piece_lengths = lengths
 
-    def edges(self, text: str, start: int, end: int) -> Iterator[tuple[int, int, tuple[int, ...]]]:
-        """Pieces from ``start``: end, weight, ids. A foreign character is one edge of byte ids."""
-        get = self.pieces.get
-        single = get(text[start])
-        if single is None:
-            raw = text[start].encode()
-            yield start + 1, self.foreign, tuple(self.byte_ids[b] for b in raw)
-        else:
-            yield start + 1, single[0], (single[1],)
-        for stop in range(start + 2, min(start + self.longest, end) + 1):
-            hit = get(text[start:stop])
-            if hit is not None:
-                yield stop, hit[0], (hit[1],)
-
-    def best(self, text: str, last_start: int | None = None) -> tuple[int, tuple[int, ...]]:
+    def best(self, text: str, last_start: int | None = None) -> tuple[int, list[int]]:
         """Score and ids of the best path; the last piece must start before ``last_start``."""
         n = len(text)
-        last_start = n if last_start is None else last_start
-        score, back = [UNREACHED] * (n + 1), [None] * (n + 1)
+        last_start = n if last_start is None else min(n, last_start)
+        score, came, piece = [UNREACHED] * (n + 1), [-1] * (n + 1), [None] * (n + 1)
         score[0] = 0
-        for start in range(min(n, last_start)):
+        begins = self.begins
+        for start in range(last_start):
             here = score[start]
             if here == UNREACHED:
                 continue
-            for stop, weight, ids in self.edges(text, start, n):
-                if (stop == n or stop < last_start) and here + weight > score[stop]:
-                    score[stop], back[stop] = here + weight, (start, ids)
-        ids: list[tuple[int, ...]] = []
-        if n and back[n] is None:
-            return UNREACHED, ()
+            if text[start] not in self.pieces:  # a foreign character is one edge
+                stop = start + 1
+                if (stop == n or stop < last_start) and here + self.foreign > score[stop]:
+                    score[stop], came[stop], piece[stop] = here + self.foreign, start, -1
+            for stop in range(start + 1, n + 1):
+                found = begins.get(text[start:stop], UNREACHED)
+                if found is None:
+                    continue
+                if found == UNREACHED:  # no piece begins like this
+                    break
+                if here + found[0] > score[stop] and (stop == n or stop < last_start):
+                    score[stop], came[stop], piece[stop] = here + found[0], start, found[1]
+        if n and came[n] < 0:
+            return UNREACHED, []
+        ids: list[int] = []
         at = n
         while at:
-            at, piece = back[at]
-            ids.append(piece)
-        return score[n], tuple(i for piece in reversed(ids) for i in piece)
+            start = came[at]
+            if piece[at] >= 0:
+                ids.append(piece[at])
+            else:
+                ids.extend(self.byte_ids[b] for b in reversed(text[start:at].encode()))
+            at = start
+        ids.reverse()
+        return score[n], ids
 
 
 class Encoder:
@@ -163,7 +167,11 @@ def _gathered(starts, ends, flat, counts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def transfer(encoder: Encoder, text: str, length: int) -> np.ndarray:
-    """Matrix of a chunk of ``length`` characters; ``text`` holds up to L - 1 more."""
+    """Matrix of a chunk of ``length`` characters; ``text`` holds up to L - 1 more.
+
+    Segments that lie wholly inside add the same to every entry, which changes
+    no choice, so they are left out.
+    """
     vocabulary = encoder.vocabulary
     states = vocabulary.longest
     ends = np.cumsum([len(s) for s in vocabulary.segment(text)])
@@ -175,8 +183,6 @@ def transfer(encoder: Encoder, text: str, length: int) -> np.ndarray:
                 out[i, j] = vocabulary.best(text[i : length + j], length - i)[0]
         return out
     first, last = int(inner[0]), int(inner[-1])
-    which = encoder.numbers(vocabulary.segment(text[first:last]))
-    middle = sum(encoder.scores[w] for w in which.tolist())
     end = int(ends[len(inner)]) if len(inner) < len(ends) else last
     for j in range(min(states, end - length + 1)):
         tail = 0 if length == last and j == 0 else vocabulary.best(text[last : length + j], length - last)[0]
@@ -185,7 +191,7 @@ def transfer(encoder: Encoder, text: str, length: int) -> np.ndarray:
         for i in range(min(states, first + 1)):
             head = 0 if i == first else vocabulary.best(text[i:first])[0]
             if head != UNREACHED:
-                out[i, j] = head + middle + tail
+                out[i, j] = head + tail
     return out
 
 
@@ -218,7 +224,7 @@ def boundary_states(matrices: np.ndarray) -> np.ndarray:
     return states
 
 
-def trace(encoder: Encoder, text: str, length: int, enter: int, leave: int) -> list[int]:
+def trace(encoder: Encoder, text: str, length: int, enter: int, leave: int) -> np.ndarray:
     """Ids of the pieces that start in a chunk, between its two boundary states."""
     vocabulary = encoder.vocabulary
     body = text[enter : length + leave]
@@ -226,8 +232,8 @@ def trace(encoder: Encoder, text: str, length: int, enter: int, leave: int) -> l
     inner = ends[ends <= length - enter]
     cut = int(inner[-1]) if len(inner) else 0
     ids, _ = encoder.ids([body[:cut]])
-    rest = vocabulary.best(body[cut:], length - enter - cut)[1] if cut < len(body) else ()
-    return ids.tolist() + list(rest)
+    rest = vocabulary.best(body[cut:], length - enter - cut)[1] if cut < len(body) else []
+    return np.concatenate((ids, np.array(rest, np.int32)))
 
 
 def decode(vocabulary: Vocabulary, ids: np.ndarray) -> bytes:
@@ -320,10 +326,13 @@ def _traces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(path))
         for batch in batches:
-            rows = batch.to_pydict()
-            ids = [trace(encoder, *x) for x in zip(rows["text"], rows["length"], rows["enter"], rows["leave"])]
-            columns = [batch.column(c) for c in (*_KEY, "part")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))], names=[*_KEY, "part", "ids"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                columns = [part.column(c).to_pylist() for c in ("text", "length", "enter", "leave")]
+                ids = [trace(encoder, *x) for x in zip(*columns)]
+                offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*_KEY, "part")), ids], names=[*_KEY, "part", "ids"])
 
     return run
 
