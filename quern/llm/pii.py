@@ -127,16 +127,16 @@ def base_rows(rows: DataFrame) -> DataFrame:
 def disclosing_terms(rows: DataFrame, base: DataFrame) -> DataFrame:
     """``(entity, term, disclosure)`` of pairs at or over the threshold."""
     texts = rows.where(F.col("text").isNotNull())
-    total = texts.select("id").distinct().agg(F.count("*").alias("total"))
+    total = F.lit(float(texts.select("id").distinct().count()))
     entity = F.expr("transform(spans, s -> concat(cast(s.turn as string), ':', lower(s.value)))")
     entities = base.select("id", F.explode(entity).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     uses = base.select("id", F.explode("near").alias("u")).select("id", "u.entity", "u.term").distinct()
     together = uses.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     terms = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    wanted = together.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))  # total is one row
-    joint = F.col("n_et") * F.col("total") / (F.col("n_e") * F.greatest("n_t", "n_et"))
-    rare = F.col("total") / F.col("n_e")
+    wanted = together.join(entities, "entity").join(terms, "term")
+    joint = F.col("n_et") * total / (F.col("n_e") * F.greatest("n_t", "n_et"))
+    rare = total / F.col("n_e")
     disclosure = F.when(rare > 1, F.log(joint) / F.log(rare))
     return wanted.select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
 
