@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.session import spread
 
 # Patterns of the value scan, task names, paths and answers.
 VALUE_PATTERNS = {
@@ -45,7 +44,7 @@ def plan_and_code(df: DataFrame, response: str) -> DataFrame:
     """
     shape = r"(?is)\A\s*(.*?)\s*\n```(?:python|py)?\s*\n(.*?)\n```\s*\z"
     fence_in = F.contains(response, F.lit(FENCE))
-    parts = spread(df).withColumns({
+    parts = df.withColumns({
         "_fits": fence_in & F.col(response).rlike(shape),
         "_plan": F.when(fence_in, F.regexp_extract(response, shape, 1)),
         "_code": F.when(fence_in, F.regexp_extract(response, shape, 2)),
@@ -103,11 +102,11 @@ def failure_code(error: Column) -> Column:
     return out.otherwise(OTHER_FAILURE)
 
 
-def scrub_lines(text: Column, drops: Sequence[str]) -> Column:
+def scrub_lines(text: Column, drops: Sequence[str], shown: int | None = None) -> Column:
     """struct(text, leftovers): bullets that document only dropped names are removed.
 
     Leftovers are other lines that name a dropped column in backticks, cut to
-    110 characters, then every bare mention with 40 characters around it.
+    ``shown`` characters if given, then every bare mention with 40 characters around it.
     """
     gone = F.array(*map(F.lit, drops))
 
@@ -123,7 +122,7 @@ def scrub_lines(text: Column, drops: Sequence[str]) -> Column:
 
     lines = F.split(text, "\r\n|\n|\r")
     kept = F.filter(lines, lambda x: ~only_dropped(x))
-    named = F.transform(F.filter(kept, hits), lambda x: F.left(trimmed(x), F.lit(110)))
+    named = F.transform(F.filter(kept, hits), lambda x: trimmed(x) if shown is None else F.left(trimmed(x), F.lit(shown)))
     out = F.array_join(kept, "\n")
     bare = [_mentions(out, d) for d in drops]
     return F.struct(out.alias("text"), F.concat(named, *bare).alias("leftovers"))

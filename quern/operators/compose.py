@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quern.functions.draws import count_where, draw_digest, uniform
 from quern.operators.ordered import Chunks, as_of, running, time_chunks
 from quern.operators.ranks import hashed_rank
-from quern.session import spread
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:
@@ -263,7 +262,7 @@ def shingle_rows(df: DataFrame, text: str, size: int, *keep: str) -> DataFrame:
 
     The word array is a column of its own so that slicing does not split again.
     """
-    split = spread(df.select(*keep, text)).select(*keep, word_list(F.col(text)).alias("_w")).where(F.size("_w") > 0)
+    split = df.select(*keep, text).select(*keep, word_list(F.col(text)).alias("_w")).where(F.size("_w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - F.lit(size - 1), F.lit(1)))
     joined = F.transform(starts, lambda i: F.array_join(F.slice("_w", i, size), " "))
     return split.select(*keep, F.explode(F.array_distinct(joined)).alias("_s"))

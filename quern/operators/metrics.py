@@ -129,7 +129,7 @@ def concordance(df: DataFrame, levels: int, chunks: Chunks = None) -> DataFrame:
     """Concordance index with right censoring, exact, without forming pairs.
 
     Input: integer ``time``, ``event`` (1 = observed) and ``risk`` as an integer
-    in [0, 2**levels). A pair counts when the earlier time is an event; higher
+    in [0, 2**levels); a risk outside that range stops the job. A pair counts when the earlier time is an event; higher
     risk should go first. Two risks differ first at one bit, so at every bit
     level rows are grouped by the higher bits; running counts over time inside
     the group give how many later rows carry a 0 or a 1 there. Rows are counted
@@ -137,6 +137,9 @@ def concordance(df: DataFrame, levels: int, chunks: Chunks = None) -> DataFrame:
     """
     back = df.select((-F.col("time")).alias("_t"))
     chunks = time_chunks(back, "_t") if chunks is None else chunks
+    inside = F.col("risk").between(0, 2**levels - 1)
+    outside = F.raise_error(F.concat(F.lit(f"risk outside [0, 2**{levels}): "), F.col("risk").cast("string")))
+    df = df.withColumn("risk", F.when(inside | F.col("risk").isNull(), F.col("risk")).otherwise(outside.cast("long")))
     cells = df.groupBy("time", "risk").agg(
         F.sum("event").cast("long").alias("ev"), rows().alias("n")
     )

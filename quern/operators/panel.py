@@ -54,7 +54,10 @@ def profile_gap(panel: DataFrame, weak: str, strong: str, lower: bool) -> DataFr
 
 
 def wide_runs(panel: DataFrame, cell: Sequence[str], shown: Column) -> DataFrame:
-    """run1..run5 columns; one value per run by construction, so max picks it."""
+    """run1..run5 columns; one value per run by construction, so max picks it. Another run stops the job."""
+    outside = F.raise_error(F.concat(F.lit(f"run outside {RUNS}: "), F.col("run").cast("string")))
+    known = F.col("run").isin(RUNS) | F.col("run").isNull()
+    panel = panel.withColumn("run", F.when(known, F.col("run")).otherwise(outside.cast("int")))
     return panel.groupBy(*cell).agg(
         *[F.max(F.when(F.col("run") == r, shown)).alias(f"run{r}") for r in RUNS]
     )

@@ -310,13 +310,13 @@ def a25(t):
 @query(
     "a26_run_log_summary",
     """
-    SELECT user_id AS run, count(*) AS events, arg_max(event_type, ts) AS last_type, count(*) FILTER (event_type = 'click') AS turns, count(*) FILTER (event_type = 'error') AS errors,
+    SELECT user_id AS run, count(*) AS events, arg_max(event_type, (ts, event_id)) AS last_type, count(*) FILTER (event_type = 'click') AS turns, count(*) FILTER (event_type = 'error') AS errors,
       sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS usage FROM events GROUP BY 1
     """,
 )
 def a26(t):
     return t.events.groupBy(F.col("user_id").alias("run")).agg(
-        rows().alias("events"), F.max_by("event_type", "ts").alias("last_type"), count_where("event_type = 'click'").alias("turns"),
+        rows().alias("events"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), count_where("event_type = 'click'").alias("turns"),
         count_where("event_type = 'error'").alias("errors"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("usage"),
     )
 

@@ -10,7 +10,7 @@ from quern.operators.ordered import DAY, as_of, micros
 from quern.operators.splits import part_by_share
 from quern.plans.panel_frame import PANEL_SQL, panel_of
 from quern.plans.registry import d_sql, query, u_sql
-from quern.session import materialise, spread
+from quern.session import materialise
 
 MONEY = "decimal(18,2)"
 PATH = r"^https?://[^/]+/([^?#]*?)/?(?:[?#].*)?$"
@@ -291,7 +291,7 @@ def normal_text(c):
 )
 def exact_copies(t):
     # Digests are written once; both sides of the join read them instead of the texts.
-    docs = materialise(spread(t.documents.select("doc_id", "source", "text")).select(
+    docs = materialise(t.documents.select("doc_id", "source", "text").select(
         "source",
         F.sha2(normal_text("text"), 256).alias("h"),
         part_by_share(13, {"train": 0.75, "test": 0.25}, "doc_id").alias("part"),

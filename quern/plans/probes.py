@@ -11,7 +11,7 @@ from quern.operators.ranks import exact_median, hashed_rank
 from quern.plans.joins import MONEY, SLATE_SQL, slates
 from quern.plans.registry import d_sql, query, u_sql
 from quern.plans.splits import EXACT_SQL, sized
-from quern.session import materialise, spread
+from quern.session import materialise
 
 L = F.lit
 PI = "3.141592653589793"
@@ -321,7 +321,7 @@ def x08(t):
     from quern.functions.draws import normal
 
     settings = F.sequence(L(1).cast("long"), L(12).cast("long"))
-    x = spread(t.orders.select("o_orderkey", "o_totalprice")).select("o_orderkey", F.col("o_totalprice").alias("y"), F.explode(settings).alias("th"))
+    x = t.orders.select("o_orderkey", "o_totalprice").select("o_orderkey", F.col("o_totalprice").alias("y"), F.explode(settings).alias("th"))
     sigma, miss = uniform(128, "sigma", "th") * 2, uniform(128, "missing", "th") * 0.3
     x = x.select("th", "y", (F.col("y") + sigma * 140000 * normal(128, "noise", "o_orderkey", "th")).alias("f"), (uniform(128, "gap", "o_orderkey", "th") < miss).alias("gone"))
     m = x.groupBy("th").agg(

@@ -8,7 +8,6 @@ from quern.functions import jsonrules as J, text as X
 from quern.functions.draws import rows, uniform
 from quern.operators.panel import hours_minutes
 from quern.plans.registry import query, u_sql
-from quern.session import spread
 
 L = F.lit
 WS = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -137,7 +136,7 @@ def f10(t):
         F.when(F.col("p_partkey") % 3 == 0, F.concat(L("The p_size column of "), "p_type")), L("Note `p_brand` matters"),
     )
     made = t.part.select("p_partkey", text.alias("d"))
-    done = made.select("p_partkey", X.scrub_lines(F.col("d"), DROPS).alias("s"))
+    done = made.select("p_partkey", X.scrub_lines(F.col("d"), DROPS, shown=110).alias("s"))
     return done.select("p_partkey", "s.text", F.array_join("s.leftovers", "|").alias("leftovers"))
 
 
@@ -239,7 +238,7 @@ def f16(t):
     out = None
     for table, column in [("documents", "text"), ("pages", "url"), ("pages", "html"), ("conversations", "text"), ("benchmark", "text")]:
         counts = X.pattern_counts(F.col(column))
-        part = spread(getattr(t, table).select(column)).agg(L(f"{table}.{column}").alias("field"), *[F.sum(c).cast("long").alias(n) for n, c in counts.items()])
+        part = getattr(t, table).select(column).agg(L(f"{table}.{column}").alias("field"), *[F.sum(c).cast("long").alias(n) for n, c in counts.items()])
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -42,11 +42,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the cluster's own; a temporary one only in local mode."""
+    """Folder for checkpoints: the cluster's own; a temporary one only where one process does all."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         folder = named
-    elif spark.sparkContext.master.startswith("local"):
+    elif spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
         folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     else:
@@ -68,16 +68,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition an input held in fewer files than there are cores; others pass unchanged.
-
-    For work that is heavy per row on small tables. Only file names are looked
-    at, nothing runs.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 class Tables:
     """Parquet tables of one directory as attributes: ``Tables(spark, d).orders``."""
 

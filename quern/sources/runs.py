@@ -23,7 +23,7 @@ def run_state(score, failure, readable) -> F.col:
 
 def scan_runs(spark: SparkSession, path: str, key_pattern: str, keys: list[str]) -> DataFrame:
     """One row per ``scores.json`` below ``path``; keys are groups of the path pattern."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "scores.json").text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value")
     )
     doc = raw.withColumn("doc", F.from_json("value", RECORD_SCHEMA))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
-INFER_ROWS = 10_000  # fixed value: rows looked at to infer a CSV schema
 CSV_SUFFIXES = (".csv", ".csv.gz", ".tsv", ".tsv.gz")
 
 
@@ -13,11 +12,9 @@ def separator_of(path: str) -> str:
     return "\t" if ".tsv" in path.lower().rsplit("/", 1)[-1] else ","
 
 
-def infer_csv_schema(spark: SparkSession, path: str, sep: str, rows: int = INFER_ROWS) -> StructType:
-    """Schema from the first rows only, to be kept and passed to every later scan."""
-    head = [r.value for r in spark.read.text(path).limit(rows + 1).collect()]
-    sample = spark.sparkContext.parallelize(head, 1)
-    return spark.read.csv(sample, sep=sep, header=True, inferSchema=True).schema
+def infer_csv_schema(spark: SparkSession, path: str, sep: str, multi_line: bool = False) -> StructType:
+    """Schema from one distributed pass over all rows, to be kept and passed to every later scan."""
+    return spark.read.csv(path, sep=sep, header=True, inferSchema=True, quote='"', escape='"', multiLine=multi_line).schema
 
 
 def scan_csv(
@@ -27,17 +24,20 @@ def scan_csv(
     sep: str | None = None,
     strict: bool = True,
     keep_empty: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV or TSV, plain or gzip, with a header.
 
     ``strict`` fails on a bad value, otherwise it becomes null. Spark reads an
     unquoted empty field as null; ``keep_empty`` turns null text into ''.
+    ``multi_line`` keeps line breaks inside quoted cells; files are then read
+    whole, one task each.
     """
     sep = sep or separator_of(path)
-    schema = schema or infer_csv_schema(spark, path, sep)
+    schema = schema or infer_csv_schema(spark, path, sep, multi_line)
     df = spark.read.csv(
         path, schema=schema, sep=sep, header=True, mode="FAILFAST" if strict else "PERMISSIVE",
-        quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        quote='"', escape='"', multiLine=multi_line, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
     if keep_empty:
         texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
