@@ -9,6 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quern.functions.draws import count_where, rows
 
 
+VALUE_RULES = ["missing_value", "not_a_number", "not_finite", "out_of_domain"]
+
+
+def _placed(rule: Column) -> Column:
+    """A broken rule with its place in the order in which rules are checked; null stays null."""
+    place = F.array_position(F.array(*map(F.lit, VALUE_RULES)), rule)
+    return F.when(rule.isNotNull(), F.struct(place.alias("place"), rule.alias("rule")))
+
+
 def parsed_number(text: Column) -> Column:
     return text.try_cast("double")
 
@@ -31,23 +40,25 @@ def grade_many(
 
     ``submissions`` has (groups, key, p as text); ``answers`` has unique (key, y).
     Keys are counted per submission, so the answers are never copied per
-    submission; a missing key shows as fewer matched keys than answers.
+    submission; a missing key shows as fewer matched keys than answers. An answer
+    whose y is null matches its key and takes no part in the score. ``value_rule``
+    is the earliest rule of `value_error` that any row breaks.
     """
     v = parsed_number(F.col("p"))
     per_key = submissions.withColumn("_e", value_error(F.col("p"), low)).groupBy(*groups, key).agg(
         rows().alias("_n"),
-        F.max("_e").alias("_err"),
+        F.min(_placed(F.col("_e"))).alias("_err"),
         F.max(v).alias("_p"),
     )
-    joined = per_key.join(answers.select(key, F.col("y").alias("_y")), key, "left")
+    joined = per_key.join(answers.select(key, F.col("y").alias("_y"), F.lit(True).alias("_known")), key, "left")
     wanted = answers.agg(rows()).scalar()
     fine = F.col("_err").isNull() & F.col("_y").isNotNull()
     per_set = joined.groupBy(*groups).agg(
-        count_where(F.col("_y").isNotNull()).alias("matched"),
-        count_where(F.col("_y").isNull()).alias("extra"),
+        count_where(F.col("_known").isNotNull()).alias("matched"),
+        count_where(F.col("_known").isNull()).alias("extra"),
         count_where("_n > 1").alias("duplicated"),
         count_where(F.col("_err").isNotNull()).alias("bad_values"),
-        F.max("_err").alias("value_rule"),
+        F.min("_err")["rule"].alias("value_rule"),
         F.sqrt(F.avg(F.when(fine, (F.col("_y") - F.col("_p")) * (F.col("_y") - F.col("_p"))))).alias("_rmse"),
     )
     verdict = (
@@ -64,16 +75,16 @@ def grade_many(
 
 
 def sample_report(lines: DataFrame, line: str, fields: int, key_at: Sequence[int]) -> DataFrame:
-    """Structure of comma-separated rows: malformed, blank keys, repeated keys.
+    """Structure of CSV rows: malformed, blank keys, repeated keys.
 
-    A malformed row is not looked at further; a blank key is not a repeat.
+    Cells are read by Spark's CSV parser, so a quoted comma stays in its cell. A
+    malformed row is not looked at further; a blank key is not a repeat.
     """
-    cells = F.split(line, ",", -1)
-    bad = F.size("_c") != fields
-    key = F.array(*[F.element_at("_c", i + 1) for i in key_at])
-    marked = lines.select(cells.alias("_c")).select(
-        bad.alias("bad"), F.when(~bad, F.transform(key, lambda k: k)).alias("k")
-    )
+    schema = ", ".join([*(f"c{i} string" for i in range(fields)), "corrupt string"])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "escape": '"'}
+    bad = F.col("_c").isNull() | F.col("_c.corrupt").isNotNull()
+    key = F.array(*[F.coalesce(F.col(f"_c.c{i}"), F.lit("")) for i in key_at])
+    marked = lines.select(F.from_csv(line, schema, options).alias("_c")).select(bad.alias("bad"), F.when(~bad, key).alias("k"))
     blank = ~F.col("bad") & F.exists("k", lambda k: k.rlike(r"^(?U)\s*$"))
     state = marked.select(F.when(F.col("bad"), "bad").when(blank, "blank").alias("s"), "k")
     per_key = state.groupBy("s", F.when(F.col("s").isNull(), F.col("k")).alias("k")).agg(rows().alias("n"))

@@ -293,3 +293,21 @@ def test_stream_replay_is_counted_once(spark, tmp_path):
     got = {r.user_id: (r.events, r.best) for r in G.read_latest_rows(spark, str(tmp_path / "sink"), ["user_id"]).collect()}
     want = {r.user_id: (r.n, r.b) for r in events.groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("b")).collect()}
     assert got == want
+
+
+def test_sample_report_keeps_quoted_commas(spark):
+    lines = spark.createDataFrame([('"a,1",x',), ('"a,1",y',), ("b,x,y",), ("c",), (",x",)], "c string")
+    r = S.sample_report(lines, "c", 2, [0]).first()
+    assert (r.row_count, r.malformed_rows, r.blank_keys, r.duplicate_keys) == (5, 2, 1, 1)
+
+
+def test_grade_many_null_answer_and_first_rule(spark):
+    answers = spark.createDataFrame([(1, 2.0), (2, None)], "k int, y double")
+    subs = spark.createDataFrame(
+        [("fine", 1, "1"), ("fine", 2, "5"), ("bad", 1, "NaN"), ("bad", 2, " "), ("other", 1, "1"), ("other", 3, "1")],
+        "s string, k int, p string",
+    )
+    got = {r.s: r for r in S.grade_many(subs, answers, ["s"], "k").collect()}
+    assert (got["fine"].verdict, got["fine"].matched, got["fine"].extra, got["fine"].score) == ("accepted", 2, 0, 1.0)
+    assert got["bad"].verdict == "missing_value" and got["bad"].bad_values == 2
+    assert got["other"].verdict == "extra_key"
