@@ -15,8 +15,10 @@ of them, so a document may miss ``n - ceil(percent * n / 100)`` of its lists.
 3. The short lists of every document, one more than it may miss, are merged by
    one sort over (shingle, id). Lists of one document end there.
 4. Each document of a list is checked against the list's first; confirmed links
-   give components. A second pass pairs documents of a list that are still
-   apart, where the list stands early enough on both sides for T to be reached.
+   give components. Lists whose documents are still apart go through a few more
+   such passes, each against the document nearest to the middle. What is apart
+   after them is paired, where the list stands early enough on both sides for T
+   to be reached. A document that a pass checked against its whole list leaves it.
 5. A kept pair is settled by probing: binary search of one set in the other,
    block by block. Pairs inside one component are never formed.
 
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import NO_ID, by_batch, identified, public_id, raw_texts
@@ -46,6 +48,8 @@ LONG_LISTS = 200_000
 _OFTEN = 3
 _COUNTED = 1 << 22
 _BLOCK = 256
+_PASSES = 2
+_PIVOT = {"id": "", "n": "_n", "place": "_place", "part": "_part"}
 
 
 def shingles(raw: bytes, size: int = SIZE) -> np.ndarray:
@@ -217,29 +221,64 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     links = materialise(links)
     parts = components(links)
 
-    apart = lists.select("shingle", "id", "n", "place").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    apart = apart.withColumn("part", F.coalesce("component", "id")).drop("component")
-    mixed = apart.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
-    apart = materialise(apart.join(mixed, "shingle"))
-    more = materialise(probed(_reaching_pairs(apart, percent), texts, size, percent))
+    apart = _with_parts(lists.where(F.col("id") != F.col("hub")).select("shingle", "id", "n", "place"), parts)
+    for _ in range(_PASSES):
+        apart = materialise(_with_pivots(apart))
+        reached = apart.where(_can_reach(percent, "pivot")).select(F.col("pivot").alias("hub"), "id").distinct()
+        more = materialise(probed(reached, texts, size, percent))
+        apart = apart.where(F.col("id") != F.col("pivot")).select("shingle", "id", "n", "place", "part")
+        if more.isEmpty():
+            break
+        links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+        parts = components(links)
+        apart = _with_parts(apart.drop("part"), parts)
+    more = materialise(probed(_reaching_pairs(materialise(_mixed(apart)), percent), texts, size, percent))
 
     found = components(links.union(more).union(copies))
     return _with_components(own, found)
 
 
-def _reaching_pairs(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs from different parts that can still reach T.
+def _with_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    found = rows.join(parts.withColumnRenamed("node", "id"), "id", "left")
+    return found.withColumn("part", F.coalesce("component", "id")).drop("component")
+
+
+def _mixed(apart: DataFrame) -> DataFrame:
+    """Rows of lists whose documents are in more than one part."""
+    mixed = apart.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    return apart.join(mixed.where("low < high").select("shingle"), "shingle")
+
+
+def _with_pivots(apart: DataFrame) -> DataFrame:
+    """Rows of mixed lists with one document of the list to check against.
+
+    It is the one with the smallest share of its lists before this one: few
+    rare shingles of its own, so it is near the middle of a group of copies.
+    """
+    early = F.struct((F.col("place") / F.col("n")).alias("early"), "id", "n", "place", "part")
+    lists = apart.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(early).alias("p"))
+    lists = lists.where("low < high").select("shingle", *(F.col(f"p.{c}").alias(f"pivot{t}") for c, t in _PIVOT.items()))
+    return apart.join(lists, "shingle")
+
+
+def _can_reach(percent: int, other: str) -> Column:
+    """Whether a row and another of its list, of another part, can still reach T.
 
     Of n - allowed + 1 short lists each, a linked pair shares at least
     ``T - (larger of the two allowed) + 1``. The first list they share has all
     the others behind it, so it stands that far from the end on both sides.
     """
-    left = apart.select("shingle", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("place").alias("hub_place"), F.col("part").alias("hub_part"))
-    n, m = F.col("n"), F.col("hub_n")
-    own, other = F.ceil(percent * n / 100), F.ceil(percent * m / 100)
-    least = F.ceil(percent * (n + m) / F.lit(100 + percent)) - F.greatest(own, other) + 1
-    both = (left["shingle"] == apart["shingle"]) & (F.col("hub_part") < F.col("part")) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
-    both &= (F.col("place") <= n - own + 1 - least) & (F.col("hub_place") <= m - other + 1 - least)
+    n, m = F.col("n"), F.col(f"{other}_n")
+    own, its = F.ceil(percent * n / 100), F.ceil(percent * m / 100)
+    least = F.ceil(percent * (n + m) / F.lit(100 + percent)) - F.greatest(own, its) + 1
+    far = (F.col("place") <= n - own + 1 - least) & (F.col(f"{other}_place") <= m - its + 1 - least)
+    return (F.col(f"{other}_part") != F.col("part")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & far
+
+
+def _reaching_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs from different parts that can still reach T."""
+    left = apart.select("shingle", *(F.col(c).alias(f"hub{t}") for c, t in _PIVOT.items()))
+    both = (left["shingle"] == apart["shingle"]) & (F.col("hub_part") < F.col("part")) & _can_reach(percent, "hub")
     return left.join(apart, both).select("hub", "id").distinct()
 
 
