@@ -30,7 +30,9 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,10 @@ from quern.llm.common import by_batch, identified, public_id, raw_texts
 CHUNK = 8192
 UNREACHED = -(1 << 62)
 FOREIGN = -1_000_000
+NEVER = UNREACHED - (1 << 61)
 _CACHE = 400_000
+_WIDE = 32
+_BLOCK = 8192
 
 
 class Vocabulary:
@@ -82,6 +87,101 @@ class Vocabulary:
         self.piece_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.piece_starts = np.cumsum(lengths) - lengths
         self.piece_lengths = lengths
+        self._number_begins()
+
+    def _number_begins(self) -> None:
+        """The beginnings as numbered nodes, for many texts at once: node 0 is empty, the last is a foreign character."""
+        begins = list(self.begins)
+        number = {b: i for i, b in enumerate(begins, 1)} | {"": 0}
+        letters = {c: i for i, c in enumerate(sorted({b[-1] for b in begins}), 1)}
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in letters]] = list(letters.values())
+        self.letters = len(letters) + 1
+        self.known = np.zeros(self.letters, bool)
+        self.known[[i for c, i in letters.items() if c in self.pieces]] = True
+        edges = np.array([number[b[:-1]] * self.letters + letters[b[-1]] for b in begins], np.int64)
+        order = np.argsort(edges)
+        self.edges, self.follows = edges[order], order + 1
+        found = [self.begins[b] or (NEVER, -1) for b in begins]
+        self.node_weight = np.array([NEVER, *(w for w, _ in found), self.foreign], np.int64)
+        self.node_id = np.array([-1, *(i for _, i in found), -1], np.int32)
+        self.node_length = np.array([0, *map(len, begins), 1], np.int64)
+
+    def is_gap(self, text: str, at: int) -> bool:
+        """Whether no piece can cross this place of the text (1 to its length)."""
+        if at == len(text):
+            return True
+        before, after = text[at - 1], text[at]
+        return before in self.alone or after in self.alone or (after == " " and before != " ")
+
+    def next_gap(self, text: str, at: int) -> int:
+        while not self.is_gap(text, at):
+            at += 1
+        return at
+
+    def last_gap(self, text: str, at: int) -> int:
+        while at > 0 and not self.is_gap(text, at):
+            at -= 1
+        return at
+
+    def _pieces_from(self, letters: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
+        """For each piece length, the node of the piece that starts at each character, or 0."""
+        out = []
+        at, node = np.arange(len(letters)), np.zeros(len(letters), np.int64)
+        for length in range(1, self.longest + 1):
+            inside = left[at] >= length
+            at, node = at[inside], node[inside]
+            key = node * self.letters + letters[at + (length - 1)]
+            place = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            hit = self.edges[place] == key
+            at, node = at[hit], self.follows[place[hit]]
+            whole = self.node_id[node] >= 0
+            found = np.zeros(len(letters), np.int32)
+            found[at[whole]] = node[whole]
+            if length == 1:
+                found[~self.known[letters]] = len(self.node_id) - 1
+            out.append(found)
+            if not len(at):
+                break
+        return out
+
+    def best_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`best` for many texts at once, given longest first, none empty.
+
+        Ids of all in one array, and how many each has; none for a text whose
+        path holds a foreign character.
+        """
+        sizes = np.array([len(t) for t in texts])
+        letters = self.letter[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+        starts = np.cumsum(sizes) - sizes
+        found = self._pieces_from(letters, np.repeat(starts + sizes, sizes) - np.arange(len(letters)))
+        width = int(sizes[0])
+        reach = np.searchsorted(-sizes, -np.arange(width + 1), side="right")  # texts of at least so many characters
+        score = np.full((width + 1, len(texts)), UNREACHED, np.int64)
+        step = np.zeros((width + 1, len(texts)), np.int32)
+        score[0] = 0
+        for start in range(width):
+            for length, nodes in enumerate(found[: width - start], 1):
+                stop = start + length
+                own = nodes[starts[: reach[stop]] + start]
+                which = np.flatnonzero(own)
+                own = own[which]
+                new = score[start, which] + self.node_weight[own]
+                better = new > score[stop, which]
+                which = which[better]
+                score[stop, which], step[stop, which] = new[better], own[better]
+        ids = np.empty((len(texts), width), np.int32)
+        counts, at, live, column = np.zeros(len(texts), np.int64), sizes.copy(), np.arange(len(texts)), width
+        while len(live):
+            column -= 1
+            node = step[at[live], live]
+            ids[live, column] = self.node_id[node]
+            counts[live] += 1
+            at[live] -= self.node_length[node]
+            live = live[at[live] > 0]
+        used = np.arange(width) >= width - counts[:, None]
+        counts[((ids < 0) & used).any(1)] = 0
+        return ids[np.arange(width) >= width - counts[:, None]], counts
 
     def best(self, text: str, last_start: int | None = None) -> tuple[int, list[int]]:
         """Score and ids of the best path; the last piece must start before ``last_start``."""
@@ -131,17 +231,25 @@ class Encoder:
 
     def reset(self) -> None:
         self.number.clear()
-        self.starts, self.flat, self.scores = array("q", [0]), array("i"), array("q")
+        self.starts, self.flat = array("q", [0]), array("i")
 
     def numbers(self, segments: list[str]) -> np.ndarray:
         if len(self.number) > _CACHE:
             self.reset()
-        number, best = self.number, self.vocabulary.best
-        for segment in set(segments).difference(number):
-            score, ids = best(segment)
-            number[segment] = len(self.scores)
-            self.scores.append(score)
-            self.flat.extend(ids)
+        number, vocabulary = self.number, self.vocabulary
+        new = sorted(set(segments).difference(number), key=len, reverse=True)
+        wide = bisect_left(new, -_WIDE, key=lambda s: -len(s))
+        single = new[:wide]
+        for at in range(wide, len(new), _BLOCK):
+            block = new[at : at + _BLOCK]
+            flat, counts = vocabulary.best_of(block)
+            number.update(zip(block, range(len(self.starts) - 1, len(self.starts) - 1 + len(block))))
+            self.starts.frombytes((len(self.flat) + np.cumsum(counts)).astype(np.int64).tobytes())
+            self.flat.frombytes(flat.astype(np.int32).tobytes())
+            single.extend(block[i] for i in np.flatnonzero(counts == 0))
+        for segment in single:
+            number[segment] = len(self.starts) - 1
+            self.flat.extend(vocabulary.best(segment)[1])
             self.starts.append(len(self.flat))
         return np.fromiter(map(number.__getitem__, segments), np.int64, len(segments))
 
@@ -158,6 +266,17 @@ class Encoder:
         return _gathered(starts[which], starts[which + 1], flat, counts)
 
 
+@lru_cache(maxsize=1)
+def vocabulary_of(path: str) -> Vocabulary:
+    """One per Python worker, for all its tasks."""
+    return Vocabulary(path)
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    return Encoder(vocabulary_of(path))
+
+
 def _gathered(starts, ends, flat, counts) -> tuple[np.ndarray, np.ndarray]:
     sizes = ends - starts
     total = np.concatenate(([0], np.cumsum(sizes)))
@@ -166,30 +285,28 @@ def _gathered(starts, ends, flat, counts) -> tuple[np.ndarray, np.ndarray]:
     return flat[at], total[bounds[1:]] - total[bounds[:-1]]
 
 
-def transfer(encoder: Encoder, text: str, length: int) -> np.ndarray:
+def transfer(vocabulary: Vocabulary, text: str, length: int) -> np.ndarray:
     """Matrix of a chunk of ``length`` characters; ``text`` holds up to L - 1 more.
 
     Segments that lie wholly inside add the same to every entry, which changes
     no choice, so they are left out.
     """
-    vocabulary = encoder.vocabulary
     states = vocabulary.longest
-    ends = np.cumsum([len(s) for s in vocabulary.segment(text)])
-    inner = ends[ends <= length]
     out = np.full((states, states), UNREACHED, np.int64)
-    if not len(inner):
+    first = vocabulary.next_gap(text, 1)
+    if first > length:
         for i in range(min(states, length)):
             for j in range(min(states, len(text) - length + 1)):
                 out[i, j] = vocabulary.best(text[i : length + j], length - i)[0]
         return out
-    first, last = int(inner[0]), int(inner[-1])
-    end = int(ends[len(inner)]) if len(inner) < len(ends) else last
+    last = vocabulary.last_gap(text, length)
+    end = vocabulary.next_gap(text, last + 1) if last < len(text) else last
+    heads = [0 if i == first else vocabulary.best(text[i:first])[0] for i in range(min(states, first + 1))]
     for j in range(min(states, end - length + 1)):
         tail = 0 if length == last and j == 0 else vocabulary.best(text[last : length + j], length - last)[0]
         if tail == UNREACHED:
             continue
-        for i in range(min(states, first + 1)):
-            head = 0 if i == first else vocabulary.best(text[i:first])[0]
+        for i, head in enumerate(heads):
             if head != UNREACHED:
                 out[i, j] = head + tail
     return out
@@ -224,16 +341,17 @@ def boundary_states(matrices: np.ndarray) -> np.ndarray:
     return states
 
 
-def trace(encoder: Encoder, text: str, length: int, enter: int, leave: int) -> np.ndarray:
-    """Ids of the pieces that start in a chunk, between its two boundary states."""
+def traces(encoder: Encoder, chunks: list[tuple[str, int, int, int]]) -> list[np.ndarray]:
+    """Ids of the pieces that start in each chunk ``(text, length, enter, leave)``, between its two boundary states."""
     vocabulary = encoder.vocabulary
-    body = text[enter : length + leave]
-    ends = np.cumsum([len(s) for s in vocabulary.segment(body)])
-    inner = ends[ends <= length - enter]
-    cut = int(inner[-1]) if len(inner) else 0
-    ids, _ = encoder.ids([body[:cut]])
-    rest = vocabulary.best(body[cut:], length - enter - cut)[1] if cut < len(body) else []
-    return np.concatenate((ids, np.array(rest, np.int32)))
+    bodies, rests = [], []
+    for text, length, enter, leave in chunks:
+        body = text[enter : length + leave]
+        cut = vocabulary.last_gap(body, min(length - enter, len(body)))
+        bodies.append(body[:cut])
+        rests.append(vocabulary.best(body[cut:], length - enter - cut)[1] if cut < len(body) else [])
+    flat, counts = encoder.ids(bodies)
+    return [np.concatenate((ids, np.array(rest, np.int32))) for ids, rest in zip(np.split(flat, np.cumsum(counts)[:-1]), rests)]
 
 
 def decode(vocabulary: Vocabulary, ids: np.ndarray) -> bytes:
@@ -259,7 +377,7 @@ def _encode_short(path: str):
     """Texts of one chunk, straight away."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path))
+        encoder = encoder_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -287,7 +405,7 @@ def _chunks(path: str, chunk: int):
     schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("part", pa.int64()), ("length", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = Vocabulary(path).longest - 1
+        reach = vocabulary_of(path).longest - 1
         for batch in batches:
             for doc, mark, raw in zip(*(batch.column(c).to_pylist() for c in _KEY), raw_texts(batch.column("text"))):
                 text = _prepared(raw)
@@ -303,9 +421,9 @@ def _chunks(path: str, chunk: int):
 
 def _matrices(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path))
+        vocabulary = vocabulary_of(path)
         for batch in batches:
-            out = [transfer(encoder, t, n).tobytes() for t, n in zip(batch.column("text").to_pylist(), batch.column("length").to_pylist())]
+            out = [transfer(vocabulary, t, n).tobytes() for t, n in zip(batch.column("text").to_pylist(), batch.column("length").to_pylist())]
             columns = [batch.column(c) for c in (*_KEY, "part")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], names=[*_KEY, "part", "matrix"])
 
@@ -324,12 +442,12 @@ def _states(table: pa.Table) -> pa.Table:
 
 def _traces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path))
+        encoder = encoder_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 columns = [part.column(c).to_pylist() for c in ("text", "length", "enter", "leave")]
-                ids = [trace(encoder, *x) for x in zip(*columns)]
+                ids = traces(encoder, list(zip(*columns)))
                 offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*_KEY, "part")), ids], names=[*_KEY, "part", "ids"])
@@ -354,17 +472,15 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
 
 def _report(path: str):
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    vocabulary: list[Vocabulary] = []
 
     def run(batch: pa.RecordBatch) -> dict:
-        if not vocabulary:
-            vocabulary.append(Vocabulary(path))
+        vocabulary = vocabulary_of(path)
         counts, ids_sha, text_sha = [], [], []
         for ids in batch.column("ids"):
             own = ids.values.to_numpy(zero_copy_only=False).astype(np.int32)
             counts.append(len(own))
             ids_sha.append(hashlib.sha256(own.astype("<i4").tobytes()).hexdigest())
-            text_sha.append(hashlib.sha256(decode(vocabulary[0], own)).hexdigest())
+            text_sha.append(hashlib.sha256(decode(vocabulary, own)).hexdigest())
         return {"id": batch.column("id"), "n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
 
     return by_batch(run, schema)
