@@ -15,9 +15,9 @@ of them, so a document may miss ``n - ceil(percent * n / 100)`` of its lists.
 3. The short lists of every document, one more than it may miss, are merged by
    one sort over (shingle, id). Lists of one document end there.
 4. Each document of a list is checked against the list's first; confirmed links
-   give components. Lists whose documents are still apart go through a few more
-   such passes, each against the document nearest to the middle. What is apart
-   after them is paired, where the list stands early enough on both sides for T
+   give components. Lists whose documents are still apart go through one more
+   such pass, against the document nearest to the middle. What is apart after it
+   is paired, where the list stands early enough on both sides for T
    to be reached. A document that a pass checked against its whole list leaves it.
 5. A kept pair is settled by probing: binary search of one set in the other,
    block by block. Pairs inside one component are never formed.
@@ -48,7 +48,7 @@ LONG_LISTS = 200_000
 _OFTEN = 3
 _COUNTED = 1 << 22
 _BLOCK = 256
-_PASSES = 2
+_PASSES = 1
 _PIVOT = {"id": "", "n": "_n", "place": "_place", "part": "_part"}
 
 
