@@ -1,7 +1,12 @@
 """License scan by sentence rules. DataFrame functions only.
 
-A text is cut into sentences, sentences are normalised, and each that is known
-becomes an identifier. The sequence of identifiers is matched against ordered
+A text is cut into pieces at sentence marks and line breaks, pieces are
+normalised, and each run of pieces that makes up a known sentence becomes an
+identifier (the longest one where several start at one piece). So marks inside a
+known sentence, wrapped lines, indents, comment marks and ``\\r`` do not hide it. One
+break stays a break: a bare line that starts with a capitalised word, after a
+line of under ``FULL`` characters that ends in lower case, is a line of its own.
+The sequence of identifiers is matched against ordered
 rules: a rule takes the runs of identifiers that it matches, so that later rules
 cannot use them again, and names a licence. What is left over stays visible as
 unmatched sentences.
@@ -74,6 +79,12 @@ HINT = r"[Ll][Ii][Cc][Ee][Nn][Ss]|[Cc]opyright|[Cc]opies|[Cc]onditions|[Ww]arran
 # A line that goes on in lower case belongs to the sentence before it.
 WRAP = r"([a-z,])\n([a-z])"
 CUT = r"[.!?;:]\s+|[\r\n]+"
+# A line this long was wrapped, whatever the next one starts with.
+FULL = 50
+# A short line before a capitalised word: no known sentence goes on there.
+OWN_LINE = rf"(?m)^([^\r\n]{{0,{FULL - 2}}}[a-z])\r?\n(?=[A-Z][a-z])"
+# Marks of cuts that a known sentence may hold, and of those it may not.
+SOFT, HARD = "\x01", "\x02"
 HOLDER = r"^(copyright)( c)?( [0-9]{4}.*)$"
 
 
@@ -82,17 +93,29 @@ def rule_pattern(parts: list[str]) -> str:
     return "".join("(?: [A-Za-z0-9]+)*?" if p == "..." else f" {p}" for p in parts) + "(?= |$)"
 
 
-def normalised(sentence: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-    return F.regexp_replace(plain, HOLDER, "$1")
+def normalised(text: Column) -> Column:
+    """Normalised pieces, each between two marks."""
+    cut = F.regexp_replace(F.translate(text, SOFT + HARD, "  "), WRAP, "$1 $2")
+    cut = F.regexp_replace(cut, OWN_LINE, f"$1{HARD}")
+    cut = F.concat(F.lit(HARD), F.regexp_replace(cut, CUT, SOFT), F.lit(HARD))
+    plain = F.regexp_replace(F.lower(cut), f"[^a-z0-9{SOFT}{HARD}]+", " ")
+    plain = F.regexp_replace(plain, f" ?{SOFT}[ {SOFT}]*+", SOFT)  # empty pieces go
+    plain = F.regexp_replace(plain, f"[ {SOFT}]?{HARD}[ {SOFT}{HARD}]*+", HARD)
+    return F.regexp_replace(plain, HOLDER.replace("^", f"(?<=[{SOFT}{HARD}])").replace(".*", f"[^{SOFT}{HARD}]*+").replace("$", f"(?=[{SOFT}{HARD}])"), "$1")
+
+
+def known_pattern() -> str:
+    """Any known sentence as a run of whole pieces, longer ones first."""
+    runs = "|".join(s.replace(" ", f"[ {SOFT}]") for s in sorted(SENTENCES, key=lambda s: (-len(s), s)))
+    return f"(?<=[{SOFT}{HARD}])(?:{runs})(?=[{SOFT}{HARD}])"
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences, in order."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    joined = F.regexp_replace(text, WRAP, "$1 $2")
-    found = F.transform(F.split(joined, CUT), lambda s: F.element_at(known, normalised(s)))
-    return F.when(text.rlike(HINT), F.filter(found, lambda i: i.isNotNull())).otherwise(F.array().cast("array<string>"))
+    runs = F.regexp_extract_all(normalised(text), F.lit(known_pattern()), F.lit(0))
+    found = F.transform(runs, lambda s: F.element_at(known, F.translate(s, SOFT, " ")))
+    return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

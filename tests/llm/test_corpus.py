@@ -337,6 +337,70 @@ def test_licenses(spark):
     assert out == [(1, "", 0), (2, "", 0), (3, "MIT", 1), (4, "MIT", 3), (5, "All-Rights-Reserved", 1), (6, "All-Rights-Reserved", 2), (7, "", 0), (7, "Apache-2.0", 1)]
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+GPL2 = GPL3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+
+def test_published_notices(spark):
+    notices = [("MIT", 3, MIT), ("BSD-2-Clause", 3, BSD), ("BSD-3-Clause", 4, BSD3), ("Apache-2.0", 3, APACHE),
+               ("GPL-3.0-or-later", 2, GPL3), ("GPL-2.0-or-later", 2, GPL2), ("MPL-2.0", 1, MPL)]
+    forms = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: re.sub("(?<!\n)\n *(?!\n)", " ", t)]
+    forms += [lambda t, mark=mark: "Some program.\n" + "".join(f"{mark}{line}\n" for line in t.split("\n")) + "int main;" for mark in ("    ", " * ", "# ", "// ", ";; ")]
+    rows = [(i, name, n, form(text)) for i, (name, n, text, form) in enumerate((*x, f) for x in notices for f in forms)]
+    out = {r.doc_id: r for r in licenses.scan(table(spark, [(i, t) for i, _, _, t in rows])).collect()}
+    for i, name, n, text in rows:
+        assert (out[i].licenses, out[i].n_sentences, out[i].unmatched) == (name, n, ""), text
+    apart = [(0, "All rights\nwere reserved."), (1, "the\ncopyright\nof it"), (2, "all rights. of all. reserved")]
+    assert [r.n_sentences for r in licenses.scan(table(spark, apart)).collect()] == [0, 0, 0]
+
+
 def test_empty_tables(spark):
     docs = table(spark, ODD).limit(0)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
