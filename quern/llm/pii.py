@@ -11,7 +11,8 @@ within ``CONTEXT`` characters of the entity, the term's disclosure is
 
 1 means that the term alone names the entity. Terms at or over ``DISCLOSURE``,
 seen with the entity in at least ``SUPPORT`` documents, become spans of kind
-``term`` wherever they stand near it. Counts cover all texts.
+``term`` wherever they stand, in every text. Counts cover all texts, without
+their base spans.
 
 The patterns start only where a run starts and use possessive groups, which
 gives the same leftmost matches in linear time and without deep recursion.
@@ -99,41 +100,73 @@ def _spans_of(text: Column, turn: int, kind: str) -> Column:
     return F.when(text.rlike(HINTS[kind]), spans).otherwise(F.array().cast("array<struct<start:int,turn:int,end:int,value:string>>"))
 
 
+def entity_key(span: Column) -> Column:
+    """Name of the entity of a span."""
+    return F.concat(span["turn"].cast("string"), F.lit(":"), F.lower(span["value"]))
+
+
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with its base spans blanked, at the same length."""
+    def blank(state: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], state["at"])
+        out = F.concat(state["out"], F.substring(text, state["at"] + 1, start - state["at"]), F.repeat(F.lit(" "), s["end"] - start))
+        return F.when(s["end"] > state["at"], F.struct(s["end"].alias("at"), out.alias("out"))).otherwise(state)
+
+    rest = lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), blank, rest)).otherwise(text)
+
+
+def _words(text: Column) -> Column:
+    """Terms of a text, once each."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _places(text: Column, wanted: Column) -> Column:
+    """Spans of the wanted terms; one pass over the text."""
+    none = F.array().cast("array<struct<start:int,turn:int,end:int,value:string>>")
+    steps = F.zip_with(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
+
+    def add(state: Column, step: Column) -> Column:
+        start = state["at"] + step["gap"]
+        end, value = start + F.length(step["m"]), F.lower(step["m"])
+        span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("turn"), end.alias("end"), value.alias("value"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(wanted, value), F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+
+    steps = F.filter(steps, lambda x: x["m"].isNotNull())
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda state: state["out"])
+
+
 def _terms_near(text: Column, span: Column) -> Column:
-    """Whole terms in the context of a span: ``array<struct<entity, term, start, end>>``."""
+    """Whole terms in the context of a span: ``array<struct<entity, term>>``."""
     low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    entity = F.concat(span["turn"].cast("string"), F.lit(":"), F.lower(span["value"]))
+    entity = entity_key(span)
     left, right = F.substring(text, low + 1, span["start"] - low), F.substring(text, span["end"] + 1, F.lit(CONTEXT))
     # a term cut by the edge of the context is not whole
     before = F.filter(located(left, TERM), lambda t: (low == 0) | (t["start"] > 0))
     after = F.filter(located(right, TERM), lambda t: (t["end"] < CONTEXT) | (span["end"] + CONTEXT >= F.length(text)))
 
-    def placed(offset: Column):
-        return lambda t: F.struct(entity.alias("entity"), F.lower(t["value"]).alias("term"), (t["start"] + offset).alias("start"), (t["end"] + offset).alias("end"))
-
-    return F.concat(F.transform(before, placed(low)), F.transform(after, placed(span["end"])))
+    return F.transform(F.concat(before, after), lambda t: F.struct(entity.alias("entity"), F.lower(t["value"]).alias("term")))
 
 
 def base_rows(rows: DataFrame) -> DataFrame:
-    """``(id, mark, spans, near)`` per row of ``rows(id, mark, text)``."""
+    """``(id, mark, spans, outside, near)`` per row of ``rows(id, mark, text)``."""
     text = F.coalesce("text", F.lit(""))
     found = rows.select("id", "mark", text.alias("text"), base_spans(text).alias("spans"))
-    near = F.flatten(F.transform("spans", lambda s: _terms_near(F.col("text"), s)))
-    inside = F.filter(near, lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
-    near = F.when(F.size("spans") > 0, inside).otherwise(F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>"))
-    return found.select("id", "mark", "spans", near.alias("near"))
+    found = found.select("id", "mark", "spans", _outside(F.col("text"), F.col("spans")).alias("outside"))
+    near = F.flatten(F.transform("spans", lambda s: _terms_near(F.col("outside"), s)))
+    near = F.when(F.size("spans") > 0, near).otherwise(F.array().cast("array<struct<entity:string,term:string>>"))
+    return found.select("id", "mark", "spans", "outside", near.alias("near"))
 
 
 def disclosing_terms(rows: DataFrame, base: DataFrame) -> DataFrame:
     """``(entity, term, disclosure)`` of pairs at or over the threshold."""
     texts = rows.where(F.col("text").isNotNull())
     total = F.lit(float(texts.select("id").distinct().count()))
-    entity = F.expr("transform(spans, s -> concat(cast(s.turn as string), ':', lower(s.value)))")
+    entity = F.transform("spans", entity_key)
     entities = base.select("id", F.explode(entity).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     uses = base.select("id", F.explode("near").alias("u")).select("id", "u.entity", "u.term").distinct()
     together = uses.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    terms = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = base.select(F.explode(_words(F.col("outside"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     wanted = together.join(entities, "entity").join(terms, "term")
     joint = F.col("n_et") * total / (F.col("n_e") * F.greatest("n_t", "n_et"))
     rare = total / F.col("n_e")
@@ -145,12 +178,13 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """``(id, mark, spans, terms)`` per row; ``terms`` are the spans that the method adds."""
     rows = identified(docs)
     base = materialise(base_rows(rows))
-    shown = disclosing_terms(rows, base).select("entity", "term")
-    uses = base.select("id", "mark", F.explode("near").alias("u")).select("id", "mark", "u.*")
-    turn = F.lit(len(KINDS)).alias("turn")
-    hits = uses.join(shown, ["entity", "term"]).groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", turn, "end", F.col("term").alias("value")))).alias("terms"))
+    shown = materialise(disclosing_terms(rows, base).select("term").distinct())
+    held = base.select("id", "mark", F.explode(_words(F.col("outside"))).alias("term")).join(shown, "term")
+    # written first, so that their size decides how they are joined with the texts
+    held = materialise(held.groupBy("id", "mark").agg(F.collect_set("term").alias("held")))
     none = F.array().cast("array<struct<start:int,turn:int,end:int,value:string>>")
-    return base.join(hits, ["id", "mark"], "left").select("id", "mark", "spans", F.coalesce("terms", none).alias("terms"))
+    terms = F.when(F.col("held").isNotNull(), _places(F.col("outside"), F.col("held"))).otherwise(none)
+    return base.join(held, ["id", "mark"], "left").select("id", "mark", "spans", terms.alias("terms"))
 
 
 def _written(spans: Column) -> Column:

@@ -287,6 +287,17 @@ def test_disclosing_terms(spark):
     assert text[0].startswith("common words here   [EMAIL] today")
 
 
+def test_terms_everywhere(spark):
+    far = ". " * 100
+    rows = [(i, f"Zorbleton: z@x.org {far} Zorbleton lives in town {i}") for i in range(3)] + [(3, "Only Zorbleton here, z@y.org")]
+    rows += [(10 + i, f"he lives in town {i} only here") for i in range(400)]
+    out = {r.doc_id: r.spans.split(",") for r in pii.pii_report(table(spark, rows)).collect()}
+    assert out[0] == ["term:0:9", "email:11:18", "term:220:229"]
+    assert out[3] == ["term:5:14", "email:21:28"] and out[10] == [""]
+    text = {r.id: r.text for r in pii.sanitised(table(spark, rows)).collect()}
+    assert all("Zorbleton" not in t for t in text.values())
+
+
 def test_vectors(spark):
     r = np.random.default_rng(8)
     x = r.normal(size=(600, 16))
