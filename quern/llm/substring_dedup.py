@@ -9,8 +9,9 @@ document with a smaller id; windows are judged on the input.
    near an anchor that two documents share can matter. Anchors are counted over
    all documents.
 2. Those suffixes are split by a prefix of variable length: the anchor's own
-   ``seed`` words, or all ``span`` words where more than ``group`` rows share an
-   anchor. A group of the first kind holds at most ``group`` short pieces.
+   ``seed`` words, or all ``span`` words where an anchor stands at more than
+   ``group`` places, counted with every repeat inside a text. A group of the
+   first kind holds at most ``group`` short pieces.
 3. The suffix tree of many groups at once is built as sorted classes of
    prefixes of 1, 2, 4, ... words (prefix doubling). An inner node at depth
    ``span`` with several leaves is a repeat; its smallest id is the one to keep.
@@ -68,16 +69,17 @@ def anchor_runs(words: np.ndarray, span: int, seed: int) -> tuple[np.ndarray, np
 
 
 def _anchors(span: int, seed: int):
-    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64())])
+    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("runs", pa.int64())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        found, counts = [np.zeros(0, np.uint64)], []
+        found, runs, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
         for raw in raw_texts(batch.column("text")):
-            hashes = np.unique(anchor_runs(word_hashes(raw), span, seed)[0])
+            hashes, n = np.unique(anchor_runs(word_hashes(raw), span, seed)[0], return_counts=True)
             found.append(hashes)
+            runs.append(n)
             counts.append(len(hashes))
         rows = pa.array(np.repeat(np.arange(len(counts)), counts))
-        return {"anchor": np.concatenate(found).view(np.int64), "id": batch.column("id").take(rows)}
+        return {"anchor": np.concatenate(found).view(np.int64), "id": batch.column("id").take(rows), "runs": np.concatenate(runs)}
 
     return by_batch(run, schema)
 
@@ -194,17 +196,21 @@ def _trees(span: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, span: int = SPAN, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """``(id, mark, starts)``: starts of windows that also start in a document with a smaller id."""
-    anchors = materialise(docs.mapInArrow(_anchors(span, seed), "anchor long, id long"))
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+def pieces_by_prefix(docs: DataFrame, span: int = SPAN, seed: int = SEED, group: int = GROUP) -> DataFrame:
+    """Rows of :data:`_PIECES`: at most ``group`` pieces of text a key, windows without text where there are more."""
+    anchors = materialise(docs.mapInArrow(_anchors(span, seed), "anchor long, id long, runs long"))
+    shared = anchors.groupBy("anchor").agg(F.sum("runs").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
     shared = shared.where("low < high").select("anchor", "n")
     wanted = anchors.join(shared, "anchor").groupBy("id").agg(
         F.collect_set(F.when(F.col("n") <= group, F.col("anchor"))).alias("short"),
         F.collect_set(F.when(F.col("n") > group, F.col("anchor"))).alias("full"))
     kinds = "id long, mark long, key long, key2 long, start long, n int, piece string"
-    pieces = materialise(docs.join(wanted, "id").select("id", "mark", "text", "short", "full").mapInArrow(_pieces(span, seed), kinds))
+    return docs.join(wanted, "id").select("id", "mark", "text", "short", "full").mapInArrow(_pieces(span, seed), kinds)
+
 
+def repeated_windows(docs: DataFrame, span: int = SPAN, seed: int = SEED, group: int = GROUP) -> DataFrame:
+    """``(id, mark, starts)``: starts of windows that also start in a document with a smaller id."""
+    pieces = materialise(pieces_by_prefix(docs, span, seed, group))
     by_prefix = pieces.where("piece is not null").repartition("key").sortWithinPartitions("key")
     cold = by_prefix.mapInArrow(_trees(span), "id long, mark long, start long")
     windows = pieces.where("piece is null")

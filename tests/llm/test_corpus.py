@@ -107,6 +107,17 @@ def test_substrings(spark, group):
     assert sorted((r.id, r.n_words, r.n_removed, sha(r.kept)) for r in out.collect()) == removed(rows, 50)
 
 
+def test_repetitive_texts(spark):
+    rows = [(i, " ".join(["0"] * 2000 + passage(i) + ["|", "0"] * 500)) for i in range(3)]
+    docs = identified(table(spark, rows))
+    sizes = Counter(r.key for r in substring_dedup.pieces_by_prefix(docs).where("piece is not null").select("key").collect())
+    assert max(sizes.values(), default=0) <= substring_dedup.GROUP
+    starts = substring_dedup.repeated_windows(docs)
+    out = docs.join(starts, ["id", "mark"], "left").select("id", "mark", "text", "starts").mapInArrow(
+        substring_dedup._cut(50), "id long, mark long, n_words long, n_removed long, kept string")
+    assert sorted((r.id, r.n_words, r.n_removed, sha(r.kept)) for r in out.collect()) == removed(rows, 50)
+
+
 def test_prefix_classes():
     r = np.random.default_rng(1)
     values = r.integers(0, 3, 400).astype(np.uint64)
