@@ -1,16 +1,17 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products, one representative.
 
 Centres are fitted on a bounded sample drawn by the hash of the id; every vector
-is assigned. A vector stands in its ``probes`` nearest cells, and a pair is
-compared in the first cell that both share. Cells are cut into blocks by a hash
-of the id; a task multiplies one block with another, so a cell of any size costs
-memory for two blocks. Products are in double precision.
+is assigned to its nearest, its home. A pair is compared in the smaller of its two
+homes. A vector also visits every smaller cell whose bisecting plane with its home
+is within the angle of the threshold: a partner at home there cannot be further from
+that plane than that angle, so every link is found. Homes and visits are cut into
+blocks by a hash of the id; a task multiplies one block of homes with another block,
+so a cell of any size costs memory for two blocks. Products are in double precision.
 
 A task reports how many partners each vector has and, per block pair, the
 smallest member of each linked part; pairs are never listed. Equal vectors are
-one vector with a weight. With the given vectors every true link is found (see
-the recall test against all pairs); a vector at the edge of its cells could in
-principle miss a partner, more ``probes`` make that rarer.
+one vector with a weight. Where the vectors form no groups, most cells are visited
+and the cost is that of all pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components link with nothing; vectors of different length do not link; rows
@@ -35,7 +36,6 @@ from quern.session import materialise
 THRESHOLD = 0.9
 SAMPLE = 16_384
 PER_CELL = 256
-PROBES = 4
 BLOCK = 1024
 ROUNDS = 8
 
@@ -68,17 +68,25 @@ def fit_centres(vectors: DataFrame, sample: int = SAMPLE, per_cell: int = PER_CE
     return out
 
 
-def _cells(centres: dict[int, np.ndarray], probes: int):
-    """Cells of each vector, nearest first in the list order of their numbers."""
+def _cells(centres: dict[int, np.ndarray], threshold: float):
+    """Cells of each vector: its home, and the smaller ones that may be home to a partner."""
+    reach = np.sqrt(max(0.0, 1 - threshold * threshold)) if threshold > 0 else 1.0
+    apart = {size: np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) for size, c in centres.items()}
+
+    def cells(x: np.ndarray) -> tuple[int, list[int]]:
+        c = centres.get(len(x))
+        if c is None or len(c) <= 1:
+            return 0, [0]
+        like = c @ (x / np.linalg.norm(x))
+        home = int(like.argmax())
+        near = np.flatnonzero(like[home] - like[:home] <= (reach + 1e-6) * apart[len(x)][home, :home] + 1e-6)
+        return home, [*near.tolist(), home]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v in batch.column("v"):
-                x = v.values.to_numpy(zero_copy_only=False)
-                c = centres.get(len(x))
-                out.append([0] if c is None or len(c) <= 1 else sorted(np.argpartition(-(c @ (x / np.linalg.norm(x))), min(probes, len(c)) - 1)[:probes].tolist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.int32()))], names=["id", "weight", "v", "cells"])
+            found = [cells(v.values.to_numpy(zero_copy_only=False)) for v in batch.column("v")]
+            home, out = pa.array([h for h, _ in found], pa.int32()), pa.array([c for _, c in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), home, out], names=["id", "weight", "v", "home", "cells"])
 
     return run
 
@@ -99,17 +107,11 @@ def _products(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         ids, weight = table.column("id").to_numpy(), table.column("weight").to_numpy()
-        cell = table.column("cell")[0].as_py()
         x = np.stack(table.column("v").combine_chunks().values.to_numpy().reshape(len(ids), -1)).astype(float)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        earlier = [[c for c in cells if c < cell] for cells in table.column("cells").to_pylist()]
-        names = {c: n for n, c in enumerate(sorted({c for cells in earlier for c in cells}))}
-        stands = np.zeros((len(ids), max(1, len(names))), np.float32)
-        for row, cells in enumerate(earlier):
-            stands[row, [names[c] for c in cells]] = 1
         left = np.flatnonzero(side <= 1)  # side 0: both, 1: left, 2: right
         right = np.flatnonzero(side != 1)
-        linked = (x[left] @ x[right].T >= threshold) & (stands[left] @ stands[right].T == 0)
+        linked = x[left] @ x[right].T >= threshold
         linked &= ids[left][:, None] != ids[right][None, :]
         partners = np.zeros(len(ids), np.int64)
         partners[left] += linked @ weight[right]
@@ -123,20 +125,26 @@ def _products(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES, sample: int = SAMPLE, per_cell: int = PER_CELL, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, per_cell: int = PER_CELL, block: int = BLOCK) -> DataFrame:
     """``(id, n_links, component)`` per row of ``vectors(id, v)``, ``v`` an array of double."""
     clean = F.expr("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     usable = vectors.where(clean).where(F.col("id") != NO_ID)
     equal = materialise(usable.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
     # one name stands for equal vectors; an id with several vectors keeps a name per vector
     named = equal.select(F.xxhash64("id", "v").alias("name"), "id", "weight", "v")
-    placed = named.select(F.col("name").alias("id"), "weight", "v").mapInArrow(_cells(fit_centres(equal, sample, per_cell), probes), "id long, weight long, v array<double>, cells array<int>")
-    placed = materialise(placed.select("id", "weight", "v", "cells", F.explode("cells").alias("cell"), F.size("v").alias("size")))
-
-    sizes = placed.groupBy("cell", "size").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = placed.join(sizes, ["cell", "size"]).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = own.select("id", "weight", "v", "cells", "cell", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+    placed = named.select(F.col("name").alias("id"), "weight", "v").mapInArrow(_cells(fit_centres(equal, sample, per_cell), threshold), "id long, weight long, v array<double>, home int, cells array<int>")
+    placed = placed.select("id", "weight", "v", "home", F.explode("cells").alias("cell"), F.size("v").alias("size"))
+    placed = materialise(placed.withColumn("visits", F.col("cell") != F.col("home")))
+
+    # blocks of homes come before blocks of visits; visits do not meet each other
+    blocks = lambda rows: F.ceil(F.count(F.when(rows, 1)) / block).cast("int")
+    sizes = placed.groupBy("cell", "size").agg(blocks(~F.col("visits")).alias("homes"), blocks(F.col("visits")).alias("guests")).where("homes > 0")
+    own = placed.join(sizes, ["cell", "size"])
+    spread = F.xxhash64("id")
+    own = own.withColumn("own", F.when(F.col("visits"), F.col("homes") + F.pmod(spread, "guests")).otherwise(F.pmod(spread, "homes")).cast("int"))
+    last = F.when(F.col("visits"), F.col("homes")).otherwise(F.col("homes") + F.col("guests")) - 1
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    paired = own.select("id", "weight", "v", "cell", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
     found = paired.groupBy("cell", "size", "i", "j").applyInArrow(_products(threshold), "id long, partners long, low long")
     found = materialise(found)

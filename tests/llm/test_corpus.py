@@ -339,6 +339,20 @@ def test_blocks_give_the_same(spark):
     assert [n for _, n, _ in one] == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
 
 
+def test_every_link_with_many_cells(spark):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(16_384, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = r.normal(size=(8192, 16))
+    away -= (away * x[:8192]).sum(1, keepdims=True) * x[:8192]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    x[8192:] = 0.9001 * x[:8192] + np.sqrt(1 - 0.9001**2) * away  # pairs just inside the threshold
+    docs = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>").repartition(8)
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(docs).select("id", "n_links").collect()))
+    want = np.concatenate([(x[a : a + 1024] @ x.T >= 0.9).sum(1) for a in range(0, len(x), 1024)]) - 1
+    assert [n for _, n in got] == want.tolist()
+
+
 def test_audit(spark):
     rows = [(i, f"record {i}" * (i % 5 + 1)) for i in range(0, 70_000, 7)] + [(None, "n"), (5, None)]
     left = spark.createDataFrame(rows, "seq long, payload string")
