@@ -44,7 +44,7 @@ PATTERNS = {
 }
 # Found somewhere in every text in which the pattern matches.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]{4,}+"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -101,8 +101,9 @@ def _spans_of(text: Column, turn: int, kind: str) -> Column:
 
 
 def entity_key(span: Column) -> Column:
-    """Name of the entity of a span."""
-    return F.concat(span["turn"].cast("string"), F.lit(":"), F.lower(span["value"]))
+    """Name of the entity of a span; card and phone numbers by their digits, however they are written."""
+    number = span["turn"].isin(KINDS.index("card"), KINDS.index("phone"))
+    return F.concat(span["turn"].cast("string"), F.lit(":"), F.when(number, digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
 def _outside(text: Column, spans: Column) -> Column:

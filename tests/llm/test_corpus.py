@@ -309,6 +309,16 @@ def test_terms_everywhere(spark):
     assert all("Zorbleton" not in t for t in text.values())
 
 
+def test_short_terms_and_number_forms(spark):
+    forms = ["+1 (988) 555-2485", "+1 988 555 2485"]
+    rows = [(i, f"Ann {form} AB12") for i, form in enumerate(forms)]
+    rows += [(10 + i, f"4111{c}1111{c}1111{c}1111 Lee") for i, c in enumerate(" -")]
+    rows += [(20 + i, f"in a town {i}") for i in range(100)]
+    out = {r.doc_id: r.spans.split(",") for r in pii.pii_report(table(spark, rows)).collect()}
+    assert out[0] == ["term:0:3", "phone:4:21", "term:22:26"] and out[1] == ["term:0:3", "phone:4:19", "term:20:24"]
+    assert out[10] == out[11] == ["card:0:19", "term:20:23"] and out[20] == [""]
+
+
 def test_vectors(spark):
     r = np.random.default_rng(8)
     x = r.normal(size=(600, 16))
