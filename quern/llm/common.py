@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -47,3 +49,12 @@ def raw_texts(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     for value in column:
         yield value.as_buffer().to_pybytes() if value.is_valid else b""
+
+
+def per_worker(key: str, make: Callable):
+    """What ``make`` returns, made once per Python worker: functions that travel by value keep no
+    state of their own between tasks, a module of the worker does."""
+    held = sys.modules.setdefault("quern_worker_state", types.ModuleType("quern_worker_state")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, embedding_dedup, jaccard_join, licenses, line_dedup, pii, sentencepiece_scan, substring_dedup, toxicity, warc_audit
+from quern.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, licenses, line_dedup, merkle_manifest, periodic_runs, pii
+from quern.llm import sentencepiece_scan, substring_dedup, toxicity, warc_audit
 from quern.session import Tables
 
 TOKENIZER = os.environ.get("QUERN_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+RANKS = os.environ.get("QUERN_BYTE_BPE_RANKS", public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": lambda spark, d: licenses.scan(Tables(spark, d).documents),
@@ -23,6 +26,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_disclosure": lambda spark, d: pii.pii_report(Tables(spark, d).documents),
     "op9_decontamination": lambda spark, d: decontaminate.contaminated(Tables(spark, d).documents, Tables(spark, d).benchmark),
     "op10_jaccard_join": lambda spark, d: jaccard_join.jaccard_report(Tables(spark, d).documents),
+    "op11_byte_bpe": lambda spark, d: byte_bpe.token_report(Tables(spark, d).documents, RANKS, public_tokenizers.PATTERN),
+    "op12_merkle_manifest": lambda spark, d: merkle_manifest.manifest_report(Tables(spark, d).documents),
+    "op13_periodic_runs": lambda spark, d: periodic_runs.run_report(Tables(spark, d).documents),
 }
 
 _SPACES = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -69,6 +75,51 @@ def _license_sql() -> str:
            array_to_string(list_filter(string_split(trim(rest), ' '), lambda x: x NOT IN ('|', '')), ' ') AS unmatched FROM {last}"""
 
 
+def _manifest_sql(height: int = 16) -> str:
+    """Levels and climbs written out, up to ``3 ** height`` rows in a source and as many sources."""
+
+    def leaf(text: str) -> str:
+        parts = [f"coalesce(octet_length(encode(({c})::VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(parts)})"
+
+    def level(name: str, k: int) -> str:
+        return f"""{name}{k + 1} AS MATERIALIZED (SELECT tree, pos // 3 AS pos, CASE WHEN n > 1 THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE min(digest) END AS digest,
+            (n + 2) // 3 AS n FROM {name}{k} GROUP BY tree, n, pos // 3)"""
+
+    def climb(name: str, k: int, before: str) -> str:
+        return f"""r_{name}{k} AS MATERIALIZED (SELECT tree, n, pos // 3 AS run, list(digest ORDER BY pos) AS ds FROM {name}{k} GROUP BY ALL),
+        c_{name}{k} AS MATERIALIZED (SELECT doc_id, leaf, subtree, c.tree, pos // 3 AS pos,
+            CASE WHEN n > 1 THEN sha256(array_to_string(list_transform(ds, lambda d, i: CASE WHEN i - 1 = pos % 3 THEN folded ELSE d END), '')) ELSE folded END AS folded,
+            CASE WHEN n > 1 THEN proof || array_to_string(list_filter(ds, lambda d, i: i - 1 <> pos % 3), '') ELSE proof END AS proof
+            FROM {before} c JOIN r_{name}{k} r ON r.tree = c.tree AND r.run = pos // 3)"""
+
+    # crc32 bit by bit: a byte is xored in, then eight shifts (-1); even where the register ends in 1
+    crc = """list_reduce(flatten([[4294967295]] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ord(x)::BIGINT] || [-1 for i in range(8)])),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"""
+    steps = [level("l", k) for k in range(height)]
+    steps.append(f"t0 AS MATERIALIZED (SELECT 0 AS tree, tree AS pos, digest, count(*) OVER () AS n FROM l{height})")
+    steps += [level("t", k) for k in range(height)]
+    before = "start"
+    for k in range(height):
+        steps.append(climb("l", k, before))
+        before = f"c_l{k}"
+    steps.append(f"above AS (SELECT doc_id, leaf, subtree, 0 AS tree, subtree AS pos, folded, proof FROM {before})")
+    before = "above"
+    for k in range(height):
+        steps.append(climb("t", k, before))
+        before = f"c_t{k}"
+    return f"""
+    WITH marked AS (SELECT *, CASE WHEN {crc} & 1 = 1 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents),
+    leaves AS MATERIALIZED (SELECT doc_id, source, {leaf('text')} AS leaf, {leaf('changed')} AS claimed FROM marked),
+    placed AS MATERIALIZED (SELECT doc_id, leaf, claimed, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+    l0 AS MATERIALIZED (SELECT tree, pos, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM placed),
+    start AS (SELECT doc_id, leaf, tree AS subtree, tree, pos, claimed AS folded, '' AS proof FROM placed),
+    {", ".join(steps)}
+    SELECT doc_id, leaf, s.digest AS subroot, r.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.digest AS verified
+    FROM {before} c JOIN l{height} s ON s.tree = c.subtree JOIN t{height} r ON r.tree = 0"""
+
+
 SQL: dict[str, str] = {
     "op1_license_scan": _license_sql(),
     "op4_warc_audit": """
@@ -115,4 +166,5 @@ SQL: dict[str, str] = {
     links AS (SELECT a, b FROM shared JOIN sizes s ON s.id = a JOIN sizes t ON t.id = b WHERE 100 * common >= 80 * (s.n + t.n - common)),
     {_reach("words", "links")}
     SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component AS component_id FROM parts LEFT JOIN sizes USING (id)""",
+    "op12_merkle_manifest": _manifest_sql(),
 }
