@@ -10,6 +10,11 @@ the library merges those, and ids are ranks. Offsets come from the token lengths
 their running sum, and a count of first bytes turns byte places into code points. A character
 whose bytes fall into several tokens belongs to each of them.
 
+Most matches of the pattern come again and again, so a match is given to the library once and its
+ids are kept on the worker, up to `KEPT` matches; new ones of a piece go in together. Matches are
+found by the ``regex`` module. It may know other Unicode versions than the library: a worker first
+asks both for the code points of each class, and texts with one they disagree on are cut by the library.
+
 Long texts are cut where white space follows something else: no match of a pattern of this family
 goes over such a place, so pieces give the same ids as the whole. A text without such a place is one
 piece. Output leaves in batches of about `SLICE` tokens, texts in one batch or not.
@@ -34,6 +39,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +49,9 @@ from quern.llm.common import per_worker, raw_texts
 
 PIECE = 1 << 16
 SLICE = 1 << 20
+KEPT = 1 << 18
 LOST = "�".encode()
+APART = "\uFFFF"
 GAP = re.compile(r"\S[ \t\n]")
 
 
@@ -91,33 +99,97 @@ def definition(ranks: dict[bytes, int], pattern: str) -> str:
     return whole.to_str()
 
 
+class Encoder:
+    """The library and what a worker keeps to call it less."""
+
+    def __init__(self, made: str, pattern: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work out
+        self.whole = tokenizers.Tokenizer.from_str(made)
+        self.matches = tokenizers.Tokenizer.from_str(made)
+        apart = tokenizers.pre_tokenizers.Split(APART, "removed")
+        self.matches.pre_tokenizer = tokenizers.pre_tokenizers.Sequence([apart, tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.lengths = token_lengths(made)
+        self.find = regex.compile(pattern).findall
+        self.disputed = _disputed()
+        self.kept: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self._part, pieces(text))), np.int32)
+
+    def _part(self, text: str) -> bytes:
+        if not text.isascii() and self.disputed[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
+            return self._of(self.whole, text).tobytes()
+        found = self.find(text)
+        new = {match for match in found if match not in self.kept}
+        if len(self.kept) + len(new) > KEPT:
+            self.kept, new = {}, set(found)
+        if new:
+            self._learn(new)
+        return b"".join(map(self.kept.__getitem__, found))
+
+    @staticmethod
+    def _of(tokenizer: tokenizers.Tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+    def _learn(self, new: set[str]) -> None:
+        for match in [match for match in new if APART in match]:
+            self.kept[match] = self._of(self.whole, match).tobytes()
+            new.remove(match)
+        if new:
+            ids = self._of(self.matches, APART.join(new))
+            ends = np.cumsum([len(match.encode()) for match in new])
+            cuts = 4 * np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 4
+            raw, low = ids.tobytes(), 0
+            for match, high in zip(new, cuts.tolist()):
+                self.kept[match] = raw[low:high]
+                low = high
+
+
+def _disputed() -> np.ndarray:
+    """For each code point: do the ``regex`` module and the library differ on it in a class of the pattern?"""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out = np.zeros(0x110000, bool)
+    for cls in (r"\p{L}", r"\p{N}", r"\s"):
+        mine = regex.sub(cls, "", every)
+        theirs = tokenizers.normalizers.Replace(tokenizers.Regex(cls), "").normalize_str(every)
+        out |= _present(mine) ^ _present(theirs)
+    return out
+
+
+def _present(text: str) -> np.ndarray:
+    out = np.zeros(0x110000, bool)
+    out[np.frombuffer(text.encode("utf-32-le"), np.uint32)] = True
+    return out
+
+
+def token_bytes(made: str) -> list[bytes]:
+    """Bytes of each id, and U+FFFD as one entry more."""
+    back = {c: b for b, c in enumerate(byte_chars())}
+    vocabulary = json.loads(made)["model"]["vocab"]
+    tokens = [LOST] * (max(vocabulary.values()) + 2)
+    for shown, rank in vocabulary.items():
+        tokens[rank] = bytes(back[c] for c in shown)
+    return tokens
+
+
+def token_lengths(made: str) -> np.ndarray:
+    return np.array([len(t) for t in token_bytes(made)], np.int64)
+
+
 class Vocabulary:
-    """A definition, broadcast once, and the tables both directions need on a worker."""
+    """A definition, broadcast once, and what both directions make of it on a worker."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str) -> None:
         made = definition(read_ranks(path), pattern)
+        self.pattern = pattern
         self.mark = hashlib.sha256(made.encode()).hexdigest()
         self.made = spark.sparkContext.broadcast(made)
 
-    def tokenizer(self) -> tokenizers.Tokenizer:
-        def make():
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work out
-            return tokenizers.Tokenizer.from_str(self.made.value)
-
-        return per_worker(f"byte-bpe {self.mark}", make)
+    def encoder(self) -> Encoder:
+        return per_worker(f"byte-bpe {self.mark}", lambda: Encoder(self.made.value, self.pattern))
 
-    def table(self) -> tuple[pa.Array, np.ndarray]:
-        """Bytes of each id, with one more entry for unknown ids, and their lengths."""
-
-        def make():
-            back = {c: b for b, c in enumerate(byte_chars())}
-            vocabulary = json.loads(self.made.value)["model"]["vocab"]
-            tokens = [LOST] * (max(vocabulary.values()) + 2)
-            for shown, rank in vocabulary.items():
-                tokens[rank] = bytes(back[c] for c in shown)
-            return pa.array(tokens, pa.large_binary()), np.array([len(t) for t in tokens], np.int64)
-
-        return per_worker(f"byte-bpe table {self.mark}", make)
+    def table(self) -> pa.Array:
+        return per_worker(f"byte-bpe table {self.mark}", lambda: pa.array(token_bytes(self.made.value), pa.large_binary()))
 
 
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
@@ -132,15 +204,9 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
         yield text[start:]
 
 
-def ids_of(raw: bytes, tokenizer: tokenizers.Tokenizer) -> np.ndarray:
-    parts = [np.array(tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids, np.int32)
-             for piece in pieces(raw.decode("utf-8", "replace"))]
-    return np.concatenate([np.zeros(0, np.int32), *parts])
-
-
-def offsets_of(raw: bytes, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def offsets_of(text: str, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First code point and the one after the last of each token."""
-    data = np.frombuffer(raw.decode("utf-8", "replace").encode(), np.uint8)
+    data = np.frombuffer(text.encode(), np.uint8)
     count = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)
     ends = np.cumsum(lengths[ids])
     starts = ends - lengths[ids]
@@ -161,13 +227,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: Se
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]), pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, (_, lengths) = vocabulary.tokenizer(), vocabulary.table()
+        encoder = vocabulary.encoder()
         for batch in batches:
             first, held, found = 0, 0, []
             last = batch.num_rows - 1
             for row, raw in enumerate(raw_texts(batch.column("__text"))):
-                ids = ids_of(raw, tokenizer)
-                found.append((ids, *offsets_of(raw, ids, lengths)))
+                value = raw.decode("utf-8", "replace")
+                ids = encoder.ids(value)
+                found.append((ids, *offsets_of(value, ids, encoder.lengths)))
                 held += len(ids)
                 if held >= SLICE or row == last:
                     kept = [batch.column(c).slice(first, len(found)) for c in keep]
@@ -196,7 +263,7 @@ def decoder(vocabulary: Vocabulary) -> Callable[[Column | str], Column]:
     """Column function: the bytes of a list of ids. ``decode(bytes, 'UTF-8')`` gives the text."""
 
     def run(ids: pa.Array) -> pa.Array:
-        table, _ = vocabulary.table()
+        table = vocabulary.table()
         return pa.array([_bytes_of(values, known, table) for values, known in _lists(ids)], pa.binary())
 
     return F.arrow_udf(run, BinaryType())
@@ -206,7 +273,7 @@ def text_decoder(vocabulary: Vocabulary) -> Callable[[Column | str], Column]:
     """Column function: the text of a list of ids, U+FFFD where the bytes are not UTF-8."""
 
     def run(ids: pa.Array) -> pa.Array:
-        table, _ = vocabulary.table()
+        table = vocabulary.table()
         return pa.array([_bytes_of(values, known, table).decode("utf-8", "replace") for values, known in _lists(ids)], pa.string())
 
     return F.arrow_udf(run, "string")

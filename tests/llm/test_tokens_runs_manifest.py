@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -54,12 +55,17 @@ def test_tokens_equal_the_library(spark, library):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
-def test_tokens_of_random_texts(library):
-    tokenizer = byte_bpe.tokenizers.Tokenizer.from_str(byte_bpe.definition(byte_bpe.read_ranks(RANKS), PATTERN))
+def test_tokens_of_random_texts(library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "KEPT", 3000)
+    encoder = byte_bpe.Encoder(byte_bpe.definition(byte_bpe.read_ranks(RANKS), PATTERN), PATTERN)
     r, tokens = random.Random(3), [library.decode([i]) for i in range(0, 50_000, 7)]
     for n in range(6000):
         text = "".join(r.choice(tokens) * (r.randrange(1, 30) if n % 2 else 1) for _ in range(r.randrange(1, 8)))
-        assert byte_bpe.ids_of(text.encode(), tokenizer).tolist() == library.encode_ordinary(text)
+        assert encoder.ids(text).tolist() == library.encode_ordinary(text)
+    assert len(encoder.kept) <= 3000
+    odd = np.flatnonzero(encoder.disputed).tolist()
+    for text in ["\uffff", "a\uffffb 'll", *(f"a{chr(c)}b1 {chr(c)} {chr(c)}{chr(c)}1" for c in [*odd[::40], *range(0, 0xD800, 61), *range(0x10000, 0x110000, 997)])]:
+        assert encoder.ids(text).tolist() == library.encode_ordinary(text)
 
 
 def test_pieces_do_not_show(library):
@@ -265,8 +271,6 @@ def test_runs_in_long_texts():
 
 
 def test_transform_is_exact():
-    import numpy as np
-
     r = np.random.default_rng(1)
     for p in (1, 2, 8, 64, 2048):
         scale = periodic_runs.Scale(p)
