@@ -223,15 +223,34 @@ def st05_stream(t):
     return G.read_all_batches(t.spark, f"{base}/sink")
 
 
+ARRIVALS = 5
+
+
+def arrivals(t, folder: str, parts: int):
+    """Write the events to ``folder`` as they arrive, up to an hour late, in ``parts`` steps; yields after each."""
+    late = F.floor(uniform(146, "delay", "event_id") * 3_600_000).cast("long")
+    seen = t.events.withColumn("arrived", F.unix_millis(F.col("ts").cast("timestamp")) + late)
+    low, high = seen.agg(F.min("arrived"), F.max("arrived")).first()
+    step = (high - low) // parts + 1
+    for k in range(parts):
+        part = seen.where(F.col("arrived").between(low + k * step, low + (k + 1) * step - 1)).drop("arrived")
+        part.write.parquet(f"{folder}/arrived={k:04d}")
+        yield k
+
+
 @query(
     "st06_stalled_runs",
     """
-    SELECT user_id AS run, count(*) AS events, max(epoch_us(ts)) AS last_us FROM events GROUP BY 1
-    HAVING max(epoch_us(ts)) // 1000 + 360 * 60000 <= (SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events)
+    WITH d AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 21600000000, true) AS opens FROM events),
+    s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stretch FROM d)
+    SELECT user_id AS run, count(*) AS events, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us FROM s GROUP BY user_id, stretch
+    HAVING max(epoch_us(ts)) + 21600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events)
     """,
 )
 def st06(t):
+    """Five runs of one job over events as they arrive, up to an hour out of order."""
     base = scratch(t)
-    stream = G.event_stream(t.spark, t.directory)
-    finish(G.start_stalled(stream, "user_id", 360, "1 hour", f"{base}/sink", f"{base}/cp"))
+    for _ in arrivals(t, f"{base}/landing", ARRIVALS):
+        stream = G.landing_stream(t.spark, t.events.schema, f"{base}/landing")
+        finish(G.start_stalled(stream, "user_id", 360, "1 hour", f"{base}/sink", f"{base}/cp"))
     return G.read_all_batches(t.spark, f"{base}/sink")

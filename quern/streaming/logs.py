@@ -7,12 +7,11 @@ is counted twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def event_stream(spark: SparkSession, directory: str, name: str = "events") -> DataFrame:
@@ -25,6 +24,12 @@ def event_stream(spark: SparkSession, directory: str, name: str = "events") -> D
     return raw.withColumn("event_time", F.col("ts").cast("timestamp"))
 
 
+def landing_stream(spark: SparkSession, schema: StructType, folder: str) -> DataFrame:
+    """Parquet files of the subfolders of ``folder`` as a stream, whatever has landed since the last run."""
+    raw = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1000).parquet(folder)
+    return raw.withColumn("event_time", F.col("ts").cast("timestamp"))
+
+
 def batch_folder(sink: str) -> Callable[[DataFrame, int], None]:
     def write(df: DataFrame, batch: int) -> None:
         df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{sink}/batch={batch:010d}")
@@ -90,32 +95,18 @@ def start_windows(events: DataFrame, window: Column, keys: list[str], lateness:
     return _start(counts, "append", sink, checkpoint)
 
 
-def _stalled(gap_ms: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """State is (events, newest time); rows pass through in Arrow batches."""
-        if state.hasTimedOut:
-            n, last = state.get
-            state.remove()
-            yield pd.DataFrame({"run": [key[0]], "events": [n], "last_us": [last]})
-            return
-        n, last = state.get if state.exists else (0, 0)
-        for batch in batches:
-            n += len(batch)
-            last = max(last, int(batch["us"].max()))
-        state.update((n, last))
-        # Time-outs must lie beyond the watermark.
-        state.setTimeoutTimestamp(max(last // 1000 + gap_ms, state.getCurrentWatermarkMs() + 1))
-
-    return step
-
-
 def start_stalled(events: DataFrame, run: str, gap_minutes: int, lateness: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """Runs without an event for ``gap_minutes`` of event time."""
-    timed = events.withWatermark("event_time", lateness).select(
-        F.col(run).alias("run"), "event_time", F.unix_micros("event_time").alias("us")
-    )
-    out = timed.groupBy("run").applyInPandasWithState(
-        _stalled(gap_minutes * 60_000), "run long, events long, last_us long", "events long, last_us long",
-        "append", GroupStateTimeout.EventTimeTimeout,
+    """Stalls: every stretch of a run's events after which none came for ``gap_minutes`` of event time.
+
+    A stretch is a session; it is reported once the watermark has passed its last event by the
+    gap, whether or not the run has gone on since. Open stretches live in the state store and are
+    merged with later events in event-time order, over as many micro-batches as it takes, and with
+    reports that arrive late within ``lateness``. A busy run's rows are merged before the shuffle.
+    """
+    stretch = F.session_window("event_time", f"{gap_minutes} minutes")
+    out = (
+        events.withWatermark("event_time", lateness).groupBy(F.col(run).alias("run"), stretch.alias("w"))
+        .agg(F.count(F.lit(1)).alias("events"), F.min("event_time").alias("first"), F.max("event_time").alias("last"))
+        .select("run", "events", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
     )
     return _start(out, "append", sink, checkpoint)
