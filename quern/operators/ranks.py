@@ -121,63 +121,94 @@ def running_totals(
     return joined.drop("_b", *[f"_l_{s}" for s in sums], *[f"_c_{s}" for s in sums])
 
 
-# A quantile sketch this fine leaves about one row in five thousand between its bounds.
-_ACCURACY, _MARGIN = 20_000, 1e-4
+CLASS_ROWS = 1 << 16
+"""Most rows of one group that are ever sorted together."""
+_GRID = 256
+
+
+def _by(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on equal keys, null being a key like others; one broadcast row where there are no groups."""
+    marked = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(F.broadcast(marked) if list(keys) == ["_all"] else marked, same).drop(*[f"_r_{k}" for k in keys])
+
+
+def _inside(values: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    x, low, high = F.col("_x"), F.col("_low"), F.col("_high")
+    return _by(values, state, keys).where((low.isNull() | (x > low)) & (high.isNull() | (x < high)))
+
+
+def bounded_class(values: DataFrame, keys: Sequence[str], share: float, limit: int) -> DataFrame:
+    """Where the wanted rank of each group stands: in a known value, or in a class of at most ``limit`` rows.
+
+    Gives ``_k`` (0-based rank), ``_part`` (what is left of the place after it), ``_value`` where it
+    is known, else the open interval ``(_low, _high)`` of its class; ``_rows`` of the class and the
+    number of rows ``_before`` it. Each round lays a histogram of equal-depth cells over the class, picks
+    the two cell bounds around the rank, counts what lies below, at, between, at and above them, and keeps
+    the one of the five that holds the rank. A value with more than a cell's rows is a bound of its
+    own, so a class shrinks about eighty-fold a round whatever the ties. Bounds are written before they are
+    used: counting and sorting see the same ones even when a task runs again.
+    """
+    place = F.lit(share) * (F.col("_n") - 1)
+    kind = values.schema["_x"].dataType
+    state = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, F.floor(place).alias("_k"), (place - F.floor(place)).alias("_part"), F.lit(None).cast(kind).alias("_value"),
+        F.lit(None).cast(kind).alias("_low"), F.lit(None).cast(kind).alias("_high"), F.lit(0).cast("long").alias("_before"), F.col("_n").alias("_rows"))
+    wide = F.col("_value").isNull() & (F.col("_rows") > limit)
+    while state.agg(F.max(wide)).first()[0]:
+        grid = F.percentile_approx("_x", [i / _GRID for i in range(_GRID + 1)], 40 * _GRID)
+        cells = _inside(values, state.where(wide), keys).groupBy(*keys).agg(grid.alias("_grid"))
+        at = F.floor((F.col("_k") - F.col("_before")) * _GRID / F.col("_rows")).cast("int")
+        bounds = [F.get("_grid", F.greatest(at - 1, F.lit(0))).alias("_m0"), F.get("_grid", F.least(at + 2, F.lit(_GRID))).alias("_m1")]
+        marks = materialise(_by(state.where(wide), cells, keys).select("*", *bounds).drop("_grid"))
+        x, m0, m1 = F.col("_x"), F.col("_m0"), F.col("_m1")
+        five = [x < m0, x == m0, (x > m0) & (x < m1), (x == m1) & (m1 > m0), x > m1]
+        counts = _inside(values, marks, keys).groupBy(*keys).agg(*[F.count(F.when(c, 1)).alias(f"_c{i}") for i, c in enumerate(five)])
+        state = materialise(state.where(~wide).unionByName(_kept(_by(marks, counts, keys), state.columns)))
+    return state
+
+
+def _kept(counted: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The one of the five counted parts that holds the rank."""
+    m0, m1 = F.col("_m0"), F.col("_m1")
+    ends = [F.col("_before")]
+    for i in range(5):
+        ends.append(ends[-1] + F.col(f"_c{i}"))
+    none, low, high = F.lit(None), F.col("_low"), F.col("_high")
+    parts = [(none, low, m0), (m0, low, high), (none, m0, m1), (m1, low, high), (none, m1, high)]
+    chosen = None
+    for i, (value, below, above) in enumerate(parts):
+        own = F.struct(value.cast(counted.schema["_m0"].dataType).alias("_value"), below.alias("_low"), above.alias("_high"), ends[i].alias("_before"), F.col(f"_c{i}").alias("_rows"))
+        holds = F.col("_k") < ends[i + 1]
+        chosen = F.when(holds, own) if chosen is None else chosen.when(holds, own)
+    new = counted.withColumn("_new", chosen)
+    return new.select(*[F.col("_new")[c].alias(c) if c in ("_value", "_low", "_high", "_before", "_rows") else F.col(c) for c in columns])
 
 
 def exact_quantile(
-    df: DataFrame, x: str, share: float, groups: Sequence[str] = (), out: str = "q"
+    df: DataFrame, x: str, share: float, groups: Sequence[str] = (), out: str = "q", limit: int = CLASS_ROWS
 ) -> DataFrame:
-    """Interpolated quantile of ``x`` per group; one row per group with non-null values.
-
-    Two sketched bounds split the values into below, near and above; counting
-    the three classes tells which of them holds the wanted ranks, and only that
-    class is sorted. The counts are exact, so the result does not depend on the
-    sketch: a poor sketch only makes the sorted class larger. Nothing but
-    sketches, counts and the near class is shuffled. The bounds are fixed before
-    use (fetched, or written when there are groups), so that counting and
-    sorting see the same classes even when a task runs again.
+    """Interpolated quantile of ``x`` per group; one row per group with non-null values, one row without groups.
+
+    :func:`bounded_class` finds a class of at most ``limit`` rows that holds the wanted rank; only
+    such classes are sorted. Nothing but sketches, counts and those classes is shuffled.
     """
-    groups = list(groups)
-    values = df.where(F.col(x).isNotNull()).select(*groups, x)
-    low, high = max(share - _MARGIN, 0.0), min(share + _MARGIN, 1.0)
-    sketch = F.percentile_approx(F.col(x), [low, high], _ACCURACY)
-    if groups:
-        bounds = materialise(values.groupBy(*groups).agg(sketch.alias("_e")))
-        classed = values.join(bounds, groups)
-        lower, upper = F.col("_e")[0], F.col("_e")[1]
-    else:
-        classed = values
-        lower, upper = map(F.lit, values.agg(sketch).first()[0] or (None, None))
-    c = F.when(F.col(x) < lower, 0).when(F.col(x) <= upper, 1).otherwise(2)
-    classed = classed.select(*groups, x, c.alias("_c"))
-    counts = classed.groupBy(*groups).agg(
-        *[F.count(F.when(F.col("_c") == i, 1)).alias(f"_n{i}") for i in range(3)]
-    )
-    place = F.lit(share) * (F.col("_n0") + F.col("_n1") + F.col("_n2") - 1)
-    starts = [F.lit(0), F.col("_n0"), F.col("_n0") + F.col("_n1")]
-    held = counts.select(*groups, place.alias("_at"), *[
-        F.struct(
-            (s <= F.ceil(place)).alias("a"), (s + F.col(f"_n{i}") > F.floor(place)).alias("b"), s.alias("s"), F.lit(i).alias("c")
-        ).alias(f"_h{i}") for i, s in enumerate(starts)
-    ])
-    wanted = held.select(*groups, "_at", F.explode(F.array("_h0", "_h1", "_h2")).alias("_h")).where("_h.a and _h.b")
-    wanted = wanted.select(*groups, "_at", F.col("_h.s").alias("_from"), F.col("_h.c").alias("_c"))
-    points = (
-        classed.join(F.broadcast(wanted) if not groups else wanted, [*groups, "_c"])
-        .groupBy(*groups, "_c", "_from", "_at", x).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    inner = (
-        Window.partitionBy(*groups, "_c").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    near = points.withColumn("_s", F.col("_from") + F.coalesce(F.sum("_n").over(inner), F.lit(0)))
-    left = F.expr(f"max(case when _s <= floor(_at) and _s + _n > floor(_at) then `{x}` end)")
-    right = F.expr(f"max(case when _s <= ceil(_at) and _s + _n > ceil(_at) then `{x}` end)")
-    ends = near.groupBy(*groups).agg(
-        left.cast("double").alias("_lo"), right.cast("double").alias("_hi"), F.max("_at").alias("_at")
-    )
-    value = F.col("_lo") + (F.col("_at") - F.floor("_at")) * (F.col("_hi") - F.col("_lo"))
-    return ends.select(*groups, value.alias(out))
+    keys = list(groups) or ["_all"]
+    values = df.where(F.col(x).isNotNull()).select(*[F.lit(0).alias("_all")] if not groups else groups, F.col(x).alias("_x"))
+    state = bounded_class(values, keys, share, limit)
+    known = F.col("_value").isNotNull()
+    lists = _inside(values, state.where(~known), keys).groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("_list"))
+    at = (F.col("_k") - F.col("_before")).cast("int")
+    sorted_ = _by(state.where(~known), lists, keys).select(*keys, "_part", F.get("_list", at).alias("_lo"), F.get("_list", at + 1).alias("_hi"))
+    tied = F.when(F.col("_k") + 1 < F.col("_before") + F.col("_rows"), F.col("_value"))
+    ends = sorted_.union(state.where(known).select(*keys, "_part", F.col("_value").alias("_lo"), tied.alias("_hi")))
+    short = ends.where("_part > 0 and _hi is null").select(*keys, "_lo")
+    nexts = _by(values, short, keys).where("_x > _lo").groupBy(*keys).agg(F.min("_x").alias("_next"))
+    ends = ends.join(nexts.withColumnsRenamed({k: f"_r_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], "left")
+    lo = F.col("_lo").cast("double")
+    hi = F.coalesce("_hi", "_next", "_lo").cast("double")
+    found = ends.select(*keys, (lo + F.col("_part") * (hi - lo)).alias(out))
+    return found if groups else found.agg(F.max(out).alias(out))
 
 
 def exact_median(

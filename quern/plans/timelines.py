@@ -7,8 +7,10 @@ from pyspark.sql import Window, functions as F
 from quern.functions.draws import count_where, rows, uniform
 from quern.operators import runlog as R
 from quern.operators.ordered import micros, neighbour, running, strictly_prior, time_chunks
+from quern.operators.scans import affine_scan
 from quern.plans.joins import MONEY
 from quern.plans.registry import query, u_sql
+from quern.session import materialise
 
 L = F.lit
 
@@ -32,7 +34,7 @@ def w03(t):
 
 
 DAILY_SQL = "daily AS (SELECT user_id, date_diff('day', TIMESTAMP '2024-01-01', ts) AS day, count(*) AS x FROM events GROUP BY 1, 2)"
-MEMORY = 30
+DECAY = 0.5
 
 
 def daily(t):
@@ -40,30 +42,35 @@ def daily(t):
     return t.events.groupBy("user_id", F.datediff("ts", L("2024-01-01").cast("date")).cast("long").alias("day")).agg(rows().alias("x"))
 
 
+def smoothed(d, keys, day, x, decay: float = DECAY):
+    """``(keys, day, up)``: all earlier values, each weighted by ``decay`` per row that lies between."""
+    return affine_scan(d, keys, day, L(decay), decay * F.col(x), out="up")
+
+
 def baselines(t):
     w = Window.partitionBy("user_id").orderBy("day")
-    past = F.collect_list("x").over(w.rowsBetween(-MEMORY, -1))
-    d = daily(t).select(
+    d = materialise(daily(t))
+    seen = d.select(
         "*", F.lag("x").over(w).alias("last_value"), F.max("x").over(w.rangeBetween(-7, -7)).alias("seasonal"),
-        F.avg("x").over(w.rowsBetween(-3, -1)).alias("moving"), past.alias("past"),
+        F.avg("x").over(w.rowsBetween(-3, -1)).alias("moving"), (F.row_number().over(w) - 1).alias("n"),
     )
-    n = F.size("past")
-    up = F.aggregate(F.transform("past", lambda x, i: x * F.pow(L(0.5), n - i - 1)), L(0.0), lambda a, b: a + b)
-    down = F.aggregate(F.transform("past", lambda x, i: F.pow(L(0.5), n - i - 1)), L(0.0), lambda a, b: a + b)
-    return d.withColumn("smoothed", F.when(n > 0, up / down)).drop("past")
+    weight = 1 - F.pow(L(DECAY), "n")
+    out = seen.join(smoothed(d, ["user_id"], "day", "x"), ["user_id", "day"])
+    return out.withColumn("smoothed", F.when(F.col("n") > 0, F.col("up") / weight)).drop("n", "up")
 
 
 BASELINES_SQL = f"""
     {DAILY_SQL}, b0 AS (SELECT *, lag(x) OVER w AS last_value, max(x) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN 7 PRECEDING AND 7 PRECEDING) AS seasonal,
-      avg(x) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS moving,
-      list(x) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN {MEMORY} PRECEDING AND 1 PRECEDING) AS past FROM daily WINDOW w AS (PARTITION BY user_id ORDER BY day)),
-    base AS (SELECT user_id, day, x, last_value, seasonal, moving, CASE WHEN len(past) > 0 THEN list_sum(list_transform(past, lambda v, i: v * power(0.5, len(past) - i))) / list_sum(list_transform(past, lambda v, i: power(0.5, len(past) - i))) END AS smoothed FROM b0)
+      avg(x) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS moving, row_number() OVER w AS k FROM daily WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+    states AS (SELECT user_id, k, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM b0 WHERE k = 1
+      UNION ALL SELECT b0.user_id, b0.k + 1, {DECAY} * up + {1 - DECAY} * x, {DECAY} * down + {1 - DECAY} FROM states s JOIN b0 ON b0.user_id = s.user_id AND b0.k = s.k),
+    base AS (SELECT b0.user_id, day, x, last_value, seasonal, moving, CASE WHEN b0.k > 1 THEN up / down END AS smoothed FROM b0 JOIN states s ON s.user_id = b0.user_id AND s.k = b0.k)
 """
 
 
 @query(
     "w04_series_baselines",
-    f"WITH {BASELINES_SQL} SELECT user_id, day, x, last_value::DOUBLE AS last_value, seasonal::DOUBLE AS seasonal, round(moving, 9) AS moving, round(smoothed, 9) AS smoothed FROM base",
+    f"WITH RECURSIVE {BASELINES_SQL} SELECT user_id, day, x, last_value::DOUBLE AS last_value, seasonal::DOUBLE AS seasonal, round(moving, 9) AS moving, round(smoothed, 9) AS smoothed FROM base",
 )
 def w04(t):
     return baselines(t).select(
@@ -75,7 +82,7 @@ def w04(t):
 @query(
     "b03_series_baseline_scores",
     f"""
-    WITH {BASELINES_SQL}, u AS (SELECT name, x, p FROM (SELECT x, last_value::DOUBLE AS last_value, seasonal::DOUBLE AS seasonal, moving, smoothed FROM base WHERE day >= 20) UNPIVOT (p FOR name IN (last_value, seasonal, moving, smoothed)))
+    WITH RECURSIVE {BASELINES_SQL}, u AS (SELECT name, x, p FROM (SELECT x, last_value::DOUBLE AS last_value, seasonal::DOUBLE AS seasonal, moving, smoothed FROM base WHERE day >= 20) UNPIVOT (p FOR name IN (last_value, seasonal, moving, smoothed)))
     SELECT name, count(*) AS n, round(avg(abs(x - p)), 8) AS mae, round(sqrt(avg((x - p) ** 2)), 8) AS rmse FROM u GROUP BY 1
     """,
 )
