@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions.draws import count_where, uniform
-from quern.operators import compose as C
+from quern.operators import compose as C, neighbours
 from quern.operators.ordered import DAY, as_of, micros
 from quern.operators.splits import part_by_share
 from quern.plans.panel_frame import PANEL_SQL, panel_of
@@ -380,29 +380,27 @@ def table_diff(t):
     return C.table_diff(base, changed, ["o_orderkey"])
 
 
+NEAR = 5
+
+
 @query(
     "j17_nearest_neighbour_probe",
     f"""
-    WITH v AS (SELECT vec_id, label, {u_sql(17, 'part', 'vec_id')} < 0.75 AS is_train,
-      list_sum(list_transform(range(1, 65), lambda i: CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END * floor(embedding[i]::DOUBLE * 1000000)::BIGINT))::BIGINT AS x FROM embeddings),
-    b AS (SELECT x, max(label) AS label FROM v WHERE is_train GROUP BY 1),
-    p AS (SELECT vec_id, v.label, v.x, b.x AS bx, b.label AS bl, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v.x - b.x), b.x) AS rn
-      FROM v, b WHERE NOT is_train)
-    SELECT vec_id, x, label::BIGINT AS label, bx AS near_at, bl::BIGINT AS near_label, bl = label AS agrees FROM p WHERE rn = 1
+    WITH v AS (SELECT vec_id, label::BIGINT AS label, {u_sql(17, 'part', 'vec_id')} < 0.75 AS is_train, embedding::DOUBLE[] AS e FROM embeddings),
+    p AS (SELECT a.vec_id, a.label, b.vec_id AS near_id, b.label AS near_label, round(list_cosine_similarity(a.e, b.e), 12) AS c FROM v a, v b WHERE NOT a.is_train AND b.is_train),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, near_id) AS rank FROM p)
+    SELECT vec_id, near_id, rank, round(c, 9) AS cosine, near_label = label AS agrees FROM r WHERE rank <= {NEAR}
     """,
 )
 def nearest_neighbour_probe(t):
-    signs = F.transform(
-        "embedding",
-        lambda e, i: F.floor(e.cast("double") * 1_000_000) * F.when(i % 2 == 0, 1).otherwise(-1),
-    )
-    v = t.embeddings.select(
-        "vec_id", F.col("label").cast("long").alias("label"),
-        F.aggregate(signs, F.lit(0).cast("long"), lambda a, e: a + e).alias("x"),
-        part_by_share(17, {"train": 0.75, "test": 0.25}, "vec_id").alias("part"),
-    )
-    found = C.nearest_on_line(v.where("part = 'test'"), v.where("part = 'train'"), "x", ["label"])
-    return found.select("vec_id", "x", "label", "near_at", "near_label", (F.col("near_label") == F.col("label")).alias("agrees"))
+    """The five training vectors nearest to each test vector, and whether their labels agree."""
+    parts = t.embeddings.select("vec_id", "embedding", part_by_share(17, {"train": 0.75, "test": 0.25}, "vec_id").alias("part"))
+    index = neighbours.Index(neighbours.unit_vectors(parts.where("part = 'train'"), "vec_id", "embedding"))
+    found = index.nearest(neighbours.unit_vectors(parts.where("part = 'test'"), "vec_id", "embedding"), NEAR)
+    label = t.embeddings.select("vec_id", F.col("label").cast("long").alias("label"))
+    own = found.join(label, F.col("id") == F.col("vec_id")).select("vec_id", F.col("near").alias("near_id"), F.col("rank").cast("long").alias("rank"), "cosine", F.col("label").alias("own"))
+    near = label.select(F.col("vec_id").alias("near_id"), F.col("label").alias("near_label"))
+    return own.join(near, "near_id").select("vec_id", "near_id", "rank", F.round("cosine", 9).alias("cosine"), (F.col("near_label") == F.col("own")).alias("agrees"))
 
 
 @query(
