@@ -41,13 +41,18 @@ DIGITS = 12
 
 def unit_vectors(df: DataFrame, id_column: str, vector: str) -> DataFrame:
     """``(id, v)`` with ``v`` of length one; scaled by the largest component first, so no square over- or underflows."""
-    v = F.transform(F.col(vector), lambda e: e.cast("double"))
-    good = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    rows = df.select(F.col(id_column).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
-    most = F.aggregate("v", F.lit(0.0), lambda a, e: F.greatest(a, F.abs(e)))
-    rows = rows.withColumn("m", most).where("m > 0").select("id", F.expr("transform(v, e -> e / m)").alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))
-    return rows.withColumn("n", norm).select("id", F.expr("transform(v, e -> e / n)").alias("v"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # astype turns null components into nan
+            v = [None if x is None else np.asarray(x, dtype=object).astype(float) for x in batch["v"]]
+            good = np.array([x is not None and np.isfinite(x).all() and x.any() for x in v], bool)
+            scaled = [x / np.abs(x).max() for x, keep in zip(v, good) if keep]
+            if scaled:
+                yield batch[good].assign(v=pd.Series([x / np.sqrt(x @ x) for x in scaled], batch.index[good], object))
+
+    rows = df.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null")
+    return rows.mapInPandas(run, rows.schema)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
