@@ -20,8 +20,8 @@ def as_col(value: Column | str) -> Column:
 
 
 def key_text(*keys: Column | str) -> Column:
-    """Key columns in one fixed text form. Use integers, dates or text only."""
-    return F.concat_ws("|", *[as_col(k).cast("string") for k in keys])
+    """Key columns in one fixed text form. Use integers, dates or text only; null is a value of its own."""
+    return F.concat_ws("|", *[F.coalesce(as_col(k).cast("string"), F.lit("\0")) for k in keys])
 
 
 def draw_digest(seed: int, purpose: str, *keys: Column | str) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions.draws import rows
+from quern.functions.multiset import encoded
 
 
 def determinism(df: DataFrame, families: Mapping[str, Sequence[str]], target: str) -> DataFrame:
@@ -15,10 +16,10 @@ def determinism(df: DataFrame, families: Mapping[str, Sequence[str]], target: st
     ``determined`` is the share of rows whose value always has one label,
     ``purity`` the share guessed by the majority label per value, ``lift`` the
     gain over the global majority. Rows become (family, value, label) counts on
-    the map side, so a frequent value costs one row per task.
+    the map side, so a frequent value costs one row per task. Null is a value of its own.
     """
     cells = [
-        F.struct(F.lit(name).alias("family"), F.concat_ws("\u0001", *[F.col(c).cast("string") for c in cols]).alias("x"))
+        F.struct(F.lit(name).alias("family"), encoded(*cols).alias("x"))
         for name, cols in families.items()
     ]
     counts = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from quern.functions.multiset import fingerprint, fingerprint_sql
 from quern.functions.draws import count_where, rows, uniform
 from quern.operators import compose as C, panel as N
 from quern.operators.metrics import better
@@ -237,24 +238,22 @@ def s07(t):
     return parsed.select("task", "variant", F.size("s").cast("long").alias("n"), F.array_join("s", ",").alias("scores"))
 
 
-FINGER_SQL = "sum(('0x' || substr(sha256(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_totalprice::DECIMAL(18,2)::VARCHAR, strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority)), 1, 13))::BIGINT)::VARCHAR"
+FINGER_SQL = fingerprint_sql(
+    "o_orderkey::VARCHAR", "o_custkey::VARCHAR", "o_orderstatus", "o_totalprice::DECIMAL(18,2)::VARCHAR", "strftime(o_orderdate, '%Y-%m-%d')", "o_orderpriority",
+)
 
 
-def fingerprint(t, orders):
-    text = F.concat_ws(
-        "|", "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast(MONEY).cast("string"),
-        F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderpriority",
-    )
-    part = F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("decimal(20,0)")
-    return orders.agg(F.sum(part).cast("string").alias("fingerprint"), rows().alias("n"))
+def content(orders):
+    text = ["o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast(MONEY), F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderpriority"]
+    return orders.agg(fingerprint(*text).alias("fingerprint"), rows().alias("n"))
 
 
 @query("a22_content_fingerprint", f"SELECT {FINGER_SQL} AS fingerprint, count(*) AS n, true AS rebuild_agrees FROM orders")
 def a22(t):
     """The rebuild joins the two extracts again; row order and files do not matter."""
     profile, commercial = C.cut_extracts(t.orders, "o_orderkey", "o_totalprice", [])
-    again = fingerprint(t, profile.join(commercial, "o_orderkey")).select("fingerprint").scalar()
-    return fingerprint(t, t.orders).withColumn("rebuild_agrees", F.col("fingerprint") == again)
+    again = content(profile.join(commercial, "o_orderkey")).select("fingerprint").scalar()
+    return content(t.orders).withColumn("rebuild_agrees", F.col("fingerprint") == again)
 
 
 @query("a23_cell_support", "SELECT p_brand, p_type, count(*) AS n, count(*) < 15 AS below_support FROM part GROUP BY 1, 2")
@@ -268,13 +267,10 @@ def a24(t):
     return t.customer.groupBy(*cell).agg(rows().alias("n")).where("n < 10")
 
 
-TRAJECTORY_SQL = "sum(('0x' || substr(sha256(concat_ws('|', {rel}::VARCHAR, event_type)), 1, 13))::BIGINT)::VARCHAR"
-
-
 @query(
     "a24_unique_trajectories",
-    """
-    WITH d AS (SELECT user_id, sum(('0x' || substr(sha256(concat_ws('|', epoch_us(date_trunc('day', ts))::VARCHAR, event_type)), 1, 13))::BIGINT)::VARCHAR AS shape, count(*) AS steps
+    f"""
+    WITH d AS (SELECT user_id, {fingerprint_sql("epoch_us(ts)::VARCHAR", "event_type")} AS shape, count(*) AS steps
       FROM (SELECT DISTINCT user_id, date_trunc('day', ts) AS ts, event_type FROM events) GROUP BY 1)
     SELECT users, count(*) AS trajectories, sum(steps)::BIGINT AS steps FROM (SELECT shape, count(*) AS users, sum(steps) AS steps FROM d GROUP BY 1) GROUP BY 1
     """,
@@ -282,8 +278,7 @@ TRAJECTORY_SQL = "sum(('0x' || substr(sha256(concat_ws('|', {rel}::VARCHAR, even
 def a24_trajectories(t):
     """A trajectory is fingerprinted by a sum of step hashes; no history is gathered."""
     steps = t.events.select("user_id", F.date_trunc("day", "ts").alias("d"), "event_type").distinct()
-    part = F.conv(F.substring(F.sha2(F.concat_ws("|", micros("d"), "event_type"), 256), 1, 13), 16, 10).cast("decimal(20,0)")
-    shapes = steps.groupBy("user_id").agg(F.sum(part).alias("shape"), rows().alias("steps"))
+    shapes = steps.groupBy("user_id").agg(fingerprint(micros("d"), "event_type").alias("shape"), rows().alias("steps"))
     return shapes.groupBy("shape").agg(rows().alias("users"), F.sum("steps").alias("steps")).groupBy("users").agg(
         rows().alias("trajectories"), F.sum("steps").alias("steps")
     )
