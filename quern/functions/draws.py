@@ -6,6 +6,7 @@ executor recomputes exactly the same values.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, functions as F
@@ -34,6 +35,12 @@ def uniform(seed: int, purpose: str, *keys: Column | str) -> Column:
     return (F.conv(head, 16, 10).cast("long") + F.lit(0.5)) / F.lit(_SPAN)
 
 
+def uniform_value(seed: int, purpose: str, *keys: str | int) -> float:
+    """The same draw for keys known to the driver."""
+    digest = hashlib.sha256("|".join([str(seed), purpose, *map(str, keys)]).encode()).hexdigest()
+    return (int(digest[:13], 16) + 0.5) / _SPAN
+
+
 def normal(seed: int, purpose: str, *keys: Column | str) -> Column:
     radius = F.sqrt(F.lit(-2.0) * F.ln(uniform(seed, purpose + "/r", *keys)))
     return radius * F.cos(F.lit(2.0 * math.pi) * uniform(seed, purpose + "/a", *keys))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions.draws import count_where, draw_digest, rows, uniform
-from quern.operators import compose as C, perturb as X, probes as B
+from quern.functions.draws import count_where, draw_digest, rows, uniform, uniform_value
+from quern.functions.multiset import fingerprint_sql
+from quern.operators import compose as C, perturb as X, probes as B, theta as T
 from quern.operators.ordered import micros
 from quern.operators.ranks import exact_median, hashed_rank
 from quern.plans.joins import MONEY, SLATE_SQL, slates
@@ -223,6 +224,26 @@ def x01_keep(t):
     return C.pick(t.part, X.keep_some(t.part.columns, PART_FEATURES, 2, seed=122))
 
 
+@query(
+    "x01_theta_train_test",
+    f"""
+    WITH p AS (SELECT *, {u_sql(134, 'part', 'p_partkey')} < 0.75 AS is_train FROM part),
+    f AS (SELECT 0.1 * stddev_samp(p_retailprice) AS sd FROM p WHERE is_train)
+    SELECT p_partkey, is_train, CASE WHEN {u_sql(134, 'missing/p_brand', 'p_partkey')} >= 0.2 THEN p_brand END AS p_brand,
+      CASE WHEN {u_sql(134, 'missing/p_type', 'p_partkey')} >= 0.2 THEN p_type END AS p_type,
+      CASE WHEN {u_sql(134, 'missing/p_retailprice', 'p_partkey')} >= 0.2 THEN round(p_retailprice + sd * {n_sql(134, 'noise/p_retailprice', 'p_partkey')}, 4) END AS p_retailprice,
+      round({n_sql(134, 'junk/0', 'p_partkey')}, 6) AS junk_0 FROM p, f
+    """,
+)
+def x01_theta(t):
+    """One theta over train and test: the same columns go, noise is scaled on train, cells are blanked in both."""
+    parted = t.part.withColumn("is_train", uniform(134, "part", "p_partkey") < 0.75)
+    theta = T.Theta(seed=134, n_drop=2, n_junk=1, noise=0.1, missing=0.2)
+    train, test, _, _ = T.apply_theta(parted.where("is_train"), parted.where("not is_train"), theta, ["p_partkey"], PART_FEATURES, ["p_size", "p_retailprice"])
+    both = train.unionByName(test)
+    return both.withColumns({"p_retailprice": F.round("p_retailprice", 4), "junk_0": F.round("junk_0", 6)})
+
+
 @query(
     "x02_mask_dominant",
     "SELECT 'o_totalprice' AS column_name, 0::BIGINT AS mismatches, false AS mask_present, count(*) AS n FROM orders UNION ALL SELECT '<rows>', 0, false, count(*) FROM orders",
@@ -291,44 +312,65 @@ def x06(t):
     return C.pick(t.part, ["p_partkey", *moved])
 
 
-THETA = {"seed": 121, "drop": 2, "noise": 0.1, "missing": 0.1}
+SEEN = "CASE WHEN {u} >= 0.2 THEN {c} END"
+
+
+def seen_sql(column):
+    return SEEN.format(u=u_sql(137, f"missing/{column}", "p_partkey"), c=column)
 
 
 @query(
     "x07_audit_record",
-    f"SELECT '{{\"seed\":121,\"drop\":2,\"noise\":0.1,\"missing\":0.1}}' AS theta, '{','.join(c for c in PART_FEATURES if c not in LEFT_AFTER_DROP)}' AS dropped, count(*) AS row_count, sum(('0x' || substr(sha256(p_partkey::VARCHAR), 1, 13))::BIGINT)::VARCHAR AS key_fingerprint FROM part",
+    f"""
+    WITH p AS (SELECT p_partkey, {seen_sql('p_type')} AS p_type, {seen_sql('p_brand')} AS p_brand, {u_sql(137, 'part', 'p_partkey')} < 0.75 AS is_train FROM part)
+    SELECT CASE WHEN is_train THEN 'train' ELSE 'test' END AS name, count(*) AS n, {fingerprint_sql('p_brand', 'p_partkey::VARCHAR', 'p_type')} AS fingerprint,
+      137::BIGINT AS seed, 'p_name' AS dropped, 0.2 AS missing, 64::BIGINT AS version_length FROM p GROUP BY 1
+    """,
 )
 def x07(t):
-    left = X.drop_some(t.part.columns, PART_FEATURES, 2, seed=121)
-    theta = F.to_json(F.struct(*[L(v).alias(k) for k, v in THETA.items()]))
-    part = F.conv(F.substring(F.sha2(F.col("p_partkey").cast("string"), 256), 1, 13), 16, 10).cast("decimal(20,0)")
-    return t.part.agg(
-        F.max(theta).alias("theta"), L(",".join(c for c in PART_FEATURES if c not in left)).alias("dropped"), rows().alias("row_count"), F.sum(part).cast("string").alias("key_fingerprint")
+    """The record kept beside a perturbed bundle: settings, what they did, code version, content of both tables."""
+    parts = t.part.select("p_partkey", "p_name", "p_brand", "p_type")
+    is_train = uniform(137, "part", "p_partkey") < 0.75
+    theta = T.Theta(seed=137, n_drop=1, missing=0.2)
+    train, test, _, audit = T.apply_theta(parts.where(is_train), parts.where(~is_train), theta, ["p_partkey"], ["p_name", "p_brand", "p_type"])
+    record = T.audit_record(t.spark, audit, {"train": train, "test": test})
+    field = lambda path: F.get_json_object("audit", path)
+    return record.select(
+        "name", "n", "fingerprint", field("$.theta.seed").cast("long").alias("seed"), field("$.dropped[0]").alias("dropped"),
+        field("$.theta.missing").cast("decimal(2,1)").alias("missing"), F.length(field("$.code_version")).cast("long").alias("version_length"),
     )
 
 
+THETAS = range(1, 13)
+SMOKE_SQL = " UNION ALL ".join(
+    f"""SELECT {i} AS th, o_totalprice AS y, CASE WHEN {u_sql(1280 + i, 'missing/f', 'o_orderkey')} >= {u_sql(128, 'missing', str(i))} * 0.3
+      THEN o_totalprice + 2 * {u_sql(128, 'sigma', str(i))} * sd * {n_sql(1280 + i, 'noise/f', 'o_orderkey')} END AS f FROM o, s WHERE NOT is_train"""
+    for i in THETAS
+)
+
+
 @query(
     "x08_theta_search",
     f"""
-    WITH th AS (SELECT th, {u_sql(128, 'sigma', 'th')} * 2 AS sigma, {u_sql(128, 'missing', 'th')} * 0.3 AS miss FROM range(1, 13) r(th)),
-    x AS (SELECT th.*, o_totalprice AS y, o_totalprice + sigma * 140000 * {n_sql(128, 'noise', 'o_orderkey', 'th')} AS f, {u_sql(128, 'gap', 'o_orderkey', 'th')} < miss AS gone FROM orders, th),
-    m AS (SELECT th, round(corr(f, y) FILTER (NOT gone), 9) AS strong, round(-abs(avg(gone::INT)), 9) AS kept FROM x GROUP BY 1),
+    WITH o AS (SELECT o_orderkey, o_totalprice, {u_sql(128, 'part', 'o_orderkey')} < 0.75 AS is_train FROM orders), s AS (SELECT stddev_samp(o_totalprice) AS sd FROM o WHERE is_train),
+    x AS ({SMOKE_SQL}),
+    m AS (SELECT th, round(corr(f, y), 9) AS strong, round(-avg((f IS NULL)::INT), 9) AS kept FROM x GROUP BY 1),
     v AS (SELECT *, CASE WHEN strong < 0.5 THEN 'too_harsh' WHEN strong > 0.98 THEN 'no_change' ELSE 'kept' END AS verdict FROM m)
     SELECT th, strong, kept, verdict, NOT EXISTS (SELECT 1 FROM v w WHERE (w.strong > v.strong AND w.kept >= v.kept) OR (w.strong >= v.strong AND w.kept > v.kept)) AS non_dominated FROM v
     """,
 )
 def x08(t):
-    from quern.functions.draws import normal
-
-    settings = F.sequence(L(1).cast("long"), L(12).cast("long"))
-    x = t.orders.select("o_orderkey", "o_totalprice").select("o_orderkey", F.col("o_totalprice").alias("y"), F.explode(settings).alias("th"))
-    sigma, miss = uniform(128, "sigma", "th") * 2, uniform(128, "missing", "th") * 0.3
-    x = x.select("th", "y", (F.col("y") + sigma * 140000 * normal(128, "noise", "o_orderkey", "th")).alias("f"), (uniform(128, "gap", "o_orderkey", "th") < miss).alias("gone"))
-    m = x.groupBy("th").agg(
-        F.round(F.corr(F.when(~F.col("gone"), F.col("f")), F.when(~F.col("gone"), F.col("y"))), 9).alias("strong"), F.round(-F.abs(F.avg(F.col("gone").cast("int"))), 9).alias("kept")
-    )
+    """Twelve settings, each applied to train and test by the same code that ships them; a cheap score on test."""
+    o = t.orders.select("o_orderkey", F.col("o_totalprice").alias("y"), F.col("o_totalprice").alias("f"))
+    is_train = uniform(128, "part", "o_orderkey") < 0.75
+    smoke = None
+    for i in THETAS:
+        theta = T.Theta(seed=1280 + i, noise=2 * uniform_value(128, "sigma", i), missing=0.3 * uniform_value(128, "missing", i))
+        _, test, _, _ = T.apply_theta(o.where(is_train), o.where(~is_train), theta, ["o_orderkey"], ["f"], ["f"])
+        row = test.agg(F.round(F.corr("f", "y"), 9).alias("strong"), F.round(-F.avg(F.col("f").isNull().cast("int")), 9).alias("kept")).withColumn("th", L(i))
+        smoke = row if smoke is None else smoke.union(row)
     verdict = F.when(F.col("strong") < 0.5, "too_harsh").when(F.col("strong") > 0.98, "no_change").otherwise("kept")
-    return B.pareto_front(m.withColumn("verdict", verdict), "strong", "kept")
+    return B.pareto_front(smoke.select("th", "strong", "kept", verdict.alias("verdict")), "strong", "kept")
 
 
 @query(

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quern.functions.draws import count_where, rows, uniform
 from quern.operators import splits as S
+from quern.operators.perturb import blank_out
+from quern.operators.theta import Fill
 from quern.plans.joins import MONEY
 from quern.plans.registry import d_sql, query, u_sql
 
@@ -204,6 +206,24 @@ def train_only_encoder(t):
     return S.encode(parts, vocabulary, "cell", "code").groupBy("is_train", "code").agg(rows().alias("n"))
 
 
+@query(
+    "d10_train_only_imputer",
+    f"""
+    WITH p AS (SELECT p_partkey, {u_sql(10, 'part', 'p_partkey')} < 0.7 AS is_train, CASE WHEN {u_sql(110, 'missing/p_size', 'p_partkey')} >= 0.3 THEN p_size END AS p_size,
+      CASE WHEN {u_sql(110, 'missing/p_brand', 'p_partkey')} >= 0.3 THEN p_brand END AS p_brand FROM part),
+    m AS (SELECT median(p_size) AS size FROM p WHERE is_train),
+    b AS (SELECT p_brand AS brand FROM p WHERE is_train AND p_brand IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+    SELECT p_partkey, is_train, coalesce(p_size, size)::DOUBLE AS p_size, coalesce(p_brand, brand) AS p_brand, p_size IS NULL AS p_size_missing, p_brand IS NULL AS p_brand_missing FROM p, m, b
+    """,
+)
+def train_only_imputer(t):
+    """Median and most frequent value of the training rows fill both parts; masks stay beside them."""
+    parts = t.part.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_brand", (uniform(10, "part", "p_partkey") < 0.7).alias("is_train"))
+    parts = blank_out(parts, {"p_size": 0.3, "p_brand": 0.3}, ["p_partkey"], 110)
+    fitted = Fill(values={"numeric": ["p_size"], "text": ["p_brand"], "mark": True}).fit(parts.where("is_train"))
+    return fitted.transform(parts)
+
+
 @query(
     "d10_train_only_scaler",
     f"""
