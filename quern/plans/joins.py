@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions.draws import count_where, uniform
-from quern.operators import compose as C, neighbours
+from quern.operators import compose as C, disclosure, neighbours
 from quern.operators.ordered import DAY, as_of, micros
 from quern.operators.splits import part_by_share
 from quern.plans.panel_frame import PANEL_SQL, panel_of
@@ -341,6 +341,39 @@ def raw_id_disclosure(t):
     )
 
 
+PLANTED_SQL = f"""
+    named AS (SELECT page_id, url, coalesce(html, '') AS html, c_name, {u_sql(14, 'place', 'page_id')} AS u FROM pages LEFT JOIN customer ON c_custkey = page_id),
+    planted AS (SELECT page_id, CASE WHEN u >= 0.3 AND u < 0.4 AND c_name IS NOT NULL THEN url || '/' || c_name || 'x' ELSE url END AS url,
+      CASE WHEN u < 0.3 AND c_name IS NOT NULL THEN substr(html, 1, length(html) // 2) || 'ref' || c_name || 'z9' || substr(html, length(html) // 2 + 1) ELSE html END AS html FROM named)
+"""
+
+
+@query(
+    "j14_raw_values_in_bodies",
+    f"""
+    WITH {PLANTED_SQL}, fields AS (SELECT page_id, 'url' AS field, url AS body FROM planted UNION ALL SELECT page_id, 'html', html FROM planted),
+    ids AS (SELECT c_name AS v FROM customer UNION SELECT s_name FROM supplier)
+    SELECT page_id, field, count(*) AS raw_values, sum((length(body) - length(replace(body, v, ''))) // length(v))::BIGINT AS places
+    FROM fields, ids WHERE contains(body, v) GROUP BY 1, 2
+    """,
+)
+def raw_values_in_bodies(t):
+    """Names of customers and suppliers anywhere in url and html, also inside longer tokens; some are planted."""
+    names = t.customer.select("c_custkey", "c_name")
+    named = t.pages.join(names, F.col("c_custkey") == F.col("page_id"), "left").withColumn("u", uniform(14, "place", "page_id"))
+    half = F.expr("length(html) div 2")
+    within = F.concat(F.substring("html", F.lit(1), half), F.lit("ref"), "c_name", F.lit("z9"), F.substring("html", half + 1, F.length("html")))
+    some = F.col("c_name").isNotNull()
+    planted = named.withColumn("html", F.coalesce("html", F.lit(""))).select(
+        "page_id", F.when((F.col("u") >= 0.3) & (F.col("u") < 0.4) & some, F.concat("url", F.lit("/"), "c_name", F.lit("x"))).otherwise(F.col("url")).alias("url"),
+        F.when((F.col("u") < 0.3) & some, within).otherwise(F.col("html")).alias("html"),
+    )
+    fields = planted.unpivot(["page_id"], ["url", "html"], "field", "body")
+    ids = names.select(F.col("c_name").alias("v")).union(t.supplier.select("s_name"))
+    found = disclosure.raw_values(fields, ["page_id", "field"], "body", ids, "v")
+    return found.groupBy("page_id", "field").agg(F.count_distinct("value").alias("raw_values"), F.count(F.lit(1)).alias("places"))
+
+
 @query(
     "j15_later_source_wins",
     """

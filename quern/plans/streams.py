@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions.draws import count_where, rows, uniform
 from quern.operators import panel as N
 from quern.operators.compose import expected_runs
+from quern.operators.ordered import micros
 from quern.plans.joins import MONEY
 from quern.plans.panel_frame import PANEL_SQL, panel_of
 from quern.plans.profiling import DIRTY, dirty_customer
@@ -119,6 +120,16 @@ def finish(q):
     return q
 
 
+def steps(df, time: str, folder: str, parts: int):
+    """Write ``df`` to ``folder`` in ``parts`` steps of its microsecond column ``time``; yields after each."""
+    low, high = df.agg(F.min(time), F.max(time)).first()
+    step = (high - low) // parts + 1
+    for k in range(parts):
+        df.where(F.col(time).between(low + k * step, low + (k + 1) * step - 1)).write.parquet(f"{folder}/step={k:04d}")
+        yield k
+
+
+RUN = ["task", "variant", "profile", "run"]
 TRACKER_SQL = f"""
     WITH {PANEL_SQL} SELECT task, variant, profile, {', '.join(f"max(CASE WHEN run = {r} THEN coalesce(printf('%.5f', score), state) END) AS run{r}" for r in range(1, 6))},
       max(score) AS best, count(score) || '/5' AS scored_text FROM panel GROUP BY 1, 2, 3
@@ -128,8 +139,8 @@ TRACKER_SQL = f"""
 @query("st01_live_tracker", TRACKER_SQL)
 def st01(t):
     base = scratch(t)
-    finish(G.start_tracker(panel_of(G.event_stream(t.spark, t.directory)), f"{base}/sink", f"{base}/cp"))
-    panel = G.read_last_batch(t.spark, f"{base}/sink")
+    finish(G.start_tracker(panel_of(G.event_stream(t.spark, t.directory)), RUN, f"{base}/sink", f"{base}/cp"))
+    panel = G.read_upserted(t.spark, f"{base}/sink")
     cell = ["task", "variant", "profile"]
     shown = F.coalesce(F.when(F.col("score").isNotNull(), F.format_string("%.5f", F.col("score"))), F.col("state"))
     wide = N.wide_runs(panel, cell, shown)
@@ -141,10 +152,13 @@ def st01(t):
     f"WITH {PANEL_SQL} SELECT task, variant, profile, run, state, score FROM panel",
 )
 def s13(t):
-    """The tracker sink read as a table: always the newest whole snapshot."""
+    """The tracker's table after three runs of the job, each rewriting the runs that changed."""
     base = scratch(t)
-    finish(G.start_tracker(panel_of(G.event_stream(t.spark, t.directory)), f"{base}/sink", f"{base}/cp"))
-    return G.read_last_batch(t.spark, f"{base}/sink").select("task", "variant", "profile", "run", "state", "score")
+    timed = t.events.withColumn("us", micros("ts"))
+    for _ in steps(timed, "us", f"{base}/landing", 3):
+        stream = G.landing_stream(t.spark, t.events.schema, f"{base}/landing")
+        finish(G.start_tracker(panel_of(stream), RUN, f"{base}/sink", f"{base}/cp"))
+    return G.read_upserted(t.spark, f"{base}/sink").select("task", "variant", "profile", "run", "state", "score")
 
 
 @query("st02_run_status", "SELECT user_id, arg_max(event_type, event_id) AS step, max(value) AS best, count(*) AS events FROM events GROUP BY 1")
@@ -179,6 +193,31 @@ def st04(t):
     return seen.groupBy("event_type").agg(rows().alias("n"), count_where(delay >= 24).alias("late"), F.max(delay).alias("worst_hours"))
 
 
+REPORT_HOURS = 24
+
+
+@query(
+    "st04_report_stream",
+    f"""
+    WITH e AS (SELECT event_id, epoch_us(ts) AS us, epoch_us(ts) + floor({u_sql(147, 'delay', 'event_id')} * 129600)::BIGINT * 1000000 AS seen FROM events)
+    SELECT event_id, us AS event_us, CASE WHEN seen - us <= 86400000000 THEN seen END AS report_us FROM e
+    WHERE seen - us <= 86400000000 OR us + 86400000000 < (SELECT max(us) // 1000 * 1000 - 3600000000 FROM e)
+    """,
+)
+def st04_stream(t):
+    """Events and their reports (up to 36 hours later) land in four steps each; reports after a day are too late."""
+    base = scratch(t)
+    delay = F.floor(uniform(147, "delay", "event_id") * 129_600).cast("long") * L(1_000_000)
+    e = t.events.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "ts")
+    r = e.select("event_id", (F.col("us") + delay).alias("seen"))
+    for _ in zip(steps(e, "us", f"{base}/events", 4), steps(r, "seen", f"{base}/reports", 4)):
+        events = G.landing_stream(t.spark, e.schema, f"{base}/events").select("event_id", "event_time")
+        raw = t.spark.readStream.schema(r.schema).option("recursiveFileLookup", "true").parquet(f"{base}/reports")
+        reports = raw.select("event_id", F.timestamp_micros("seen").alias("report_time"))
+        finish(G.start_reports(events, reports, "event_id", f"{REPORT_HOURS} HOURS", "1 hour", f"{base}/sink", f"{base}/cp"))
+    return G.read_all_batches(t.spark, f"{base}/sink")
+
+
 @query("st05_tumbling_counts", "SELECT event_type, epoch_us(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')) AS start_us, count(*) AS n FROM events GROUP BY 1, 2")
 def st05_tumbling(t):
     w = F.window(F.col("ts").cast("timestamp"), "6 hours")
@@ -226,18 +265,6 @@ def st05_stream(t):
 ARRIVALS = 5
 
 
-def arrivals(t, folder: str, parts: int):
-    """Write the events to ``folder`` as they arrive, up to an hour late, in ``parts`` steps; yields after each."""
-    late = F.floor(uniform(146, "delay", "event_id") * 3_600_000).cast("long")
-    seen = t.events.withColumn("arrived", F.unix_millis(F.col("ts").cast("timestamp")) + late)
-    low, high = seen.agg(F.min("arrived"), F.max("arrived")).first()
-    step = (high - low) // parts + 1
-    for k in range(parts):
-        part = seen.where(F.col("arrived").between(low + k * step, low + (k + 1) * step - 1)).drop("arrived")
-        part.write.parquet(f"{folder}/arrived={k:04d}")
-        yield k
-
-
 @query(
     "st06_stalled_runs",
     """
@@ -250,7 +277,9 @@ def arrivals(t, folder: str, parts: int):
 def st06(t):
     """Five runs of one job over events as they arrive, up to an hour out of order."""
     base = scratch(t)
-    for _ in arrivals(t, f"{base}/landing", ARRIVALS):
+    late = F.floor(uniform(146, "delay", "event_id") * 3_600_000_000).cast("long")
+    arrived = t.events.withColumn("arrived", micros("ts") + late)
+    for _ in steps(arrived, "arrived", f"{base}/landing", ARRIVALS):
         stream = G.landing_stream(t.spark, t.events.schema, f"{base}/landing")
         finish(G.start_stalled(stream, "user_id", 360, "1 hour", f"{base}/sink", f"{base}/cp"))
     return G.read_all_batches(t.spark, f"{base}/sink")

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from quern.session import materialise
+
 
 def event_stream(spark: SparkSession, directory: str, name: str = "events") -> DataFrame:
     """Parquet event files as a stream, with a time-zone aware event time."""
@@ -44,12 +47,6 @@ def _start(df: DataFrame, mode: str, sink: str, checkpoint: str) -> StreamingQue
     )
 
 
-def read_last_batch(spark: SparkSession, sink: str) -> DataFrame:
-    """Snapshot sinks: the newest batch is the whole table."""
-    out = spark.read.parquet(f"{sink}/*")
-    return out.where(F.col("batch") == out.agg(F.max("batch")).scalar()).drop("batch")
-
-
 def read_latest_rows(spark: SparkSession, sink: str, keys: list[str]) -> DataFrame:
     """Update sinks: the newest row per key."""
     out = spark.read.parquet(f"{sink}/*")
@@ -62,9 +59,40 @@ def read_all_batches(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(f"{sink}/*").drop("batch")
 
 
-def start_tracker(panel: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Live tracker rewritten whole after every micro-batch (state: one row per run)."""
-    return _start(panel, "complete", sink, checkpoint)
+def upsert_folder(sink: str, keys: list[str], buckets: int) -> Callable[[DataFrame, int], None]:
+    """Changed rows replace those of equal keys. Only the key buckets they fall into are rewritten, each
+    whole, so files stay few; writing a batch again gives the same table."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        changed = materialise(df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+        hit = [r.bucket for r in changed.select("bucket").distinct().collect()]  # at most ``buckets``
+        if not hit:
+            return
+        try:
+            held = spark.read.schema(changed.schema).parquet(sink).where(F.col("bucket").isin(hit))
+        except AnalysisException:  # nothing written yet
+            merged = changed
+        else:
+            new = changed.select(*[F.col(k).alias(f"_{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+            merged = materialise(held.join(new, same, "left_anti").unionByName(changed))
+        out = merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("bucket").parquet(sink)
+
+    return write
+
+
+def read_upserted(spark: SparkSession, sink: str) -> DataFrame:
+    return spark.read.parquet(sink).drop("bucket")
+
+
+def start_tracker(panel: DataFrame, keys: list[str], sink: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Live tracker: one row per run, of which a micro-batch writes only those that changed."""
+    return (
+        panel.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        .foreachBatch(upsert_folder(sink, keys, buckets)).trigger(availableNow=True).start()
+    )
 
 
 def run_status(events: DataFrame, run: str = "user_id") -> DataFrame:
@@ -110,3 +138,17 @@ def start_stalled(events: DataFrame, run: str, gap_minutes: int, lateness: str,
         .select("run", "events", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
     )
     return _start(out, "append", sink, checkpoint)
+
+
+def start_reports(events: DataFrame, reports: DataFrame, key: str, within: str, lateness: str, sink: str, checkpoint: str) -> StreamingQuery:
+    """Each event with its report, if one comes ``within`` a time of the event; without one once that is over.
+
+    Both streams carry a watermark, so the state holds events only while a report may still come. A report
+    after its time meets no event any more: the event has already come out as unreported.
+    """
+    e = events.withWatermark("event_time", lateness)
+    r = reports.withWatermark("report_time", lateness).select(F.col(key).alias("_key"), "report_time")
+    soon = F.col("report_time").between(F.col("event_time"), F.col("event_time") + F.expr(f"INTERVAL {within}"))
+    out = e.join(r, (F.col(key) == F.col("_key")) & soon, "left_outer")
+    rest = [c for c in events.columns if c not in ("event_time", "ts")]
+    return _start(out.select(*rest, F.unix_micros("event_time").alias("event_us"), F.unix_micros("report_time").alias("report_us")), "append", sink, checkpoint)
