@@ -39,7 +39,8 @@ from quern.session import materialise
 SPAN = 50
 SEED = 16
 GROUP = 64
-_TREE_WORDS = 1 << 20
+_TREE_WORDS = 1 << 19
+_PART_BYTES = 4 << 20
 
 
 def minimisers(gram: np.ndarray, width: int) -> np.ndarray:
@@ -69,7 +70,7 @@ def anchor_runs(words: np.ndarray, span: int, seed: int) -> tuple[np.ndarray, np
 
 
 def _anchors(span: int, seed: int):
-    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("runs", pa.int64())])
+    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("runs", pa.int64())])
 
     def run(batch: pa.RecordBatch) -> dict:
         found, runs, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
@@ -79,7 +80,8 @@ def _anchors(span: int, seed: int):
             runs.append(n)
             counts.append(len(hashes))
         rows = pa.array(np.repeat(np.arange(len(counts)), counts))
-        return {"anchor": np.concatenate(found).view(np.int64), "id": batch.column("id").take(rows), "runs": np.concatenate(runs)}
+        own = {c: batch.column(c).take(rows) for c in ("id", "mark")}
+        return {"anchor": np.concatenate(found).view(np.int64), **own, "runs": np.concatenate(runs)}
 
     return by_batch(run, schema)
 
@@ -88,41 +90,60 @@ _PIECES = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("key", pa.int64(
 
 
 def _pieces(span: int, seed: int):
-    """Rows by prefix: a piece of text per short prefix, a window per full one (without text)."""
+    """Rows by prefix: a piece of text per short prefix, a window per full one (without text).
 
-    def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {f.name: [] for f in _PIECES}
-        texts = raw_texts(batch.column("text"))
-        for raw, doc, mark, short, full in zip(texts, batch.column("id").to_pylist(), batch.column("mark").to_pylist(), batch.column("short"), batch.column("full")):
+    Rows leave in parts of about `_PART_BYTES`, however long a text or a batch is.
+    """
+
+    def part(docs: list, marks: list, key, key2, start, n, piece: list) -> pa.RecordBatch:
+        arrays = [pa.array(docs, pa.int64()), pa.array(marks, pa.int64()), pa.array(key), pa.array(key2), pa.array(start), pa.array(n, pa.int32()), pa.array(piece, pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, schema=_PIECES)
+
+    def short_pieces(raw: bytes, doc, mark, keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
+        opens, shuts = word_bounds(np.frombuffer(raw, np.uint8))
+        low, high = opens[first], shuts[last + span - 1]
+        cuts = np.flatnonzero(np.diff(np.cumsum(high - low) // _PART_BYTES, prepend=0)).tolist()
+        for i, j in zip([0, *cuts], [*cuts, len(keys)]):
+            if i < j:
+                text = [raw[x:y].decode() for x, y in zip(low[i:j].tolist(), high[i:j].tolist())]
+                yield part([doc] * (j - i), [mark] * (j - i), keys[i:j], np.zeros(j - i, np.int64), first[i:j], last[i:j] - first[i:j] + 1, text)
+
+    def full_windows(words: np.ndarray, doc, mark, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(len(words) + 1, np.int64)
+        np.add.at(flags, first, 1)
+        np.add.at(flags, last + 1, -1)
+        starts = np.flatnonzero(np.cumsum(flags[:-1]))
+        whole, other = grams(words, span)[starts].view(np.int64), grams(mix(words), span)[starts].view(np.int64)
+        for i in range(0, len(starts), _PART_BYTES // 64):
+            at = slice(i, i + _PART_BYTES // 64)
+            m = len(starts[at])
+            yield part([doc] * m, [mark] * m, whole[at], other[at], starts[at], np.ones(m, np.int32), [None] * m)
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        columns = (batch.column(c) for c in ("id", "mark", "short", "full"))
+        for raw, doc, mark, short, full in zip(raw_texts(batch.column("text")), *columns):
             words = word_hashes(raw)
             anchors, first, last = anchor_runs(words, span, seed)
-            opens, shuts = word_bounds(np.frombuffer(raw, np.uint8))
-            near = np.isin(anchors.view(np.int64), short.values.to_numpy())
-            for a, i, j in zip(anchors[near].view(np.int64).tolist(), first[near].tolist(), last[near].tolist()):
-                out["id"].append(doc)
-                out["mark"].append(mark)
-                out["key"].append(a)
-                out["key2"].append(0)
-                out["start"].append(i)
-                out["n"].append(j - i + 1)
-                out["piece"].append(raw[opens[i] : shuts[j + span - 1]].decode())
-            far = np.isin(anchors.view(np.int64), full.values.to_numpy())
+            anchors = anchors.view(np.int64)
+            near, far = np.isin(anchors, short.values.to_numpy()), np.isin(anchors, full.values.to_numpy())
+            if near.any():
+                yield from short_pieces(raw, doc.as_py(), mark.as_py(), anchors[near], first[near], last[near])
             if far.any():
-                flags = np.zeros(len(words) + 1, np.int64)
-                np.add.at(flags, first[far], 1)
-                np.add.at(flags, last[far] + 1, -1)
-                starts = np.flatnonzero(np.cumsum(flags[:-1]))
-                whole, other = grams(words, span)[starts], grams(mix(words), span)[starts]
-                out["id"].extend([doc] * len(starts))
-                out["mark"].extend([mark] * len(starts))
-                out["key"].extend(whole.view(np.int64).tolist())
-                out["key2"].extend(other.view(np.int64).tolist())
-                out["start"].extend(starts.tolist())
-                out["n"].extend([1] * len(starts))
-                out["piece"].extend([None] * len(starts))
-        return out
-
-    return by_batch(run, _PIECES)
+                yield from full_windows(words, doc.as_py(), mark.as_py(), first[far], last[far])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for rows in parts(batch):
+                held.append(rows)
+                size += rows.nbytes
+                if size >= _PART_BYTES:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return run
 
 
 def prefix_classes(values: np.ndarray, room: np.ndarray, span: int) -> np.ndarray:
@@ -198,14 +219,14 @@ def _trees(span: int):
 
 def pieces_by_prefix(docs: DataFrame, span: int = SPAN, seed: int = SEED, group: int = GROUP) -> DataFrame:
     """Rows of :data:`_PIECES`: at most ``group`` pieces of text a key, windows without text where there are more."""
-    anchors = materialise(docs.mapInArrow(_anchors(span, seed), "anchor long, id long, runs long"))
+    anchors = materialise(docs.mapInArrow(_anchors(span, seed), "anchor long, id long, mark long, runs long"))
     shared = anchors.groupBy("anchor").agg(F.sum("runs").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
     shared = shared.where("low < high").select("anchor", "n")
-    wanted = anchors.join(shared, "anchor").groupBy("id").agg(
+    wanted = anchors.join(shared, "anchor").groupBy("id", "mark").agg(
         F.collect_set(F.when(F.col("n") <= group, F.col("anchor"))).alias("short"),
         F.collect_set(F.when(F.col("n") > group, F.col("anchor"))).alias("full"))
     kinds = "id long, mark long, key long, key2 long, start long, n int, piece string"
-    return docs.join(wanted, "id").select("id", "mark", "text", "short", "full").mapInArrow(_pieces(span, seed), kinds)
+    return docs.join(wanted, ["id", "mark"]).select("id", "mark", "text", "short", "full").mapInArrow(_pieces(span, seed), kinds)
 
 
 def repeated_windows(docs: DataFrame, span: int = SPAN, seed: int = SEED, group: int = GROUP) -> DataFrame:

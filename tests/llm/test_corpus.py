@@ -118,6 +118,20 @@ def test_repetitive_texts(spark):
     assert sorted((r.id, r.n_words, r.n_removed, sha(r.kept)) for r in out.collect()) == removed(rows, 50)
 
 
+def test_parts_of_pieces_do_not_show(spark, monkeypatch):
+    """Rows leave in many small parts, and null ids do not share one set of anchors."""
+    monkeypatch.setattr(substring_dedup, "_PART_BYTES", 600)
+    rows = [(10**9 if i is None else i, t) for i, t in ODD] + [(k, " ".join(passage(k, 30) + passage(1) * 3 + ["0"] * 300)) for k in range(20, 26)]
+    docs = identified(table(spark, rows + [(None, " ".join(passage(60 + k))) for k in range(30)]))
+    wanted = substring_dedup.pieces_by_prefix(docs.where("id < 1000000000"))
+    assert wanted.count() > 100
+    starts = substring_dedup.repeated_windows(docs)
+    out = docs.join(starts, ["id", "mark"], "left").select("id", "mark", "text", "starts").mapInArrow(
+        substring_dedup._cut(50), "id long, mark long, n_words long, n_removed long, kept string")
+    got = sorted((r.id, r.n_words, r.n_removed, sha(r.kept)) for r in out.where(f"id < {2**62}").collect())
+    assert got == removed(rows, 50)
+
+
 def test_prefix_classes():
     r = np.random.default_rng(1)
     values = r.integers(0, 3, 400).astype(np.uint64)
