@@ -49,6 +49,7 @@ _OFTEN = 3
 _COUNTED = 1 << 22
 _BLOCK = 256
 _PASSES = 1
+_SENT_IDS = 1 << 18
 _PIVOT = {"id": "", "n": "_n", "place": "_place", "part": "_part"}
 
 
@@ -188,13 +189,21 @@ def _probe(size: int, percent: int):
     return run
 
 
+def _wanted(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts whose ids stand in ``rows``: ids are sent to them where they are few enough, else both are shuffled."""
+    ids = rows.select("id").distinct()
+    return texts.join(F.broadcast(ids) if ids.count() <= _SENT_IDS else ids, "id", "left_semi")
+
+
 def probed(pairs: DataFrame, texts: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The pairs ``(hub, id)`` whose texts link, as ``(a, b)``. A hub with many partners is salted."""
+    pairs = materialise(pairs)
     counts = pairs.groupBy("hub").agg(F.count("*").alias("n"))
     counts = counts.select("hub", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks"))
     salted = pairs.join(counts, "hub").select("hub", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("salt"), "id", F.lit(1).alias("turn"))
     hubs = counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.col("hub").alias("id"), F.lit(0).alias("turn"))
-    rows = salted.union(hubs).join(texts, "id").select("hub", "salt", "turn", "id", "text")
+    rows = salted.union(hubs)
+    rows = rows.join(_wanted(texts, rows), "id").select("hub", "salt", "turn", "id", "text")
     blocks = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "turn")
     return blocks.mapInArrow(_probe(size, percent), "a long, b long")
 
@@ -214,8 +223,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     postings = listed.select(F.posexplode("lists").alias("place", "shingle"), "id", "n").repartition("shingle").sortWithinPartitions("shingle", "id")
     lists = materialise(postings.mapInArrow(_merged_lists, "shingle long, id long, n long, place int, hub long, hub_n long"))
 
-    texts = docs.join(lists.select("id").distinct(), "id", "left_semi").select("id", "text")
-    texts = materialise(texts)
+    texts = materialise(_wanted(docs.select("id", "text"), lists))
     near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     links = probed(lists.where((F.col("id") != F.col("hub")) & near).select("hub", "id").distinct(), texts, size, percent)
     links = materialise(links)

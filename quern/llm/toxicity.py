@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import raw_texts
+from quern.llm.hashing import found_in, word_hashes
 
 SAMPLE = 4000
 WINDOW = 16
@@ -44,6 +45,7 @@ MIN_DOCS = 5
 MIN_Z = 5.0
 MIN_RATIO = 20.0
 FEATURES = 6
+_MERGED = 1 << 19
 
 
 def parameters() -> zstandard.ZstdCompressionParameters:
@@ -59,25 +61,85 @@ def _runs(word: bytes) -> set[bytes]:
     return {padded[i : i + RUN] for i in range(len(padded) - RUN + 1)}
 
 
-def _class_runs(texts: list[set[bytes]]) -> Counter:
-    counts: Counter = Counter()
-    for words in texts:
-        counts.update(set().union(*map(_runs, words)) if words else ())
-    return counts
-
-
-def _telling(own: Counter, other: Counter, n_own: int, n_other: int) -> dict[bytes, int]:
+_PLACES = np.uint64(256) ** np.arange(RUN - 1, -1, -1, dtype=np.uint64)
+
+
+def _runs_in(padded: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of `RUN` bytes without a space inside, as numbers, and where they start."""
+    data = np.frombuffer(padded, np.uint8)
+    if len(data) < RUN:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    views = np.lib.stride_tricks.sliding_window_view(data, RUN)
+    at = np.flatnonzero(~(views[:, 1:-1] == 32).any(axis=1))
+    return views[at].astype(np.uint64) @ _PLACES, at
+
+
+class _Counts:
+    """Number of documents by number: sorted arrays, merged now and then, a few bytes a value."""
+
+    def __init__(self) -> None:
+        self.held, self.size = [], 0
+        self.values, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray) -> None:
+        self.held.append(np.unique(values))
+        self.size += len(self.held[-1])
+        if self.size >= _MERGED:
+            self.merge()
+
+    def merge(self) -> None:
+        values = np.concatenate([self.values, *self.held])
+        counts = np.concatenate([self.counts, *(np.ones(len(h), np.int64) for h in self.held)])
+        self.values, at = np.unique(values, return_inverse=True)
+        self.counts = np.bincount(at, counts, len(self.values)).astype(np.int64)
+        self.held, self.size = [], 0
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        if not len(self.values):
+            return np.zeros(len(values), np.int64)
+        at = np.minimum(np.searchsorted(self.values, values), len(self.values) - 1)
+        return np.where(self.values[at] == values, self.counts[at], 0)
+
+
+class _Class:
+    """The documents of one label: how many hold each run and each word."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.texts, self.n = texts, len(texts)
+        self.runs, self.words = _Counts(), _Counts()
+        for text in texts:
+            padded = b" " + b" ".join(text.split()) + b" "
+            self.runs.add(_runs_in(padded)[0])
+            self.words.add(word_hashes(padded))
+        self.runs.merge()
+        self.words.merge()
+
+    def vocabulary(self, runs: np.ndarray, most: int) -> Counter:
+        """Words, by documents, that hold one of ``runs`` or are among the ``most`` frequent (with all ties of the last)."""
+        counts = np.sort(self.words.counts)[::-1]
+        frequent = self.words.values[self.words.counts >= counts[min(most, len(counts)) - 1]] if len(counts) else self.words.values
+        found: Counter = Counter()
+        for text in self.texts:
+            words = text.split()
+            padded = b" " + b" ".join(words) + b" "
+            wanted = found_in(word_hashes(padded), frequent)
+            numbers, at = _runs_in(padded)
+            opens = np.cumsum([1, *(len(w) + 1 for w in words)])[:-1]
+            # a run starts at the space before its word or inside it
+            wanted[np.searchsorted(opens, at[found_in(numbers, runs)] + 1, side="right") - 1] = True
+            found.update({words[i] for i in np.flatnonzero(wanted).tolist()})
+        return found
+
+
+def _telling(own: _Class, other: _Class) -> dict[bytes, int]:
     """Runs held by clearly more documents of this class."""
-    out = {}
-    for run, a in own.items():
-        if a < MIN_DOCS:
-            continue
-        b = other[run]
-        share = (a + b) / (n_own + n_other)
-        z = (a / n_own - b / n_other) / math.sqrt(share * (1 - share) * (1 / n_own + 1 / n_other) + 1e-12)
-        if z > MIN_Z and (a / n_own) / ((b + 0.5) / n_other) > MIN_RATIO:
-            out[run] = a
-    return out
+    often = own.runs.counts >= MIN_DOCS
+    runs, a = own.runs.values[often], own.runs.counts[often]
+    b = other.runs.of(runs)
+    share = (a + b) / (own.n + other.n)
+    z = (a / own.n - b / other.n) / np.sqrt(share * (1 - share) * (1 / own.n + 1 / other.n) + 1e-12)
+    clear = (z > MIN_Z) & ((a / own.n) / ((b + 0.5) / other.n) > MIN_RATIO)
+    return {int(run).to_bytes(RUN, "big"): int(n) for run, n in zip(runs[clear], a[clear])}
 
 
 def _cover(weights: dict[bytes, int], words: Counter, budget: int) -> bytes:
@@ -153,12 +215,13 @@ def train(texts: list[bytes], labels: list[int], window: int = WINDOW) -> Model:
     half: list[list[tuple[bytes, int]]] = [[], []]
     for at, row in enumerate(sorted(set(zip(texts, labels)))):
         half[at % 3 == 2].append(row)
-    sets = {y: [set(t.split()) for t, label in half[0] if label == y] for y in (0, 1)}
-    if not sets[0] or not sets[1] or {y for _, y in half[1]} != {0, 1}:
+    classes = {y: _Class([t for t, label in half[0] if label == y]) for y in (0, 1)}
+    if not classes[0].n or not classes[1].n or {y for _, y in half[1]} != {0, 1}:
         return empty
-    runs = {y: _class_runs(sets[y]) for y in (0, 1)}
-    words = {y: Counter(w for s in sets[y] for w in s) for y in (0, 1)}
-    tails = {y: _cover(_telling(runs[y], runs[1 - y], len(sets[y]), len(sets[1 - y])), words[y], CLASS_BYTES) for y in (0, 1)}
+    telling = {y: _telling(classes[y], classes[1 - y]) for y in (0, 1)}
+    numbers = {y: np.sort(np.array([int.from_bytes(r, "big") for r in telling[y]], np.uint64)) for y in (0, 1)}
+    words = {y: classes[y].vocabulary(numbers[y], BASE_BYTES // 4) for y in (0, 1)}
+    tails = {y: _cover(telling[y], words[y], CLASS_BYTES) for y in (0, 1)}
     shared = b" ".join([w for w, _ in sorted(words[0].items(), key=lambda x: (-x[1], x[0]))[: BASE_BYTES // 4]][::-1])[-BASE_BYTES:] + b" "
     length = max(map(len, tails.values()))
     if not length:
@@ -198,8 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, window: int =
     known = known.where("toxic = most").where(~held_out())
     draws = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "toxic") for y in (0, 1)]
     chosen = draws[0].union(draws[1])  # at most two samples of ids: small enough to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").toPandas()
-    return train([t.encode() for t in rows["text"]], [int(y) for y in rows["toxic"]], window)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").toArrow()
+    return train(list(raw_texts(rows.column("text"))), rows.column("toxic").to_pylist(), window)
 
 
 def scorer(model: Model):
