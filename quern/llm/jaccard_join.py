@@ -195,6 +195,25 @@ def _wanted(texts: DataFrame, rows: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if ids.count() <= _SENT_IDS else ids, "id", "left_semi")
 
 
+def sharing(pairs: DataFrame, listed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``(hub, id)`` that share enough of their short lists to reach T.
+
+    Occurrences are counted exactly, one side's lists against the other's: of their n - allowed + 1
+    short lists, two sets that link share at least ``T - (larger of the two allowed) + 1``.
+    """
+    pairs = materialise(pairs)
+    both = pairs.select(F.explode(F.array("hub", "id")).alias("id"))
+    own = _wanted(listed, both)
+    hubs = own.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("lists").alias("hub_lists"))
+    met = pairs.join(hubs, "hub").join(own, "id").where(F.size(F.array_intersect("lists", "hub_lists")) >= _least(percent, F.col("n"), F.col("hub_n")))
+    return met.select("hub", "id").distinct()
+
+
+def _least(percent: int, n: Column, m: Column) -> Column:
+    """Short lists that sets of n and m share at least where they link."""
+    return F.ceil(percent * (n + m) / F.lit(100 + percent)) - F.greatest(F.ceil(percent * n / 100), F.ceil(percent * m / 100)) + 1
+
+
 def probed(pairs: DataFrame, texts: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The pairs ``(hub, id)`` whose texts link, as ``(a, b)``. A hub with many partners is salted."""
     pairs = materialise(pairs)
@@ -219,28 +238,31 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     copies = sets.join(groups, ["n", "c1", "c2"]).where("id > first")
     copies = materialise(copies.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
 
-    listed = classes.select(F.col("first").alias("id"), "n", "lists")
+    listed = materialise(classes.select(F.col("first").alias("id"), "n", "lists"))
     postings = listed.select(F.posexplode("lists").alias("place", "shingle"), "id", "n").repartition("shingle").sortWithinPartitions("shingle", "id")
     lists = materialise(postings.mapInArrow(_merged_lists, "shingle long, id long, n long, place int, hub long, hub_n long"))
 
-    texts = materialise(_wanted(docs.select("id", "text"), lists))
+    texts = docs.where(F.col("id") != NO_ID).select("id", "text")
+
+    def settled(pairs: DataFrame) -> DataFrame:
+        return materialise(probed(sharing(pairs, listed, percent), texts, size, percent))
+
     near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    links = probed(lists.where((F.col("id") != F.col("hub")) & near).select("hub", "id").distinct(), texts, size, percent)
-    links = materialise(links)
+    links = settled(lists.where((F.col("id") != F.col("hub")) & near).select("hub", "id").distinct())
     parts = components(links)
 
     apart = _with_parts(lists.where(F.col("id") != F.col("hub")).select("shingle", "id", "n", "place"), parts)
     for _ in range(_PASSES):
         apart = materialise(_with_pivots(apart))
         reached = apart.where(_can_reach(percent, "pivot")).select(F.col("pivot").alias("hub"), "id").distinct()
-        more = materialise(probed(reached, texts, size, percent))
+        more = settled(reached)
         apart = apart.where(F.col("id") != F.col("pivot")).select("shingle", "id", "n", "place", "part")
         if more.isEmpty():
             break
         links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
         parts = components(links)
         apart = _with_parts(apart.drop("part"), parts)
-    more = materialise(probed(_reaching_pairs(materialise(_mixed(apart)), percent), texts, size, percent))
+    more = settled(_reaching_pairs(materialise(_mixed(apart)), percent))
 
     found = components(links.union(more).union(copies))
     return _with_components(own, found)
@@ -278,7 +300,7 @@ def _can_reach(percent: int, other: str) -> Column:
     """
     n, m = F.col("n"), F.col(f"{other}_n")
     own, its = F.ceil(percent * n / 100), F.ceil(percent * m / 100)
-    least = F.ceil(percent * (n + m) / F.lit(100 + percent)) - F.greatest(own, its) + 1
+    least = _least(percent, n, m)
     far = (F.col("place") <= n - own + 1 - least) & (F.col(f"{other}_place") <= m - its + 1 - least)
     return (F.col(f"{other}_part") != F.col("part")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & far
 
