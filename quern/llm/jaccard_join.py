@@ -198,14 +198,18 @@ def _wanted(texts: DataFrame, rows: DataFrame) -> DataFrame:
 def sharing(pairs: DataFrame, listed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs ``(hub, id)`` that share enough of their short lists to reach T.
 
-    Occurrences are counted exactly, one side's lists against the other's: of their n - allowed + 1
-    short lists, two sets that link share at least ``T - (larger of the two allowed) + 1``.
+    Occurrences are counted, one side's lists against the other's: of their n - allowed + 1
+    short lists, two sets that link share at least ``T - (larger of the two allowed) + 1``. Lists travel as
+    the upper half of their hash; how many of a set's own fall together is added to the
+    count, so no pair is lost.
     """
     pairs = materialise(pairs)
     both = pairs.select(F.explode(F.array("hub", "id")).alias("id"))
-    own = _wanted(listed, both)
-    hubs = own.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("lists").alias("hub_lists"))
-    met = pairs.join(hubs, "hub").join(own, "id").where(F.size(F.array_intersect("lists", "hub_lists")) >= _least(percent, F.col("n"), F.col("hub_n")))
+    halves = F.transform("lists", lambda x: F.shiftright(x, 32).cast("int"))
+    own = _wanted(listed, both).select("id", "n", F.size("lists").alias("size"), F.array_distinct(halves).alias("halves"))
+    hubs = own.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("halves").alias("hub_halves"))
+    common = F.size(F.array_intersect("halves", "hub_halves")) + F.col("size") - F.size("halves")
+    met = pairs.join(hubs, "hub").join(own, "id").where(common >= _least(percent, F.col("n"), F.col("hub_n")))
     return met.select("hub", "id").distinct()
 
 

@@ -158,6 +158,16 @@ def jaccard_parts(rows):
     return sorted((i, len(s), part[i]) for i in sets for s in sets[i])
 
 
+def test_sharing_loses_no_pair(spark):
+    """Sets that link pass, also where halves of their hashes fall together; sets that share little do not."""
+    near = lambda k: [(k << 32) + 7, (k << 32) + 8]  # two lists with one upper half
+    lists = {1: near(1) + [2 << 32, 3 << 32], 2: near(1) + [2 << 32, 5 << 32], 3: [6 << 32, 7 << 32, 8 << 32, 9 << 32]}
+    listed = spark.createDataFrame([(i, 15, v) for i, v in lists.items()], "id long, n long, lists array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "hub long, id long")
+    # n = 15: T = 14, allowed = 12, so 3 of 4 short lists; two of the three shared fall together
+    assert [tuple(r) for r in jaccard_join.sharing(pairs, listed).collect()] == [(1, 2)]
+
+
 def test_jaccard(spark):
     base, rows, r = passage(9, 120), list(ODD), random.Random(4)
     for k in range(40):  # a chain of drifting copies, and copies of the base
