@@ -46,7 +46,7 @@ SIZE = 5
 PERCENT = 80
 LONG_LISTS = 200_000
 _OFTEN = 3
-_COUNTED = 1 << 22
+_COUNTED = 1 << 21
 _BLOCK = 256
 _PASSES = 1
 _SENT_IDS = 1 << 18

@@ -45,7 +45,7 @@ CHUNK = 8192
 UNREACHED = -(1 << 62)
 FOREIGN = -1_000_000
 NEVER = UNREACHED - (1 << 61)
-_CACHE = 400_000
+_CACHE = 150_000
 _WIDE = 32
 _BLOCK = 8192
 
