@@ -40,6 +40,12 @@ BLOCK = 1024
 ROUNDS = 8
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one. A power of two takes out their magnitude first, so no norm over- or underflows."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
     """Unit centres; ``x`` holds unit rows."""
     rng = np.random.default_rng(seed)
@@ -62,8 +68,7 @@ def fit_centres(vectors: DataFrame, sample: int = SAMPLE, per_cell: int = PER_CE
         by_size.setdefault(len(v), []).append(np.asarray(v, float))
     out = {}
     for size, rows in by_size.items():
-        x = np.array(rows)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(np.array(rows))
         out[size] = spherical_kmeans(x, max(1, len(x) // per_cell))
     return out
 
@@ -77,7 +82,7 @@ def _cells(centres: dict[int, np.ndarray], threshold: float):
         c = centres.get(len(x))
         if c is None or len(c) <= 1:
             return 0, [0]
-        like = c @ (x / np.linalg.norm(x))
+        like = c @ _unit(x)
         home = int(like.argmax())
         near = np.flatnonzero(like[home] - like[:home] <= (reach + 1e-6) * apart[len(x)][home, :home] + 1e-6)
         return home, [*near.tolist(), home]
@@ -107,8 +112,7 @@ def _products(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         ids, weight = table.column("id").to_numpy(), table.column("weight").to_numpy()
-        x = np.stack(table.column("v").combine_chunks().values.to_numpy().reshape(len(ids), -1)).astype(float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(table.column("v").combine_chunks().values.to_numpy().reshape(len(ids), -1).astype(float))
         left = np.flatnonzero(side <= 1)  # side 0: both, 1: left, 2: right
         right = np.flatnonzero(side != 1)
         linked = x[left] @ x[right].T >= threshold
