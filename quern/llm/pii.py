@@ -159,6 +159,14 @@ def base_rows(rows: DataFrame) -> DataFrame:
     return found.select("id", "mark", "spans", "outside", near.alias("near"))
 
 
+def _documents_per_term(base: DataFrame) -> DataFrame:
+    """``(term, n_t)``: distinct ids whose texts hold the term. Only ids with several rows travel with their terms."""
+    many = materialise(base.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id", F.col("id").alias("shared")))
+    words = base.join(many, "id", "left").select("shared", F.explode(_words(F.col("outside"))).alias("term"))
+    counts = words.groupBy("term", "shared").agg(F.count("*").alias("n"))
+    return counts.groupBy("term").agg(F.sum(F.when(F.col("shared").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
+
+
 def disclosing_terms(rows: DataFrame, base: DataFrame) -> DataFrame:
     """``(entity, term, disclosure)`` of pairs at or over the threshold."""
     texts = rows.where(F.col("text").isNotNull())
@@ -167,7 +175,7 @@ def disclosing_terms(rows: DataFrame, base: DataFrame) -> DataFrame:
     entities = base.select("id", F.explode(entity).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     uses = base.select("id", F.explode("near").alias("u")).select("id", "u.entity", "u.term").distinct()
     together = uses.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
-    terms = base.select(F.explode(_words(F.col("outside"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = _documents_per_term(base)
     wanted = together.join(entities, "entity").join(terms, "term")
     joint = F.col("n_et") * total / (F.col("n_e") * F.greatest("n_t", "n_et"))
     rare = total / F.col("n_e")
