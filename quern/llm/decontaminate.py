@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.llm.common import by_batch, raw_texts
 from quern.llm.hashing import SPACE, found_in, grams, word_hashes
@@ -169,9 +170,9 @@ def _blocks(benchmark: DataFrame, min_match: int, block_bytes: int) -> Iterator[
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, item_id, n_tiles, n_matched, coverage)`` of every contaminated pair."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kinds = [rows.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
-    arrow = [_ARROW[k] for k in kinds]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_tiles long, n_matched long, coverage double"
+    kinds = [rows.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType]
+    arrow = [to_arrow_type(k) for k in kinds]
+    schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, n_tiles long, n_matched long, coverage double"
     found = None
     for block in _blocks(benchmark, min_match, block_bytes):
         pairs = rows.mapInArrow(_meet(block, *arrow, min_match, coverage), schema)
@@ -192,6 +193,3 @@ def _touched(block: Block, min_match: int, coverage: float):
         return pa.array([next(_covered(block, tokens(raw), min_match, coverage), None) is not None for raw in raw_texts(texts)], pa.bool_())
 
     return F.arrow_udf(run, "boolean")
-
-
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
