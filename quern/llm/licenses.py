@@ -75,7 +75,7 @@ RULES = [
 ]
 
 # Every known sentence holds one of these words.
-HINT = r"[Ll][Ii][Cc][Ee][Nn][Ss]|[Cc]opyright|[Cc]opies|[Cc]onditions|[Ww]arrant|[Rr]edistribut|[Rr]ights|[Pp]ublic"
+HINT = r"(?i)licens|copyright|copies|conditions|warrant|redistribut|rights|public"
 # A line that goes on in lower case belongs to the sentence before it.
 WRAP = r"([a-z,])\n([a-z])"
 CUT = r"[.!?;:]\s+|[\r\n]+"
