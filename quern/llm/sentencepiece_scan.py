@@ -32,14 +32,13 @@ import re
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_batch, identified, public_id, raw_texts
+from quern.llm.common import by_batch, identified, per_worker, public_id, raw_texts
 
 CHUNK = 8192
 UNREACHED = -(1 << 62)
@@ -266,15 +265,13 @@ class Encoder:
         return _gathered(starts[which], starts[which + 1], flat, counts)
 
 
-@lru_cache(maxsize=1)
 def vocabulary_of(path: str) -> Vocabulary:
     """One per Python worker, for all its tasks."""
-    return Vocabulary(path)
+    return per_worker(f"sentencepiece vocabulary {path}", lambda: Vocabulary(path))
 
 
-@lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
-    return Encoder(vocabulary_of(path))
+    return per_worker(f"sentencepiece encoder {path}", lambda: Encoder(vocabulary_of(path)))
 
 
 def _gathered(starts, ends, flat, counts) -> tuple[np.ndarray, np.ndarray]:
