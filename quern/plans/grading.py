@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions.draws import count_where, rows, uniform
-from quern.operators import metrics as M, submission as S
+from quern.operators import constraints as K, metrics as M, submission as S
 from quern.operators.compose import merge_sources
+from quern.operators.ordered import micros
 from quern.operators.ranks import exact_median, running_totals
 from quern.operators.splits import exact_split
 from quern.plans.joins import SLATE_SQL, slates
@@ -265,6 +266,84 @@ def quantile_order(t):
     )
 
 
+@query(
+    "g13_monotone",
+    f"""
+    WITH v AS (SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN u < 0.02 THEN NULL ELSE day - CASE WHEN u < 0.07 THEN 400 ELSE 0 END END AS claimed
+      FROM (SELECT o_custkey, o_orderkey, o_orderdate, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS day, {u_sql(43, 'fall', 'o_orderkey')} AS u FROM orders)),
+    s AS (SELECT o_custkey, lag(claimed) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - claimed AS down FROM v WHERE claimed IS NOT NULL),
+    f AS (SELECT o_custkey, count(*) FILTER (down > 0) AS n_falls, max(down) FILTER (down > 0) AS worst FROM s GROUP BY 1)
+    SELECT o_custkey, count(*) AS n, count(*) FILTER (claimed IS NULL) AS n_missing, coalesce(any_value(n_falls), 0) AS n_falls, any_value(worst) AS worst
+    FROM v LEFT JOIN f USING (o_custkey) GROUP BY 1
+    """,
+)
+def monotone(t):
+    """A claimed running figure per customer: some claims are missing, some fall."""
+    u, day = uniform(43, "fall", "o_orderkey"), F.unix_date(F.to_date("o_orderdate")).cast("long")
+    claims = t.orders.select("o_custkey", "o_orderkey", micros("o_orderdate").alias("at"), F.when(u >= 0.02, day - F.when(u < 0.07, 400).otherwise(0)).alias("claimed"))
+    return K.falls(claims, ["o_custkey"], ["at", "o_orderkey"], "claimed")
+
+
+@query(
+    "g13_conservation",
+    f"""
+    WITH parts AS (SELECT l_orderkey AS k, l_extendedprice::DECIMAL(18,2) AS part FROM lineitem WHERE {u_sql(43, 'part', 'l_orderkey')} >= 0.01),
+    sums AS (SELECT k, sum(part) AS part_sum FROM parts GROUP BY 1),
+    wholes AS (SELECT l_orderkey AS k, CASE WHEN u < 0.02 THEN NULL ELSE s + CASE WHEN u < 0.05 THEN 1 ELSE 0 END END AS whole
+      FROM (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18,2)) AS s, {u_sql(43, 'whole', 'l_orderkey')} AS u FROM lineitem GROUP BY 1) WHERE u < 0.99)
+    SELECT coalesce(w.k, p.k) AS l_orderkey, part_sum::DOUBLE AS part_sum, whole::DOUBLE AS whole, CASE WHEN w.k IS NULL THEN 'no_whole' WHEN p.k IS NULL THEN 'no_parts'
+      WHEN whole IS NULL THEN 'missing_value' WHEN abs(part_sum - whole) > 0.005 THEN 'not_conserved' ELSE 'ok' END AS verdict
+    FROM wholes w FULL JOIN sums p ON w.k = p.k
+    """,
+)
+def conservation(t):
+    """Declared order totals, some off, null or absent, against their lines."""
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    parts = t.lineitem.where(uniform(43, "part", "l_orderkey") >= 0.01).select("l_orderkey", price.alias("part"))
+    u = uniform(43, "whole", "l_orderkey")
+    wholes = t.lineitem.groupBy("l_orderkey").agg(F.sum(price).alias("s")).where(u < 0.99)
+    wholes = wholes.select("l_orderkey", F.when(u >= 0.02, F.col("s") + F.when(u < 0.05, 1).otherwise(0)).alias("whole"))
+    done = K.conservation(parts, wholes, "l_orderkey", "part", "whole", 0.005)
+    return done.select("l_orderkey", F.col("part_sum").cast("double"), F.col("whole").cast("double"), "verdict")
+
+
+LEVELS_SQL = f"""
+    leaves AS (SELECT 'o' || o_orderkey AS o, 'c' || o_custkey AS c, 'n' || c_nationkey AS n, 'r' || n_regionkey AS r, o_totalprice::DECIMAL(18,2) AS v,
+      {u_sql(43, 'lost', 'o_orderkey')} < 0.01 AS lost
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+    nodes AS (SELECT o AS node, CASE WHEN lost THEN 'gone' ELSE c END AS parent, v FROM leaves
+      UNION ALL SELECT DISTINCT c, n, 0 FROM leaves UNION ALL SELECT DISTINCT n, r, 0 FROM leaves UNION ALL SELECT DISTINCT r, NULL, 0 FROM leaves),
+    claims AS (SELECT o AS node, v AS s FROM leaves UNION ALL SELECT c, sum(v) FROM leaves GROUP BY 1
+      UNION ALL SELECT n, sum(v) FROM leaves GROUP BY 1 UNION ALL SELECT r, sum(v) FROM leaves GROUP BY 1)"""
+
+
+@query(
+    "g13_hierarchy",
+    f"""
+    WITH RECURSIVE {LEVELS_SQL},
+    up AS (SELECT node, node AS top, v FROM nodes UNION ALL SELECT up.node, n.parent, up.v FROM up JOIN nodes n ON n.node = up.top WHERE n.parent IS NOT NULL),
+    totals AS (SELECT top, sum(v) AS total FROM up GROUP BY 1)
+    SELECT n.node, total::DOUBLE AS total, s::DOUBLE AS claimed, CASE WHEN n.parent = 'gone' THEN 'orphan' WHEN abs(total - s) > 0.005 THEN 'incoherent' ELSE 'ok' END AS verdict
+    FROM nodes n JOIN totals ON top = n.node JOIN claims k ON k.node = n.node
+    """,
+)
+def hierarchy(t):
+    """Totals claimed at four levels; one order in a hundred hangs from a parent that is not there."""
+    nations = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    buyers = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey").join(nations, "c_nationkey")
+    name = lambda mark, c: F.concat(L(mark), F.col(c).cast("string"))
+    leaves = t.orders.select("o_orderkey", "o_custkey", "o_totalprice").join(buyers, "o_custkey")
+    leaves = leaves.select(name("o", "o_orderkey").alias("o"), name("c", "o_custkey").alias("c"), name("n", "c_nationkey").alias("n"), name("r", "n_regionkey").alias("r"),
+                           F.col("o_totalprice").cast("decimal(18,2)").alias("v"), (uniform(43, "lost", "o_orderkey") < 0.01).alias("lost"))
+    zero = L(0).cast("decimal(18,2)")
+    nodes = leaves.select(F.col("o").alias("node"), F.when(F.col("lost"), "gone").otherwise(F.col("c")).alias("parent"), "v", F.col("v").cast("decimal(38,2)").alias("claimed"))
+    for low, high in (("c", F.col("n")), ("n", F.col("r")), ("r", L(None).cast("string"))):
+        level = leaves.groupBy(low).agg(F.any_value(high).alias("parent"), F.sum("v").cast("decimal(38,2)").alias("claimed"))
+        nodes = nodes.unionByName(level.select(F.col(low).alias("node"), "parent", zero.alias("v"), "claimed"))
+    done = K.hierarchy(materialise(nodes), "node", "parent", "v", "claimed", 0.005)
+    return done.select("node", F.col("total").cast("double"), F.col("claimed").cast("double"), "verdict")
+
+
 @query(
     "g14_sample_structure",
     f"""

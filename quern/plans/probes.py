@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.draws import count_where, draw_digest, rows, uniform, uniform_value
 from quern.functions.multiset import fingerprint_sql
-from quern.operators import compose as C, perturb as X, probes as B, theta as T
+from quern.operators import compose as C, perturb as X, probes as B, signatures as G, theta as T
 from quern.operators.ordered import micros
 from quern.operators.ranks import exact_median, hashed_rank
 from quern.plans.joins import MONEY, SLATE_SQL, slates
@@ -209,6 +209,48 @@ def b13(t):
     return pairs.select("a", "b", "pair_n", "a_n", "b_n", F.round("pmi", 8).alias("pmi"))
 
 
+ERA_SQL = "SELECT {columns} FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '2000-01-01'"
+
+
+def era_items(t, *columns: str):
+    """Items bought in the train era."""
+    era = t.orders.where(F.col("o_orderdate") < L("2000-01-01").cast("timestamp_ntz")).select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    return t.lineitem.select("l_orderkey", "l_partkey").join(parts, "l_partkey").join(era, "l_orderkey").select(*columns)
+
+
+@query(
+    "b13_frequent_pairs",
+    f"""
+    WITH b AS (SELECT DISTINCT * FROM ({ERA_SQL.format(columns='l_orderkey AS k, p_type AS i')})),
+    s AS (SELECT i, count(*) AS m FROM b GROUP BY 1), n AS (SELECT count(DISTINCT k) AS total FROM b),
+    p AS (SELECT x.i AS a, y.i AS b, count(*) AS pair_n FROM b x JOIN b y ON x.k = y.k AND x.i < y.i GROUP BY 1, 2)
+    SELECT a, b, pair_n, sa.m AS a_n, sb.m AS b_n, round(ln(pair_n * total / (sa.m * sb.m)), 8) AS pmi
+    FROM p JOIN s sa ON sa.i = a JOIN s sb ON sb.i = b, n WHERE pair_n >= 0.0005::DOUBLE * total
+    """,
+)
+def b13_pairs(t):
+    """Every part type is an item; no vocabulary is declared."""
+    pairs = G.frequent_pairs(era_items(t, "l_orderkey", "p_type"), "l_orderkey", "p_type", 0.0005)
+    return pairs.select("a", "b", "pair_n", "a_n", "b_n", F.round(F.ln("lift"), 8).alias("pmi"))
+
+
+@query(
+    "b13_transitions",
+    f"""
+    WITH x AS (SELECT DISTINCT * FROM ({ERA_SQL.format(columns='o_custkey AS e, p_type AS i, o_orderdate AS at')})),
+    s AS (SELECT i, count(DISTINCT e) AS m FROM x GROUP BY 1), n AS (SELECT count(DISTINCT e) AS total FROM x),
+    p AS (SELECT x.i AS a, y.i AS b, count(DISTINCT x.e) AS pair_n FROM x JOIN x y ON x.e = y.e AND x.at < y.at GROUP BY 1, 2)
+    SELECT a, b, pair_n, sa.m AS a_n, sb.m AS b_n, round(pair_n / sa.m, 8) AS confidence, round(pair_n * total / (sa.m * sb.m), 8) AS lift
+    FROM p JOIN s sa ON sa.i = a JOIN s sb ON sb.i = b, n WHERE pair_n >= 0.03::DOUBLE * total
+    """,
+)
+def b13_transitions(t):
+    """Customers who bought one type and another one at a later time."""
+    found = G.successions(era_items(t, "o_custkey", "o_orderdate", "p_type"), "o_custkey", "o_orderdate", "p_type", 0.03)
+    return found.select("a", "b", "pair_n", "a_n", "b_n", F.round("confidence", 8).alias("confidence"), F.round("lift", 8).alias("lift"))
+
+
 PART_FEATURES = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 LEFT_AFTER_DROP = X.drop_some(["p_partkey", *PART_FEATURES], PART_FEATURES, 2, seed=121)
 KEPT_TWO = X.keep_some(["p_partkey", *PART_FEATURES], PART_FEATURES, 2, seed=122)
