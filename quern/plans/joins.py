@@ -324,6 +324,22 @@ def shingle_coverage(t):
     return c.withColumn("near_copy", F.col("shared") >= 0.5 * F.col("shingles"))
 
 
+@query(
+    "j13_near_copies_across_parts",
+    f"""
+    WITH d AS (SELECT *, {u_sql(13, 'part', 'doc_id')} < 0.75 AS is_train FROM ({SHINGLES.format(key='doc_id', k=8, table='documents')})),
+    b AS (SELECT DISTINCT s FROM d WHERE is_train)
+    SELECT doc_id, count(*) AS shingles, count(b.s) AS shared, count(b.s) >= 0.8 * count(*) AS near_copy
+    FROM d LEFT JOIN b ON d.s = b.s WHERE NOT is_train GROUP BY 1
+    """,
+)
+def near_copies_across_parts(t):
+    """Every test document against all train documents of the same split."""
+    docs = t.documents.select("doc_id", "text", part_by_share(13, {"train": 0.75, "test": 0.25}, "doc_id").alias("part"))
+    c = C.shingle_coverage(docs.where("part = 'test'"), docs.where("part = 'train'"), "doc_id", "text", 8)
+    return c.withColumn("near_copy", F.col("shared") >= 0.8 * F.col("shingles"))
+
+
 @query(
     "j14_raw_id_disclosure",
     r"""
