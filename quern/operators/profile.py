@@ -9,6 +9,7 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, Struct
 
 from quern.functions.draws import count_where, rows
 from quern.functions.names import name_flags
+from quern.session import dealt
 
 # Structural flags and their thresholds.
 CONSTANT = "constant_in_sample"
@@ -16,6 +17,9 @@ MOSTLY_MISSING = ("at_least_95_percent_missing_in_sample", 0.95)
 NEAR_UNIQUE = ("near_unique_in_sample", 100, 0.98)
 PAIRED_PREFIXES = [("pre", "post"), ("before", "after"), ("pb", "pa")]
 
+# Cells of the table that one task counts distinct values of.
+CELLS = 1 << 21
+
 BLANK = r"^(?U)\s*$"
 NESTED = (ArrayType, BinaryType, MapType, StructType, VariantType)
 
@@ -41,9 +45,14 @@ def catalogue(
     """One row per column from one aggregation over the table.
 
     ``approximate`` swaps exact distinct counts (one shuffled copy of the row
-    per column) for sketches; use it on wide tables.
+    per column) for sketches; use it on wide tables. Before exact counts a large
+    table is dealt out, so that one task's distinct values stay bounded.
     """
     measures, records = [], []
+    if not approximate:
+        plain = [f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, NESTED)]
+        if plain:
+            df = dealt(df, df.count() * len(df.columns), *plain, most=CELLS)
     for i, name in enumerate(df.columns):
         null, blank, token = missing_masks(df, name, tokens)
         missing = null | token | blank if blank_is_missing else null | token

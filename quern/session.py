@@ -70,6 +70,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int, *columns: str, most: int = 1 << 19) -> DataFrame:
+    """Hash-partition so that no task holds many more than ``most`` of the ``rows``.
+
+    A file split is bounded in compressed bytes only, and columns that compress
+    well put tens of millions of rows into one. Small tables stay as they are.
+    """
+    tasks = -(-rows // most)
+    return df.repartition(tasks, *columns) if tasks > 1 else df
+
+
 class Tables:
     """Parquet tables of one directory as attributes: ``Tables(spark, d).orders``."""
 
