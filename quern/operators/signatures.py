@@ -8,18 +8,28 @@ and that bounds what one group can hold.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, GroupedData, functions as F
 
 from quern.functions.draws import rows
-from quern.session import materialise
+from quern.session import dealt, materialise
 
 
 def _frequent(held: DataFrame, share: float) -> tuple[DataFrame, int]:
     """``(item, n)`` of items in at least ``share`` of all groups of ``held(group, item)``, and the groups."""
-    total = held.agg(F.count_distinct("group")).first()[0]
+    total = dealt(held.select("group"), held.count(), "group").distinct().count()
     return materialise(held.groupBy("item").agg(rows().alias("n")).where(F.col("n") >= F.lit(share) * F.lit(float(total)))), total
 
 
+def _dealt_pairs(seen: DataFrame) -> DataFrame:
+    """Rows of a written table by group and item; what made them (a join, say) has sorted its rows in tasks of its own."""
+    return dealt(seen, seen.count(), "group", "item")
+
+
+def _by_group(rows: DataFrame, held: DataFrame) -> GroupedData:
+    """``rows`` of ``held`` by group. They are dealt out first: a file split of ``held`` has too many rows to sort in one task."""
+    return dealt(rows, held.count(), "group").groupBy("group")
+
+
 def _measured(pairs: DataFrame, items: DataFrame, total: int, share: float) -> DataFrame:
     a, b = (items.select(F.col("item").alias(c), F.col("n").alias(f"{c}_n")) for c in "ab")
     often = pairs.where(F.col("pair_n") >= F.lit(share) * F.lit(float(total)))
@@ -32,10 +42,10 @@ def frequent_pairs(df: DataFrame, basket: str, item: str, share: float) -> DataF
 
     Null baskets and items take no part; an item that repeats in its basket counts once.
     """
-    held = df.select(F.col(basket).alias("group"), F.col(item).alias("item")).dropna().distinct()
-    held = materialise(held)
+    seen = materialise(df.select(F.col(basket).alias("group"), F.col(item).alias("item")).dropna())
+    held = materialise(_dealt_pairs(seen).distinct())
     items, total = _frequent(held, share)
-    sets = held.join(items, "item", "left_semi").groupBy("group").agg(F.array_sort(F.collect_set("item")).alias("s"))
+    sets = _by_group(held.join(items, "item", "left_semi"), held).agg(F.array_sort(F.collect_set("item")).alias("s"))
     # equal sets are counted once before any pair is made
     kinds = sets.groupBy("s").agg(rows().alias("n")).where(F.size("s") > 1)
     firsts = kinds.select("n", F.posexplode("s").alias("at", "a"), "s")
@@ -52,9 +62,9 @@ def successions(df: DataFrame, entity: str, at: str, item: str, share: float) ->
     Rows with a null in any of the three columns take no part.
     """
     seen = df.select(F.col(entity).alias("group"), F.col(item).alias("item"), F.col(at).alias("at")).dropna()
-    held = materialise(seen.groupBy("group", "item").agg(F.min("at").alias("first"), F.max("at").alias("last")))
+    held = materialise(_dealt_pairs(materialise(seen)).groupBy("group", "item").agg(F.min("at").alias("first"), F.max("at").alias("last")))
     items, total = _frequent(held, share)
-    met = held.join(items, "item", "left_semi").groupBy("group").agg(F.collect_list(F.struct("item", "first", "last")).alias("s"))
+    met = _by_group(held.join(items, "item", "left_semi"), held).agg(F.collect_list(F.struct("item", "first", "last")).alias("s"))
     firsts = met.select(F.explode("s").alias("x"), "s")
     later = F.filter("s", lambda y: y["last"] > F.col("x.first"))
     pairs = firsts.select(F.col("x.item").alias("a"), F.explode(F.transform(later, lambda y: y["item"])).alias("b"))

@@ -1,6 +1,10 @@
 """Work of one task and what is shuffled, as tables grow."""
 
-from quern.operators import profile as P
+import random
+
+from quern.operators import profile as P, signatures as G
+from quern.session import dealt
+
 
 def test_catalogue_deals_out_a_large_table(spark, monkeypatch):
     rows = [(i, f"n{i % 7}" if i % 5 else None, [i % 3], i * 0.5) for i in range(200)]
@@ -11,3 +15,20 @@ def test_catalogue_deals_out_a_large_table(spark, monkeypatch):
     assert sorted(map(str, spread.collect())) == want
     assert "REPARTITION_BY_NUM" in spread._jdf.queryExecution().executedPlan().toString()
     assert P.catalogue(df.limit(0)).count() == 4
+
+
+def test_baskets_are_dealt_out_before_they_are_gathered(spark, monkeypatch):
+    r, calls = random.Random(4), []
+    rows = [(r.randrange(60), f"i{r.randrange(6)}", r.randrange(9)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g int, i string, at int")
+    found = [lambda: G.frequent_pairs(df, "g", "i", 0.1), lambda: G.successions(df, "g", "at", "i", 0.1)]
+    want = [sorted(map(tuple, f().collect())) for f in found]
+
+    def small(*args):
+        calls.append(args[1:])
+        return dealt(*args, most=20)
+
+    monkeypatch.setattr(G, "dealt", small)
+    assert [sorted(map(tuple, f().collect())) for f in found] == want
+    held = len({x[:2] for x in rows})
+    assert calls == [(400, "group", "item"), (held, "group"), (held, "group")] * 2
