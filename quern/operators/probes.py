@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions.draws import rows
 from quern.functions.multiset import encoded
+from quern.session import dealt
 
 
 def determinism(df: DataFrame, families: Mapping[str, Sequence[str]], target: str) -> DataFrame:
@@ -99,6 +100,7 @@ def boosted_trees(train: DataFrame, features: Sequence[str], y: str, rounds: int
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    train = dealt(train, train.count(), *features, y)  # the rounds read each task's rows again, from memory
     ready = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(train)
     return GBTRegressor(labelCol=y, maxIter=rounds, maxDepth=depth, seed=seed).fit(ready.select("features", y))
 

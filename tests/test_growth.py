@@ -2,7 +2,7 @@
 
 import random
 
-from quern.operators import profile as P, signatures as G
+from quern.operators import probes as B, profile as P, signatures as G
 from quern.session import dealt
 
 
@@ -32,3 +32,17 @@ def test_baskets_are_dealt_out_before_they_are_gathered(spark, monkeypatch):
     assert [sorted(map(tuple, f().collect())) for f in found] == want
     held = len({x[:2] for x in rows})
     assert calls == [(400, "group", "item"), (held, "group"), (held, "group")] * 2
+
+
+def test_boosted_trees_read_bounded_parts(spark, monkeypatch):
+    r, parts = random.Random(3), []
+    df = spark.createDataFrame([(r.random(), r.random()) for _ in range(300)], "x double, y double").coalesce(1)
+
+    def small(*args):
+        out = dealt(*args, most=50)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(B, "dealt", small)
+    assert B.score_model(B.boosted_trees(df, ["x"], "y", 2), df, ["x"]).count() == 300
+    assert parts == [6]
