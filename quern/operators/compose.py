@@ -257,15 +257,24 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
-def shingle_rows(df: DataFrame, text: str, size: int, *keep: str) -> DataFrame:
-    """One row per distinct word shingle of each whole text; short texts give one.
+def _shingles(df: DataFrame, text: str, size: int, *keep: str) -> tuple[DataFrame, Column]:
+    """Rows with words, and the list of their distinct shingles; short texts give one.
 
     The word array is a column of its own so that slicing does not split again.
     """
     split = df.select(*keep, text).select(*keep, word_list(F.col(text)).alias("_w")).where(F.size("_w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - F.lit(size - 1), F.lit(1)))
     joined = F.transform(starts, lambda i: F.array_join(F.slice("_w", i, size), " "))
-    return split.select(*keep, F.explode(F.array_distinct(joined)).alias("_s"))
+    return split, F.array_distinct(joined)
+
+
+def shingle_rows(df: DataFrame, text: str, size: int, *keep: str) -> DataFrame:
+    """One row per distinct word shingle of each whole text.
+
+    The list is exploded as it is made: a filter inferred on a column of lists would split again for each shingle.
+    """
+    split, shingles = _shingles(df, text, size, *keep)
+    return split.select(*keep, F.explode(shingles).alias("_s"))
 
 
 def shingle_coverage(
@@ -273,24 +282,20 @@ def shingle_coverage(
 ) -> DataFrame:
     """Share of each row's distinct shingles that occur anywhere in ``other``.
 
-    Shingles travel as 64-bit hashes plus a second hash; the other side is
-    reduced to distinct shingles before the join, so copies never multiply and
-    no row pairs are formed.
+    Shingles travel as 64-bit hashes plus a second hash. A semi-join keeps each
+    row's shingle once however often the other side has it, so copies never
+    multiply, no row pairs are formed and neither side is aggregated first: a
+    table of all distinct shingles would not fit a task and spill. Totals are
+    counted per row, so only shared shingles travel once more.
     """
     mine = shingle_rows(df, text, size, key).select(
         key, F.xxhash64("_s").alias("_h"), F.hash("_s").alias("_g")
     )
-    theirs = (
-        shingle_rows(other, text, size)
-        .select(F.xxhash64("_s").alias("_h"), F.hash("_s").alias("_g"))
-        .distinct()
-        .withColumn("_in", F.lit(1))
-    )
-    return (
-        mine.join(theirs, ["_h", "_g"], "left")
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("shingles"), F.count("_in").alias("shared"))
-    )
+    theirs = shingle_rows(other, text, size).select(F.xxhash64("_s").alias("_h"), F.hash("_s").alias("_g"))
+    shared = mine.join(theirs, ["_h", "_g"], "left_semi").select(key, F.lit(0).alias("_n"), F.lit(1).alias("_in"))
+    split, shingles = _shingles(df, text, size, key)
+    totals = split.select(key, F.size(shingles).alias("_n"), F.lit(0).alias("_in"))
+    return totals.unionAll(shared).groupBy(key).agg(F.sum("_n").alias("shingles"), F.sum("_in").alias("shared"))
 
 
 def nearest_on_line(

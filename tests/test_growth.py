@@ -2,7 +2,7 @@
 
 import random
 
-from quern.operators import probes as B, profile as P, signatures as G
+from quern.operators import compose as C, probes as B, profile as P, signatures as G
 from quern.session import dealt
 
 
@@ -46,3 +46,13 @@ def test_boosted_trees_read_bounded_parts(spark, monkeypatch):
     monkeypatch.setattr(B, "dealt", small)
     assert B.score_model(B.boosted_trees(df, ["x"], "y", 2), df, ["x"]).count() == 300
     assert parts == [6]
+
+
+def test_shingle_coverage_aggregates_neither_side(spark):
+    texts = ["a b c d", "a  b c d", "B c d e", "", None, "x", "a b c d a b c d"]
+    mine = spark.createDataFrame([(1, texts[0]), (1, texts[2]), (2, texts[3]), (3, texts[4]), (None, texts[5]), (None, texts[6]), (4, "q r s")], "k int, text string")
+    theirs = spark.createDataFrame([(t,) for t in texts[:3] * 5 + [None, ""]], "text string")
+    found = C.shingle_coverage(mine, theirs, "k", "text", 3)
+    assert {tuple(x) for x in found.collect()} == {(1, 4, 4), (None, 5, 2), (4, 1, 0)}
+    assert found.dtypes[1:] == [("shingles", "bigint"), ("shared", "bigint")]
+    assert "keys=[_h" not in found._jdf.queryExecution().executedPlan().toString()
