@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -255,14 +256,34 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _trained(window: int):
+    """All batches of the sample give one row, the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[bytes] = []
+        labels: list[int] = []
+        for batch in batches:
+            texts += raw_texts(batch.column("text"))
+            labels += batch.column("toxic").to_pylist()
+        model = train(texts, labels, window)
+        numbers = [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (model.mean, model.scale, model.weights)]
+        yield pa.RecordBatch.from_arrays([pa.array([model.toxic], pa.binary()), pa.array([model.ordinary], pa.binary()), *numbers], names=["toxic", "ordinary", "mean", "scale", "weights"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, window: int = WINDOW) -> Model:
     """Fit on at most ``sample`` labelled rows per label, drawn by the hash of their id."""
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
     known = known.where("toxic = most").where(~held_out())
     draws = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "toxic") for y in (0, 1)]
     chosen = draws[0].union(draws[1])  # at most two samples of ids: small enough to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").toArrow()
-    return train(list(raw_texts(rows.column("text"))), rows.column("toxic").to_pylist(), window)
+    rows = docs.select("text", "doc_id").join(F.broadcast(chosen), "doc_id").where("text is not null").select("text", "toxic")
+    # one task holds the bounded sample; the driver gets two dictionaries and 19 numbers
+    made = rows.repartition(1).mapInArrow(_trained(window), "toxic binary, ordinary binary, mean array<double>, scale array<double>, weights array<double>").first()
+    if made is None:
+        return train([], [], window)
+    return Model(bytes(made.toxic), bytes(made.ordinary), np.array(made.mean), np.array(made.scale), np.array(made.weights), window)
 
 
 def scorer(model: Model):
