@@ -200,19 +200,29 @@ def sharing(pairs: DataFrame, listed: DataFrame, percent: int = PERCENT) -> Data
 
     Occurrences are counted, one side's lists against the other's: of their n - allowed + 1
     short lists, two sets that link share at least ``T - (larger of the two allowed) + 1``. Lists travel as
-    the upper half of their hash; how many of a set's own fall together is added to the
-    count, so no pair is lost.
+    the upper 16 bits of their hash; how many of a set's own fall together is added to the
+    count, so no pair is lost. Few pairs are sent to the lists, so that only one side's are shuffled.
     """
     pairs = materialise(pairs)
-    both = pairs.select(F.explode(F.array("hub", "id")).alias("id"))
-    halves = F.transform("lists", lambda x: F.shiftright(x, 32).cast("int"))
-    own = _wanted(listed, both).select("id", "n", F.size("lists").alias("size"), F.array_distinct(halves).alias("halves"))
-    hubs = own.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("halves").alias("hub_halves"))
-    common = F.size(F.array_intersect("halves", "hub_halves")) + F.col("size") - F.size("halves")
-    met = pairs.join(hubs, "hub").join(own, "id").where(common >= _least(percent, F.col("n"), F.col("hub_n")))
+    own = _with_rows(listed, pairs).select("hub", "id", "n", F.size("lists").alias("size"), _marks("lists").alias("marks"))
+    hubs = _wanted(listed, pairs.select(F.col("hub").alias("id")))
+    hubs = hubs.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), _marks("lists").alias("hub_marks"))
+    common = F.size(F.array_intersect("marks", "hub_marks")) + F.col("size") - F.size("marks")
+    met = own.join(hubs, "hub").where(common >= _least(percent, F.col("n"), F.col("hub_n")))
     return met.select("hub", "id").distinct()
 
 
+def _marks(lists: str) -> Column:
+    return F.array_distinct(F.transform(lists, lambda x: F.shiftright(x, 48).cast("short")))
+
+
+def _with_rows(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each of ``rows`` with the text of its id: few rows are sent to the texts, which then stay where they are."""
+    if rows.count() <= _SENT_IDS:
+        return texts.join(F.broadcast(rows), "id")
+    return _wanted(texts, rows).join(rows, "id")
+
+
 def _least(percent: int, n: Column, m: Column) -> Column:
     """Short lists that sets of n and m share at least where they link."""
     return F.ceil(percent * (n + m) / F.lit(100 + percent)) - F.greatest(F.ceil(percent * n / 100), F.ceil(percent * m / 100)) + 1
@@ -225,8 +235,7 @@ def probed(pairs: DataFrame, texts: DataFrame, size: int = SIZE, percent: int =
     counts = counts.select("hub", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks"))
     salted = pairs.join(counts, "hub").select("hub", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("salt"), "id", F.lit(1).alias("turn"))
     hubs = counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.col("hub").alias("id"), F.lit(0).alias("turn"))
-    rows = salted.union(hubs)
-    rows = rows.join(_wanted(texts, rows), "id").select("hub", "salt", "turn", "id", "text")
+    rows = _with_rows(texts, materialise(salted.union(hubs))).select("hub", "salt", "turn", "id", "text")
     blocks = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "turn")
     return blocks.mapInArrow(_probe(size, percent), "a long, b long")
 

@@ -2,7 +2,9 @@
 
 import random
 
-from quern.llm import components, toxicity
+import numpy as np
+
+from quern.llm import components, jaccard_join, toxicity
 
 
 def test_toxicity_is_fitted_on_a_worker(spark, monkeypatch):
@@ -34,3 +36,24 @@ def test_a_step_of_components_plans_its_links_once(spark, monkeypatch):
     found = {x.node: x.component for x in components.components(links).collect()}
     assert found == {i: 0 for i in range(10)} | {i: 20 for i in (20, 21, 22)}
     assert max(p.count("Relation") for p in plans) <= 4
+
+
+def test_few_pairs_are_sent_to_the_texts(spark, monkeypatch):
+    words = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    docs = spark.createDataFrame([(i, 0, " ".join(words + [f"z{i}"])) for i in range(6)], "id long, mark long, text string")
+    own = jaccard_join._short_lists(5, 80, np.zeros(0, np.uint64))
+    listed = docs.mapInArrow(own, "id long, n long, c1 long, c2 long, lists array<long>").select("id", "n", "lists")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 6)], "hub long, id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for sent, texts_travel in ((1 << 18, False), (0, True)):
+            monkeypatch.setattr(jaccard_join, "_SENT_IDS", sent)
+            shared = jaccard_join.sharing(pairs, listed)
+            found = jaccard_join.probed(pairs, docs.select("id", "text"))
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert ("hashpartitioning(id" in plan) == texts_travel
+            assert "array<smallint>" in str([f.simpleString() for f in listed.select(jaccard_join._marks("lists")).schema])
+            want = {(0, i) for i in range(1, 6)}
+            assert {tuple(x) for x in shared.collect()} == {tuple(x) for x in found.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
