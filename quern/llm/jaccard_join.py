@@ -19,7 +19,11 @@ of them, so a document may miss ``n - ceil(percent * n / 100)`` of its lists.
    such pass, against the document nearest to the middle. What is apart after it
    is paired, where the list stands early enough on both sides for T
    to be reached. A document that a pass checked against its whole list leaves it.
-5. A kept pair is settled by probing: binary search of one set in the other,
+5. Pairs are judged by signs first: the parity of the shingles in each of some
+   cells. Two signs differ in at most as many cells as shingles stand in one set
+   only, so no pair that links is lost. For step 4's last pairs signs stand in
+   the rows of the lists, so what travels grows with the rows, not with the pairs.
+6. A kept pair is settled by probing: binary search of one set in the other,
    block by block. Pairs inside one component are never formed.
 
 Defined results: null and empty texts (or texts of white space) have an empty
@@ -106,13 +110,21 @@ def long_lists(docs: DataFrame, size: int = SIZE, keep: int = LONG_LISTS) -> np.
     return top["shingle"].to_numpy(dtype=np.int64)[::-1].view(np.uint64)
 
 
-def _short_lists(size: int, percent: int, long_ones: np.ndarray):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("lists", pa.list_(pa.int64()))])
+def sign(own: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's shingles falls into each of some cells, one per shingle at least; 64 cells a word."""
+    cells = max(64, 1 << max(0, len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+def _short_lists(size: int, percent: int, long_ones: np.ndarray, signed: bool = False):
+    fields = [("id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("lists", pa.list_(pa.int64()))]
+    schema = pa.schema(fields + [("sign", pa.list_(pa.int64()))] * signed)
     by_value = np.argsort(long_ones)
     table = long_ones[by_value]
 
     def run(batch: pa.RecordBatch) -> dict:
-        n, c1, c2, sizes, values = [], [], [], [0], [np.zeros(0, np.uint64)]
+        n, c1, c2, signs, sizes, values = [], [], [], [], [0], [np.zeros(0, np.uint64)]
         for raw in raw_texts(batch.column("text")):
             own = shingles(raw, size)
             is_long = found_in(own, table)
@@ -124,11 +136,12 @@ def _short_lists(size: int, percent: int, long_ones: np.ndarray):
             n.append(len(own))
             c1.append(int(np.bitwise_xor.reduce(mix(own + np.uint64(1)))) if len(own) else 0)
             c2.append(int(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum()) if len(own) else 0)
+            signs.append(sign(own) if signed else ())
             values.append(order[:need])
             sizes.append(len(order[:need]))
         as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(values).view(np.int64)))
-        return {"id": batch.column("id"), "n": n, "c1": as_long(c1), "c2": as_long(c2), "lists": lists}
+        return {"id": batch.column("id"), "n": n, "c1": as_long(c1), "c2": as_long(c2), "lists": lists, "sign": signs}
 
     return by_batch(run, schema)
 
@@ -195,12 +208,41 @@ def _wanted(texts: DataFrame, rows: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if ids.count() <= _SENT_IDS else ids, "id", "left_semi")
 
 
+def near_enough(pairs: DataFrame, signs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``(hub, id)`` whose signs leave room for T shared shingles: no pair that links is lost."""
+    pairs = materialise(pairs)
+    own = _with_rows(signs, pairs).select("hub", "id", "n", "sign")
+    hubs = _wanted(signs, pairs.select(F.col("hub").alias("id")))
+    hubs = hubs.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("sign").alias("hub_sign"))
+    return own.join(hubs, "hub").where(_signs_meet(percent)).select("hub", "id").distinct()
+
+
+def _signs_meet(percent: int) -> Column:
+    """Whether two sets can still share T shingles.
+
+    A cell in which their signs differ holds at least one shingle that stands in one of them only, and
+    sets of n and m that link have at most ``n + m - 2 * T`` of these. The longer sign is folded to the shorter.
+    """
+    words = F.least(F.size("sign"), F.size("hub_sign"))
+    differ = F.zip_with(_folded("sign", words), _folded("hub_sign", words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    n = F.col("n") + F.col("hub_n")
+    return F.aggregate(differ, F.lit(0), lambda total, x: total + x) <= n - 2 * F.ceil(percent * n / F.lit(100 + percent))
+
+
+def _folded(sign: str, words: Column) -> Column:
+    """The sign over fewer cells: the parts of it, laid upon one another."""
+    parts = F.sequence(F.lit(1), F.size(sign), words)
+    none = F.array_repeat(F.lit(0).cast("long"), words)
+    laid = F.aggregate(parts, none, lambda over, at: F.zip_with(over, F.slice(sign, at, words), lambda x, y: x.bitwiseXOR(y)))
+    return F.when(F.size(sign) == words, F.col(sign)).otherwise(laid)
+
+
 def sharing(pairs: DataFrame, listed: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``(hub, id)`` that share enough of their short lists to reach T.
+    """The pairs ``(hub, id)`` that share enough of their short lists to reach T, for tables without signs.
 
     Occurrences are counted, one side's lists against the other's: of their n - allowed + 1
     short lists, two sets that link share at least ``T - (larger of the two allowed) + 1``. Lists travel as
-    the upper 16 bits of their hash; how many of a set's own fall together is added to the
+    16 bits of their hash; how many of a set's own fall together is added to the
     count, so no pair is lost. Few pairs are sent to the lists, so that only one side's are shuffled.
     """
     pairs = materialise(pairs)
@@ -213,7 +255,7 @@ def sharing(pairs: DataFrame, listed: DataFrame, percent: int = PERCENT) -> Data
 
 
 def _marks(lists: str) -> Column:
-    return F.array_distinct(F.transform(lists, lambda x: F.shiftright(x, 48).cast("short")))
+    return F.array_distinct(F.transform(lists, lambda x: F.shiftright(F.shiftleft(x, 16), 48).cast("short")))
 
 
 def _with_rows(texts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -243,22 +285,23 @@ def probed(pairs: DataFrame, texts: DataFrame, size: int = SIZE, percent: int =
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, keep_long: int = LONG_LISTS) -> DataFrame:
     """``(id, n, component)`` per row of ``docs(id, text)``."""
     long_ones = long_lists(docs.where(F.col("id") != NO_ID), size, keep_long)
-    own = materialise(docs.mapInArrow(_short_lists(size, percent, long_ones), "id long, n long, c1 long, c2 long, lists array<long>"))
+    columns = "id long, n long, c1 long, c2 long, lists array<long>, sign array<long>"
+    own = materialise(docs.mapInArrow(_short_lists(size, percent, long_ones, signed=True), columns))
 
     sets = own.where((F.col("n") > 0) & (F.col("id") != NO_ID))
-    classes = sets.groupBy("n", "c1", "c2").agg(F.min("id").alias("first"), F.any_value("lists").alias("lists"))
+    classes = sets.groupBy("n", "c1", "c2").agg(F.min("id").alias("first"), F.any_value("lists").alias("lists"), F.any_value("sign").alias("sign"))
     groups = sets.groupBy("n", "c1", "c2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     copies = sets.join(groups, ["n", "c1", "c2"]).where("id > first")
     copies = materialise(copies.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
 
-    listed = materialise(classes.select(F.col("first").alias("id"), "n", "lists"))
+    listed = materialise(classes.select(F.col("first").alias("id"), "n", "lists", "sign"))
     postings = listed.select(F.posexplode("lists").alias("place", "shingle"), "id", "n").repartition("shingle").sortWithinPartitions("shingle", "id")
     lists = materialise(postings.mapInArrow(_merged_lists, "shingle long, id long, n long, place int, hub long, hub_n long"))
 
-    texts = docs.where(F.col("id") != NO_ID).select("id", "text")
+    texts, signs = docs.where(F.col("id") != NO_ID).select("id", "text"), listed.select("id", "n", "sign")
 
     def settled(pairs: DataFrame) -> DataFrame:
-        return materialise(probed(sharing(pairs, listed, percent), texts, size, percent))
+        return materialise(probed(near_enough(pairs, signs, percent), texts, size, percent))
 
     near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     links = settled(lists.where((F.col("id") != F.col("hub")) & near).select("hub", "id").distinct())
@@ -275,7 +318,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
         links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
         parts = components(links)
         apart = _with_parts(apart.drop("part"), parts)
-    more = settled(_reaching_pairs(materialise(_mixed(apart)), percent))
+    more = settled(_reaching_pairs(_with_signs(materialise(_mixed(apart)), signs), percent))
 
     found = components(links.union(more).union(copies))
     return _with_components(own, found)
@@ -318,10 +361,17 @@ def _can_reach(percent: int, other: str) -> Column:
     return (F.col(f"{other}_part") != F.col("part")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & far
 
 
+def _with_signs(apart: DataFrame, signs: DataFrame) -> DataFrame:
+    """Rows of lists with their documents' signs, folded once to half a cell per shingle at least."""
+    half = F.greatest(F.lit(1), F.floor(F.size("sign") / 2)).cast("int")
+    rows = _with_rows(signs, apart.drop("n"))
+    return materialise(rows.select(*apart.columns, _folded("sign", half).alias("sign")))
+
+
 def _reaching_pairs(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs from different parts that can still reach T."""
-    left = apart.select("shingle", *(F.col(c).alias(f"hub{t}") for c, t in _PIVOT.items()))
-    both = (left["shingle"] == apart["shingle"]) & (F.col("hub_part") < F.col("part")) & _can_reach(percent, "hub")
+    """Pairs from different parts that can still reach T. Signs travel with the lists' rows, so that pairs are judged where they meet."""
+    left = apart.select("shingle", *(F.col(c).alias(f"hub{t}") for c, t in _PIVOT.items()), F.col("sign").alias("hub_sign"))
+    both = (left["shingle"] == apart["shingle"]) & (F.col("hub_part") < F.col("part")) & _can_reach(percent, "hub") & _signs_meet(percent)
     return left.join(apart, both).select("hub", "id").distinct()
 
 

@@ -57,3 +57,40 @@ def test_few_pairs_are_sent_to_the_texts(spark, monkeypatch):
             assert {tuple(x) for x in shared.collect()} == {tuple(x) for x in found.collect()} == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_signs_lose_no_pair(spark):
+    """Sets that link pass, also where one sign is folded once or twice; sets that are far apart do not."""
+    r = np.random.default_rng(3)
+    sets = {}
+    for k, n in enumerate((1, 5, 64, 65, 130, 700, 1100)):
+        base = r.integers(0, 1 << 63, n).astype(np.uint64)
+        for j, (more, fewer) in enumerate(((0, 0), (n // 9, 0), (0, n // 5), (n // 12, n // 12), (0, n * 2 // 3), (n * 2, 0))):
+            sets[10 * k + j] = np.unique(np.concatenate((base[fewer:], r.integers(0, 1 << 63, more).astype(np.uint64))))
+    signs = spark.createDataFrame([(i, len(v), jaccard_join.sign(v).tolist()) for i, v in sets.items()], "id long, n long, sign array<long>")
+    every = [(a, b) for a in sets for b in sets if a < b]
+    pairs = spark.createDataFrame(every, "hub long, id long")
+    share = {(a, b): (c := len(np.intersect1d(sets[a], sets[b]))) / (len(sets[a]) + len(sets[b]) - c) for a, b in every}
+    for percent in (80, 30):
+        kept = {tuple(x) for x in jaccard_join.near_enough(pairs, signs, percent).collect()}
+        assert {p for p in every if 100 * share[p] >= percent} <= kept
+    sizes = lambda p: sorted(len(sets[i]) for i in p)
+    kept = {tuple(x) for x in jaccard_join.near_enough(pairs, signs).collect()}
+    assert all(share[p] >= 0.6 for p in kept if sizes(p)[0] >= 64 and 10 * sizes(p)[0] >= 8 * sizes(p)[1])
+
+
+def test_documents_that_share_rare_passages_only_are_not_probed(spark, monkeypatch):
+    """Twenty documents with two thirds of their shingles in common are 190 pairs and no link; three are copies of one of them."""
+    r = random.Random(8)
+    common = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join(common + [f"d{i}x{j}" for j in range(200)])) for i in range(20)]
+    rows += [(100 + j, rows[7][1] + f" more{j}") for j in range(3)]
+    r.shuffle(rows)
+    pairs, judged, probe = [], [], jaccard_join.probed
+    monkeypatch.setattr(jaccard_join, "probed", lambda p, *rest: (pairs.extend(map(tuple, p.collect())), probe(p, *rest))[1])
+    reach = jaccard_join._reaching_pairs
+    monkeypatch.setattr(jaccard_join, "_reaching_pairs", lambda *x: (judged.append((out := reach(*x)).count()), out)[1])
+    docs = spark.createDataFrame(rows, "id long, text string")
+    got = {x.id: x.component for x in jaccard_join.jaccard_components(docs, keep_long=0).collect()}  # no list is put last
+    assert got == {i: i for i in range(20)} | {100 + j: 7 for j in range(3)}
+    assert len(pairs) <= 12 and all({a, b} <= {7, 100, 101, 102} for a, b in pairs) and judged == [0]
