@@ -1,10 +1,12 @@
 """What reaches the driver and what travels, as tables grow."""
 
+import os
 import random
+from urllib.parse import unquote
 
 import numpy as np
 
-from quern.llm import components, jaccard_join, toxicity
+from quern.llm import components, embedding_dedup, jaccard_join, toxicity
 
 
 def test_toxicity_is_fitted_on_a_worker(spark, monkeypatch):
@@ -94,3 +96,44 @@ def test_documents_that_share_rare_passages_only_are_not_probed(spark, monkeypat
     got = {x.id: x.component for x in jaccard_join.jaccard_components(docs, keep_long=0).collect()}  # no list is put last
     assert got == {i: i for i in range(20)} | {100 + j: 7 for j in range(3)}
     assert len(pairs) <= 12 and all({a, b} <= {7, 100, 101, 102} for a, b in pairs) and judged == [0]
+
+
+def test_vectors_are_written_twice_however_many_cells_they_reach(spark, monkeypatch):
+    """Vectors without groups reach most cells; neither files nor a shuffle may hold one for each."""
+    x = np.random.default_rng(6).normal(size=(6000, 64)).astype(np.float32)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    written, products, write = [], [], embedding_dedup.materialise
+
+    def seen(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if "CartesianProduct" in plan:
+            products.append(plan)
+        done = write(df)
+        written.extend(os.path.getsize(unquote(f.removeprefix("file:").replace("///", "/"))) for f in done.inputFiles())
+        return done
+
+    monkeypatch.setattr(embedding_dedup, "materialise", seen)
+    assert embedding_dedup.vector_report(docs).count() == 6000
+    assert sum(written) < 4 * x.nbytes
+    assert len(products) == 1 and "Exchange" not in products[0]
+
+
+def test_planes_between_cells_lose_no_link(spark):
+    """Pairs just inside the threshold, most of them in two cells, and a group; many cells in a block and many blocks in a cell."""
+    r = np.random.default_rng(21)
+    x = r.normal(size=(4000, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = r.normal(size=(2000, 12))
+    away -= (away * x[:2000]).sum(1, keepdims=True) * x[:2000]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    x[2000:] = 0.9001 * x[:2000] + np.sqrt(1 - 0.9001**2) * away
+    x[100:140] = x[5]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.9
+    part = np.arange(len(x))
+    while (part != (low := np.array([part[row].min() for row in links]))).any():
+        part = low
+    want = list(zip(range(len(x)), (links.sum(1) - 1).tolist(), part.tolist(), strict=True))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(8)
+    for per_cell, block in ((16, 512), (400, 300), (4, 10**6)):
+        assert sorted(map(tuple, embedding_dedup.near_duplicates(docs, per_cell=per_cell, block=block).collect())) == want
