@@ -317,28 +317,38 @@ def _decided(a: _Ready, b: _Ready, rows: np.ndarray, columns: np.ndarray, reach:
     """Linked pairs of some rows and columns, each tile of rows with as many columns as it reaches; of the ``same`` cell each pair once."""
     low = np.float32(threshold - (a.raw.shape[1] + 16) * 2.0**-23)  # more than single precision can be off
     left, right, held = a.head[rows], b.head[columns], np.empty(_TILE[0] * _TILE[1], np.float32)
+    some, open_ = [], 0
     for r, width in zip(range(0, len(rows), _TILE[0]), reach.tolist(), strict=False):
         for c in range(r // _TILE[1] * _TILE[1] if same else 0, width, _TILE[1]):
             p, q = left[r : r + _TILE[0]], right[c : min(c + _TILE[1], width)]
             bound = np.matmul(p, q.T, out=held[: len(p) * len(q)].reshape(len(p), len(q)))
-            some = np.flatnonzero(bound.max(axis=1) >= low)
-            if not len(some):
+            at = np.flatnonzero(bound.max(axis=1) >= low)
+            if not len(at):
                 continue
-            maybe = bound[some] >= low
-            some += r
+            maybe = bound[at] >= low
+            at += r
             if same and c < r + len(p):
-                maybe &= some[:, None] < np.arange(c, c + len(q))
-            at = np.flatnonzero(maybe)
-            if len(at) > maybe.size // 16:
-                at = np.flatnonzero((a.unit(rows[some]) @ b.unit(columns[c : c + len(q)]).T >= threshold) & maybe)
-                i, j = np.divmod(at, len(q))
-            else:
-                i, j = np.divmod(at, len(q))
-                step = max(1, (1 << 20) // a.raw.shape[1])
-                sure = [np.einsum("ij,ij->i", a.unit(rows[some[i[k : k + step]]]), b.unit(columns[c + j[k : k + step]])) >= threshold for k in range(0, len(i), step)]
-                i, j = (x[np.concatenate(sure)] if sure else x for x in (i, j))
-            if len(i):
-                yield rows[some[i]], columns[c + j]
+                maybe &= at[:, None] < np.arange(c, c + len(q))
+            i, j = np.divmod(np.flatnonzero(maybe), len(q))
+            if len(i) > maybe.size // 16:
+                i, j = np.nonzero((a.unit(rows[at]) @ b.unit(columns[c : c + len(q)]).T >= threshold) & maybe)
+                yield rows[at[i]], columns[c + j]
+                continue
+            some.append((rows[at[i]], columns[c + j]))
+            open_ += len(i)
+            if open_ > _HELD_LINKS:
+                yield _linked(a, b, some, threshold)
+                some, open_ = [], 0
+    if open_:
+        yield _linked(a, b, some, threshold)
+
+
+def _linked(a: _Ready, b: _Ready, some: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of some pairs that link."""
+    i, j = (np.concatenate([x[k] for x in some]) for k in (0, 1))
+    step = max(1, (1 << 19) // a.raw.shape[1])
+    sure = np.concatenate([np.einsum("ij,ij->i", a.unit(i[k : k + step]), b.unit(j[k : k + step])) >= threshold for k in range(0, len(i), step)])
+    return i[sure], j[sure]
 
 
 _SIDE = ("no", "size", "wide", "vectors", "weights", "home")
