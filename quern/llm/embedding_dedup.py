@@ -48,10 +48,11 @@ ROUNDS = 8
 _BLOCK_BYTES = 1 << 23
 _LEAST_BLOCKS = 32
 """A table has about as many blocks, so that many tasks share it, unless they would be smaller than 256."""
-_TASK_BYTES = 1 << 26
+_TASK_BYTES = 1 << 25
 """Blocks of about so many bytes, as doubles, are one side of a task."""
 _TILE = (128, 1024)
 _HELD_LINKS = 1 << 19
+_IDS = 1 << 14
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -187,7 +188,10 @@ def _name(no: int, at: np.ndarray) -> np.ndarray:
 
 
 def _block():
-    """One group: a block's vectors become a row, those of a home next to each other."""
+    """One group: a block's vectors become a row, those of a home next to each other, and their ids as many as they need:
+    a common vector has any number."""
+    lists = [(c, pa.list_(pa.int64())) for c in ("ids", "at", "alike", "first")]
+    schema = pa.schema([("no", pa.int64()), ("size", pa.int32()), ("wide", pa.bool_()), *((c, pa.binary()) for c in ("vectors", "weights", "home")), *lists])
 
     def run(table: pa.Table) -> pa.Table:
         no, size = table.column("no")[0].as_py(), table.column("size")[0].as_py()
@@ -208,12 +212,12 @@ def _block():
         flat = ids.flatten().to_numpy()
         weight, first = np.bincount(id_at, minlength=n), np.full(n, NO_ID)
         np.minimum.at(first, id_at, flat)
-        one = lambda y, kind: pa.array([y], kind)
-        return pa.table({
-            "no": one(no, pa.int64()), "size": one(size, pa.int32()), "wide": one(wide, pa.bool_()), "vectors": one(x.astype("<f8" if wide else "<f4").tobytes(), pa.binary()),
-            "weights": one(weight.astype("<i8").tobytes(), pa.binary()), "home": one(home.astype("<i4").tobytes(), pa.binary()),
-            "ids": one(flat, pa.list_(pa.int64())), "at": one(_name(no, id_at), pa.list_(pa.int64())), "alike": one(weight[id_at] - 1, pa.list_(pa.int64())), "first": one(first[id_at], pa.list_(pa.int64())),
-        })
+        vectors = {"no": no, "size": size, "wide": wide, "vectors": x.astype("<f8" if wide else "<f4").tobytes(), "weights": weight.astype("<i8").tobytes(), "home": home.astype("<i4").tobytes()}
+        names, alike, first = _name(no, id_at), weight[id_at] - 1, first[id_at]
+        parts = [slice(k, k + _IDS) for k in range(0, len(flat), _IDS)]
+        out = [pa.array([vectors[f.name], *[None] * len(parts)], f.type) for f in schema if f.name in vectors]
+        out += [pa.array([None, *(y[k] for k in parts)], pa.list_(pa.int64())) for y in (flat, names, alike, first)]
+        return pa.Table.from_arrays(out, schema=schema)
 
     return run
 
@@ -224,7 +228,7 @@ class _Ready:
     def __init__(self, batch: pa.RecordBatch, row: int, side: str, model: dict[int, tuple]) -> None:
         get = lambda name: batch.column(f"{side}_{name}")[row]
         self.no, size = get("no").as_py(), get("size").as_py()
-        self.raw = np.frombuffer(get("vectors").as_buffer(), "<f8" if get("wide").as_py() else "<f4").reshape(-1, size).copy()
+        self.raw = np.frombuffer(get("vectors").as_buffer(), "<f8" if get("wide").as_py() else "<f4").reshape(-1, size)
         self.weight = np.frombuffer(get("weights").as_buffer(), "<i8").copy()
         home = np.frombuffer(get("home").as_buffer(), "<i4")
         self.cells, starts, self.cell = np.unique(home, return_index=True, return_inverse=True)
@@ -428,7 +432,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
     blocks = materialise(dealt.groupBy("no").applyInArrow(_block(), _BLOCK_ROW))
 
     tasks = max(1, -(-sum(8 * size * n for size, _, n in counts) // _TASK_BYTES), int((4 * spark.sparkContext.defaultParallelism) ** 0.5))
-    side = lambda s: blocks.select(*(F.col(c).alias(f"{s}_{c}") for c in _SIDE)).coalesce(tasks).withColumn(f"{s}_lead", F.monotonically_increasing_id() % (1 << 33) == 0)
+    side = lambda s: blocks.where("vectors is not null").select(*(F.col(c).alias(f"{s}_{c}") for c in _SIDE)).coalesce(tasks).withColumn(f"{s}_lead", F.monotonically_increasing_id() % (1 << 33) == 0)
     # a task gets the rows of one part with those of another; each goes to its worker once, beside the first of the other part
     rows = side("a").join(side("b").hint("shuffle_replicate_nl"), F.expr("a_lead or b_lead"))
     sent = rows.select(*(F.when(F.col(f"{'ba'[s == 'b']}_lead"), F.col(f"{s}_{c}")).alias(f"{s}_{c}") for s in "ab" for c in _SIDE))
@@ -437,7 +441,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
 
     parts = components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "id")
     linked = found.groupBy("id").agg(F.sum("partners").alias("partners")).join(parts, "id").withColumnsRenamed({"id": "at", "component": "part"})
-    each = blocks.select(F.explode(F.arrays_zip("ids", "at", "alike", "first")).alias("x")).select(F.col("x.ids").alias("id"), "x.at", "x.alike", "x.first")
+    each = blocks.where("ids is not null").select(F.explode(F.arrays_zip("ids", "at", "alike", "first")).alias("x")).select(F.col("x.ids").alias("id"), "x.at", "x.alike", "x.first")
     rows = each.join(linked, "at", "left")
     lowest = rows.where("part is not null").groupBy("part").agg(F.min("first").alias("component"))
     rows = rows.join(lowest, "part", "left").select("id", (F.coalesce("partners", F.lit(0)) + F.col("alike")).alias("n_links"), F.coalesce("component", "first").alias("component"))

@@ -137,3 +137,23 @@ def test_planes_between_cells_lose_no_link(spark):
     docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(8)
     for per_cell, block in ((16, 512), (400, 300), (4, 10**6)):
         assert sorted(map(tuple, embedding_dedup.near_duplicates(docs, per_cell=per_cell, block=block).collect())) == want
+
+
+def test_ids_of_a_common_vector_take_many_rows(spark, monkeypatch):
+    """No row may hold all the ids of a vector: it could have any number."""
+    x = np.random.default_rng(9).normal(size=(50, 8)).tolist()
+    docs = spark.createDataFrame([(i, x[0] if i >= 50 else x[i]) for i in range(30_000)], "id long, v array<double>").repartition(4)
+    held, write = [], embedding_dedup.materialise
+
+    def seen(df):
+        done = write(df)
+        if "alike" in done.columns:
+            held.extend(len(r.ids) for r in done.where("ids is not null").select("ids").collect())
+        return done
+
+    monkeypatch.setattr(embedding_dedup, "materialise", seen)
+    got = {r.id: (r.n_links, r.component) for r in embedding_dedup.near_duplicates(docs).collect()}
+    u = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (u @ u.T >= 0.9).sum() == 50  # nothing else links
+    assert got == {i: (29_950, 0) if i == 0 or i >= 50 else (0, i) for i in range(30_000)}
+    assert sum(held) == 30_000 and max(held) <= 1 << 14
